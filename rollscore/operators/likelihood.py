@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscore.functions.logits import confidence, own_score, token_logp
+from rollscore.functions.ranges import each_below
 from rollscore.operators.segments import segment_of
 
 TOKEN_KEYS = ("seq_id", "pos")
@@ -49,7 +50,7 @@ def merge_segment_logps(
 
 def repeat_iterations(logps: DataFrame, iterations: int) -> DataFrame:
     """T4: the same values for each iteration of a rollout."""
-    return logps.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).cast("bigint"))
+    return logps.withColumn("iter", each_below(iterations))
 
 
 def position_scores(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rollscore.functions.answers import extract_gsm_prediction, extract_math_prediction
 from rollscore.functions.mathnorm import is_equiv
+from rollscore.functions.ranges import each_below
 from rollscore.functions.text import to_float
 
 DATASETS = ("gsm8k", "math")
@@ -52,7 +53,7 @@ def missing_ranks(ranks: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     """Ranks that a run should have and has not."""
     sizes = ranks.groupBy(*by).agg(F.max("world_size").alias("world_size"))
     expected = sizes.where(F.col("world_size") > 0).select(
-        *by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("world_size").cast("bigint") - 1)).alias("rank")
+        *by, each_below(F.col("world_size")).alias("rank")
     )
     seen = ranks.select(*by, F.col("rank").cast("bigint").alias("rank"))
     return expected.join(seen, [*by, "rank"], "left_anti")

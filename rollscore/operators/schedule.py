@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollscore.functions.ranges import each_below
 from rollscore.functions.sampling import integer_below
 from rollscore.plans.skew import SPLIT_ROWS, attach_aggregates
 
@@ -40,12 +41,12 @@ def rollout_schedule(
 def step_grid(runs: DataFrame, slots: int) -> DataFrame:
     """A (step, slot) row for every update of runs given as ``first_step`` and ``last_step``."""
     steps = runs.withColumn("step", F.explode(F.sequence("first_step", "last_step")))
-    return steps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).cast("bigint"))
+    return steps.withColumn("slot", each_below(slots))
 
 
 def mask_seeds(steps: DataFrame, iterations: int, random: bool, seed: int = 0, key: Sequence[str] = ("step",)) -> DataFrame:
     """A prompt-mask seed per rollout and iteration, drawn or constant."""
-    each = steps.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).cast("bigint"))
+    each = steps.withColumn("iter", each_below(iterations))
     if not random:
         return each.withColumn("mask_seed", F.lit(CONSTANT_SEED).cast("bigint"))
     drawn = integer_below(seed, SEED_RANGE, *[F.col(k) for k in key], F.col("iter"))

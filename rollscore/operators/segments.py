@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollscore.functions.ranges import below, each_below
 from rollscore.functions.sampling import digest
 from rollscore.functions.tokens import is_hidden, mask_state
 from rollscore.functions.text import let
@@ -92,8 +93,7 @@ def sample_segments(
     candidates = segmented.groupBy(*by).agg(
         F.count(F.lit(1)).alias(ROW_COUNT), F.collect_set(usable).alias("_found")
     )
-    everything = F.sequence(F.lit(0).cast("bigint"), F.lit(segments - 1).cast("bigint"))
-    pool = F.when(F.size("_found") > 0, F.col("_found")).otherwise(everything)
+    pool = F.when(F.size("_found") > 0, F.col("_found")).otherwise(below(segments))
     seed = step.cast("bigint") * iterations + F.col("iter")
 
     def draw(candidates: Column) -> Column:
@@ -102,8 +102,8 @@ def sample_segments(
         ))
         return F.array_sort(F.slice(ordered, 1, k)["segment"])
 
-    return candidates.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).select(
-        *by, F.col("iter").cast("bigint").alias("iter"), let(pool, draw).alias("segments"), ROW_COUNT
+    return candidates.withColumn("iter", each_below(iterations)).select(
+        *by, "iter", let(pool, draw).alias("segments"), ROW_COUNT
     )
 
 

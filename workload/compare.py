@@ -17,7 +17,7 @@ TABLES = (
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    connection = duckdb.connect()
+    connection = duckdb.connect(config={"memory_limit": "8GB"})
     for table in TABLES:
         connection.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     return connection

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollscore.functions.ranges import each_below
+
 STEPS = 16
 SEGMENTS = 4
 SAMPLED = 2
@@ -207,7 +209,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))))
+    return words(spark, sf_dir).withColumn("s", each_below(SEGMENTS))
 
 
 def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

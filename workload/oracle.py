@@ -99,34 +99,39 @@ def unbox(box: str) -> str:
     )
 
 
+def chain(source: str, *steps: str) -> str:
+    """Apply select lists one after another, each on stored rows, so that none is written out twice."""
+    parts = [f"s0 as materialized (select * from {source})"]
+    parts += [f"s{i} as materialized (select {step} from s{i - 1})" for i, step in enumerate(steps, 1)]
+    return f"(with {', '.join(parts)} select * from s{len(steps)})"
+
+
 def boxed_columns(source: str, text: str, prefix: str = "") -> str:
     """Add ``boxed`` and ``unboxed`` columns of a text column."""
-    inner = f"select *, {last_boxed(text)} as {prefix}boxed from {source}"
-    return f"(select *, {unbox(prefix + 'boxed')} as {prefix}unboxed from ({inner}))"
+    return chain(
+        source, f"*, {last_boxed(text)} as {prefix}boxed", f"*, {unbox(prefix + 'boxed')} as {prefix}unboxed"
+    )
 
 
 def normal_form(source: str, column: str, out: str) -> str:
     """Add the normal form of a column, step by step; NULL where it fails."""
-    def step(query: str, expression: str) -> str:
-        return f"select * exclude (x), {expression} as x from ({query})"
-
-    query = f"select *, {column} as x from {source}"
-    query = step(query, r"replace(replace(replace(x, chr(10), ''), '\!', ''), '\\', '\')")
-    query = step(query, r"replace(replace(replace(replace(x, 'tfrac', 'frac'), 'dfrac', 'frac'), '\left', ''), '\right', '')")
-    query = step(query, r"replace(replace(replace(x, '^{\circ}', ''), '^\circ', ''), '\$', '')")
-    query = step(query, units("x"))
-    query = step(query, r"replace(replace(replace(x, '\%', ''), ' .', ' 0.'), '{.', '{0.')")
-    query = step(query, "case when starts_with(x, '.') then '0' || x else x end")
-    query = step(
-        query,
+    steps = [
+        r"replace(replace(replace(x, chr(10), ''), '\!', ''), '\\', '\')",
+        r"replace(replace(replace(replace(x, 'tfrac', 'frac'), 'dfrac', 'frac'), '\left', ''), '\right', '')",
+        r"replace(replace(replace(x, '^{\circ}', ''), '^\circ', ''), '\$', '')",
+        units("x"),
+        r"replace(replace(replace(x, '\%', ''), ' .', ' 0.'), '{.', '{0.')",
+        "case when starts_with(x, '.') then '0' || x else x end",
         "case when len(string_split(x, '=')) = 2 and length(string_split(x, '=')[1]) <= 2 then string_split(x, '=')[2] else x end",
+        square_roots("x"),
+        "replace(x, ' ', '')",
+        fractions("x"),
+        r"case when x = '0.5' then '\frac{1}{2}' else x end",
+        slash("x"),
+    ]
+    return chain(
+        source, f"*, {column} as x", *[f"* exclude (x), {e} as x" for e in steps], f"* exclude (x), x as {out}"
     )
-    query = step(query, square_roots("x"))
-    query = step(query, "replace(x, ' ', '')")
-    query = step(query, fractions("x"))
-    query = step(query, r"case when x = '0.5' then '\frac{1}{2}' else x end")
-    query = step(query, slash("x"))
-    return f"(select * exclude (x), x as {out} from ({query}))"
 
 
 def units(x: str) -> str:
@@ -185,7 +190,10 @@ def on_math(expression: str) -> str:
 def math_prediction(source: str) -> str:
     """Add ``prediction``: the box, or the first tag if the box is missing or empty."""
     body = f"case when {has_tag('completion')} then {tag_body('completion')} end"
-    return f"(select *, case when unboxed <> '' then unboxed else coalesce({body}, unboxed) end as prediction from {boxed_columns(source, 'completion')})"
+    return chain(
+        boxed_columns(source, "completion"),
+        f"*, case when unboxed <> '' then unboxed else coalesce({body}, unboxed) end as prediction",
+    )
 
 
 # --- rewards ------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollscore.functions import answers, logits, mathnorm, prompts, sampling, tokens
+from rollscore.functions.ranges import each_below
 from rollscore.functions.rewards import REWARDS, TASK_REWARDS
 from rollscore.operators import (
     advantages, likelihood, losses, position, rewards, runs, schedule, segments, trace,
@@ -99,9 +100,7 @@ def logit_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def segment_logits(spark: SparkSession, sf: str) -> DataFrame:
     """The same logits for each segment's forward pass, scaled by the segment."""
-    each = logit_rows(spark, sf).withColumn(
-        "segment", F.explode(F.sequence(F.lit(0), F.lit(fx.SEGMENTS - 1))).cast("bigint")
-    )
+    each = logit_rows(spark, sf).withColumn("segment", each_below(fx.SEGMENTS))
     return each.withColumn("logits", F.transform("logits", lambda x: x * (1 + C("segment") / 4)))
 
 
