@@ -31,6 +31,10 @@ def r6(expression: str) -> str:
     return f"(round({expression}, 6) + 0.0)"
 
 
+def r9(expression: str) -> str:
+    return f"(round({expression}, 9) + 0.0)"
+
+
 def strip(text: str) -> str:
     return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
 
@@ -563,7 +567,7 @@ from target t left join others on others.seq_id = t.seq_id and others.segment =
 
 def long_position_sums(threshold: str) -> str:
     return (
-        f"select seq_id, segment, {r6('sum(pos_logp)')} as pos_logp, {r6('min(pos_logp)')} as lowest, count(*) as n "
+        f"select seq_id, segment, cast(sum(cast(round(pos_logp * 1e6) as bigint)) as bigint) as pos_logp_micros, {r6('min(pos_logp)')} as lowest, count(*) as n "
         f"from {long_position(threshold)} group by seq_id, segment"
     )
 
@@ -629,10 +633,10 @@ ORACLE: dict[str, str] = {
     f"select example_index, g.group_id, answer, {correct('completion', 'answer')} as reward from g join k on g.group_id = k.group_id",
     "a1_total": f"select step, group_id, sample_id, {r6('reward')} as reward from {TOTALS}",
     "a2_all_null": f"select step, group_id, sample_id, count(*) as n_funcs from {LONG} group by step, group_id, sample_id having count(reward) = 0",
-    "a3_func_mean": f"select step, func, {r6('avg(reward)')} as mean_reward, count(reward) as n_scored from {LONG} group by step, func",
-    "a4_std": f"select step, {r6('reward_mean')} as reward_mean, {r6('reward_std')} as reward_std, n_samples from {REWARD_STATS}",
-    "a5_zero_std": f"select step, {r6('zero_std_ratio')} as zero_std_ratio from {REWARD_STATS}",
-    "a7_adv_stats": f"select step, {r6('avg(a)')} as advantage_mean, {r6('coalesce(stddev_samp(a), 0)')} as advantage_std "
+    "a3_func_mean": f"select step, func, {r9('avg(reward)')} as mean_reward, count(reward) as n_scored from {LONG} group by step, func",
+    "a4_std": f"select step, {r9('reward_mean')} as reward_mean, {r9('reward_std')} as reward_std, n_samples from {REWARD_STATS}",
+    "a5_zero_std": f"select step, {r9('zero_std_ratio')} as zero_std_ratio from {REWARD_STATS}",
+    "a7_adv_stats": f"select step, {r9('avg(a)')} as advantage_mean, {r9('coalesce(stddev_samp(a), 0)')} as advantage_std "
     f"from (select step, {RLOO} as a from {GROUPED}) group by step",
     "w1_rloo": advantage(RLOO),
     "w2_grpo": advantage("reward - gs / gn"),
@@ -650,7 +654,7 @@ ORACLE: dict[str, str] = {
     "u2_duplicates": f"select run, example_index, count(*) as n from {RUN_ROWS} group by run, example_index having count(*) > 1",
     "s5_log": f"select g.step, 'q' || cast(g.group_id as varchar) as prompt, completion, {r6('t.reward')} as reward "
     f"from {G} g join {TOTALS} t on g.step = t.step and g.group_id = t.group_id and g.sample_id = t.sample_id where g.step % 3 = 0",
-    "s6_metrics": f"select step, 'reward/' || name as name, {r6('value')} as value from (unpivot (select step, reward_mean, reward_std, "
+    "s6_metrics": f"select step, 'reward/' || name as name, {r9('value')} as value from (unpivot (select step, reward_mean, reward_std, "
     f"zero_std_ratio, cast(n_samples as double) as n_samples from {REWARD_STATS}) on reward_mean, reward_std, zero_std_ratio, n_samples "
     "into name name value value)",
     "p13_shard": f"select example_index, example_index % 7 as rank, (example_index // 7) // 4 as batch from {G}",

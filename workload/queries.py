@@ -31,9 +31,17 @@ def r6(value: Column) -> Column:
     return F.round(value, 6)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to 6 decimals, for comparison between engines."""
-    return df.select(*[r6(C(n)).alias(n) if t == "double" else C(n) for n, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to 6 decimals, for comparison between engines.
+
+    Means of rewards take 9: they are short decimals that may end in a 5 after the sixth.
+    """
+    return df.select(*[F.round(C(n), digits).alias(n) if t == "double" else C(n) for n, t in df.dtypes])
+
+
+def micros(value: Column) -> Column:
+    """Millionths as an integer, so that sums over long texts do not depend on their order."""
+    return F.round(value * 1e6).cast("bigint")
 
 
 # --- fixtures -----------------------------------------------------------------------------------
@@ -192,11 +200,11 @@ def advantage_query(estimator: str) -> Query:
 
 
 def reward_metrics(*columns: str) -> Query:
-    return lambda spark, sf: rounded(advantages.reward_stats(totals(spark, sf)).select("step", *columns))
+    return lambda spark, sf: rounded(advantages.reward_stats(totals(spark, sf)).select("step", *columns), 9)
 
 
 def adv_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(advantages.advantage_stats(advantages.advantages(totals(spark, sf), "rloo")))
+    return rounded(advantages.advantage_stats(advantages.advantages(totals(spark, sf), "rloo")), 9)
 
 
 # --- runs ---------------------------------------------------------------------------------------
@@ -235,7 +243,7 @@ def log_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
     metrics = advantages.reward_stats(totals(spark, sf))
-    return rounded(sinks.metric_log(metrics, prefix="reward/"))
+    return rounded(sinks.metric_log(metrics, prefix="reward/"), 9)
 
 
 def shard_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -586,7 +594,7 @@ def long_position_query(scope: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         table = position.position_logps(position_rows(spark, sf), fx.STEPS, fx.SEGMENTS, "softmax", scope, 0.5)
         return rounded(table.groupBy("seq_id", "segment").agg(
-            F.sum("pos_logp").alias("pos_logp"), F.min("pos_logp").alias("lowest"), F.count(F.lit(1)).alias("n")
+            F.sum(micros(C("pos_logp"))).alias("pos_logp_micros"), F.min("pos_logp").alias("lowest"), F.count(F.lit(1)).alias("n")
         ))
 
     return query
@@ -642,7 +650,7 @@ QUERIES: dict[str, Query] = {
     "j2_gold": gold_join,
     "a1_total": lambda spark, sf: rounded(totals(spark, sf)),
     "a2_all_null": lambda spark, sf: rewards.all_null_rewards(scored_rows(spark, sf)),
-    "a3_func_mean": lambda spark, sf: rounded(rewards.mean_reward_per_func(scored_rows(spark, sf))),
+    "a3_func_mean": lambda spark, sf: rounded(rewards.mean_reward_per_func(scored_rows(spark, sf)), 9),
     "a4_std": reward_metrics("reward_mean", "reward_std", "n_samples"),
     "a5_zero_std": reward_metrics("zero_std_ratio"),
     "a7_adv_stats": adv_stats,
