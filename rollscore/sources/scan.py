@@ -1,0 +1,21 @@
+"""Table scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan with fewer splits than there are cores over all cores.
+
+    A small file is one split, and the work on its rows would run on one core. Scans with
+    enough splits, as all large tables have, stay as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A Parquet table, cut to the columns needed, on all cores."""
+    table = spark.read.parquet(path)
+    return spread(table if columns is None else table.select(*columns))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollscore.functions.ranges import each_below
+from rollscore.sources.scan import read_table
 
 STEPS = 16
 SEGMENTS = 4
@@ -194,11 +195,16 @@ from {words}
 # The words once per segment, in DuckDB; Spark's are in segment_words().
 SEGMENT_WORDS = "select *, unnest(range(4)) as s from {words}"
 
-TABLES = ("orders", "documents", "embeddings")
+USED_COLUMNS = {
+    "orders": ["o_orderkey", "o_custkey"],
+    "documents": ["doc_id", "text", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+}
+TABLES = tuple(USED_COLUMNS)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, f"{sf_dir}/{table}.parquet", USED_COLUMNS[table])
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
