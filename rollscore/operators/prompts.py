@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollscore.functions.answers import extract_hash_answer, extract_hash_number
-from rollscore.functions.prompts import REASONING_START, eval_prompt, train_prompt
+from rollscore.functions.prompts import REASONING_START, apply_chat_template, eval_prompt, train_prompt
 from rollscore.functions.sampling import digest
 from rollscore.functions.tokens import attention_mask, pad_left
 from rollscore.plans.skew import SPLIT_ROWS, attach_aggregates
 
-SHUFFLE_BUCKETS = 4096
+RANGE_DIGITS = 5
 
 
 def train_prompts(questions: DataFrame, kind: str) -> DataFrame:
@@ -31,8 +31,6 @@ def train_prompts(questions: DataFrame, kind: str) -> DataFrame:
 
 def eval_prompts(questions: DataFrame, kind: str, template: dict[str, str], add_reasoning: bool = False) -> DataFrame:
     """Rendered evaluation prompts with the gold answer as text and as number."""
-    from rollscore.functions.prompts import apply_chat_template
-
     question = F.col("question" if kind == "gsm8k" else "problem")
     text = apply_chat_template(eval_prompt(kind, question), **template)
     if add_reasoning:
@@ -86,15 +84,13 @@ def shuffle(df: DataFrame, seed: int, index: str = "example_index") -> DataFrame
 def shuffled_positions(df: DataFrame, seed: int, index: str = "example_index") -> DataFrame:
     """0-based ``position`` of each row in the seeded permutation, without a global sort.
 
-    The digests are uniform, so their first three hex digits cut the rows into 4096 even
-    ranges. Rows are numbered within their range, and the ranges' offsets come from 4096
-    counts - a fixed bound, whatever the data.
+    The digests are uniform, so their first five hex digits cut the rows into a million even
+    ranges. Rows are numbered within their range, and the ranges' offsets come from at most a
+    million counts - a fixed bound, whatever the data.
     """
     keyed = df.withColumn("_digest", digest(seed, F.col(index))).withColumn(
-        "_range", F.substring("_digest", 1, 3)
+        "_range", F.substring("_digest", 1, RANGE_DIGITS)
     )
-    from pyspark.sql import Window
-
     counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before"))

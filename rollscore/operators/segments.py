@@ -53,6 +53,12 @@ def active_segments(segmented: DataFrame, by: Sequence[str] = ("batch_id",)) ->
     return segmented.where(F.col("segment").isNotNull()).select(*by, "segment").distinct()
 
 
+def _segments_found(segmented: DataFrame, segment: Column, by: Sequence[str]) -> DataFrame:
+    """Row count and set of segments per batch, from one row per (batch, segment)."""
+    per_segment = segmented.groupBy(*by, segment.alias("_one")).agg(F.count(F.lit(1)).alias("_n"))
+    return per_segment.groupBy(*by).agg(F.sum("_n").alias(ROW_COUNT), F.array_sort(F.collect_set("_one")).alias("_found"))
+
+
 def segment_inputs(
     segmented: DataFrame, steps: int, segments: int, mask_id: int, by: Sequence[str] = ("batch_id",),
     split_rows: int = SPLIT_ROWS,
@@ -64,8 +70,8 @@ def segment_inputs(
     tokens as one array.
     """
     width = segment_width(steps, segments)
-    marked = attach_aggregates(segmented, by, split_rows, _active=F.array_sort(F.collect_set("segment")))
-    each = marked.withColumnRenamed("segment", "_own").withColumn("segment", F.explode("_active"))
+    marked = attach(segmented, _segments_found(segmented, F.col("segment"), by), by, split_rows)
+    each = marked.withColumnRenamed("segment", "_own").withColumn("segment", F.explode("_found"))
     start = F.col("segment") * width
     return each.select(
         *by, "segment", "seq_id", "pos",
@@ -89,10 +95,7 @@ def sample_segments(
     if not 0 < k <= segments:
         raise ValueError(f"Cannot sample {k} of {segments} segments")
     step = F.lit(0) if step is None else step
-    usable = F.when(F.col("is_valid"), F.col("segment"))
-    candidates = segmented.groupBy(*by).agg(
-        F.count(F.lit(1)).alias(ROW_COUNT), F.collect_set(usable).alias("_found")
-    )
+    candidates = _segments_found(segmented, F.when(F.col("is_valid"), F.col("segment")), by)
     pool = F.when(F.size("_found") > 0, F.col("_found")).otherwise(below(segments))
     seed = step.cast("bigint") * iterations + F.col("iter")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from rollscore.schemas import QUESTIONS
 from rollscore.session import cut_lineage
 
+PLACE_BITS = 33  # Fixed value: monotonically_increasing_id keeps the place within a partition in these bits.
+
 
 def read_questions(spark: SparkSession, path: str, kind: str, fmt: str = "json") -> DataFrame:
     """Questions of one task with the given schema; no inference pass over the files."""
@@ -21,19 +23,20 @@ def read_questions(spark: SparkSession, path: str, kind: str, fmt: str = "json")
 def with_dense_index(df: DataFrame, order_by: Sequence[str], name: str = "example_index") -> DataFrame:
     """Number rows 0, 1, .. in the order of unique columns, in two passes.
 
-    The rows are range-partitioned and written once, so that both passes see the same
-    partitions. Only one count per partition is brought together.
+    The rows are range-partitioned, sorted and checkpointed once, so that both passes read the
+    same partitions, also after a task is run again. A row's id then holds its partition and its
+    place in it. Only one count per partition is brought together; no row is shuffled again.
     """
     keys = list(order_by)
-    ranged = cut_lineage(
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    stored = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    ranged = stored.withColumn("_id", F.monotonically_increasing_id()).withColumns(
+        {"_part": F.shiftright("_id", PLACE_BITS), "_place": F.col("_id").bitwiseAND((1 << PLACE_BITS) - 1)}
     )
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_part").orderBy(*keys)
     return (
         ranged.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + F.row_number().over(within) - 1)
-        .drop("_part", "_before")
+        .withColumn(name, F.col("_before") + F.col("_place"))
+        .drop("_id", "_part", "_place", "_before")
     )

@@ -112,10 +112,9 @@ from f
 
 RANKS = (
     "with rows as (" + RUN_ROWS + """)
-select run, file_no, min(rank) as rank, min(dataset) as dataset, min(world_size) as world_size,
-       min(dataset_size) as dataset_size, min(config) as config, count(*) as total_processed,
+select run, file_no, rank, dataset, world_size, dataset_size, config, count(*) as total_processed,
        cast(max(k % 97) as double) / 4 + 1 as wall_time_seconds
-from rows group by run, file_no
+from rows group by run, file_no, rank, dataset, world_size, dataset_size, config
 """
 )
 
