@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscore.functions.logits import confidence, own_score, token_logp
+from rollscore.functions.logits import cfg_combine, confidence, own_score, token_logp
 from rollscore.functions.ranges import each_below
 from rollscore.operators.segments import segment_of
 
@@ -39,6 +39,18 @@ def with_targets(logits: DataFrame, traj: DataFrame, keys: Sequence[str] = TOKEN
     return logits.join(targets, list(keys), "inner")
 
 
+def combine_passes(
+    conditional: DataFrame, unconditional: DataFrame, scale: float,
+    keys: Sequence[str] = ("seq_id", "segment", "pos"),
+) -> DataFrame:
+    """Guided logits from two logged passes; the second is not read without a scale."""
+    if scale == 0:
+        return conditional
+    other = unconditional.select(*keys, F.col("logits").alias("_other"))
+    both = conditional.join(other, list(keys), "inner")
+    return both.withColumn("logits", cfg_combine(F.col("logits"), F.col("_other"), scale)).drop("_other")
+
+
 def merge_segment_logps(
     traj: DataFrame, logps: DataFrame, keys: Sequence[str] = TOKEN_KEYS, value: str = "logp"
 ) -> DataFrame:
@@ -53,10 +65,7 @@ def repeat_iterations(logps: DataFrame, iterations: int) -> DataFrame:
     return logps.withColumn("iter", each_below(iterations))
 
 
-def position_scores(
-    logits: DataFrame, method: str = "max_logit", source: str = "gt", steps: int | None = None,
-    segments: int | None = None,
-) -> DataFrame:
+def position_scores(logits: DataFrame, method: str = "max_logit", source: str = "gt") -> DataFrame:
     """Reduce each array to the two scores that position likelihood needs."""
     own: Column = own_score(F.col("logits"), F.col("token_id"), method, source)
     kept = [c for c in logits.columns if c != "logits"]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,21 @@ def reward_table(
     return wide.unpivot(list(keys), list(rewards), "func", "reward")
 
 
+def model_rewards(
+    completions: DataFrame, func: str, score: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    keys: Sequence[str] = SAMPLE_KEYS,
+) -> DataFrame:
+    """long rewards of a user's model, to be united with ``reward_table``'s.
+
+    ``score`` gets Arrow-sized batches of a task's rows, so that it can load its model once per
+    task, and yields the key columns with ``reward``.
+    """
+    types = dict(completions.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "reward double"])
+    scored = completions.mapInPandas(score, schema)
+    return scored.select(*keys, F.lit(func).alias("func"), _clean(F.col("reward")).alias("reward"))
+
+
 def _clean(reward: Column) -> Column:
     """NaN and NULL both mean that the function does not apply."""
     as_double = reward.cast("double")

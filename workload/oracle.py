@@ -400,6 +400,14 @@ select seq_id, step, pos, {r6('confidence')} as confidence from {DECODE} where i
 qualify row_number() over (partition by seq_id, step order by confidence desc, pos) <= k
 """
 
+SELECTION_AUDIT = f"""
+with d as (select *, is_masked and pos < block_end as open from {DECODE}),
+r as (select *, open and row_number() over (partition by seq_id, step, open order by confidence desc, pos) <= k as chosen from d)
+select r.seq_id, r.step, r.pos, case when chosen then 'not_revealed' else 'not_selected' end as problem
+from r left join {T} t on t.seq_id = r.seq_id and t.pos = r.pos
+where chosen <> coalesce(t.unmask_step = r.step, false)
+"""
+
 # --- losses -------------------------------------------------------------------------------------
 
 LOW, HIGH = 1 - fx.CLIP_LOW, 1 + fx.CLIP_HIGH
@@ -415,9 +423,9 @@ def token_terms(sampled: bool, low: float, high: float, position: bool = False)
     )
 
 
-def token_loss(kind: str, sampled: bool, averaging: str = "token") -> str:
+def token_loss(kind: str, sampled: bool, averaging: str = "token", position: bool = False) -> str:
     high = 1 + fx.CLIP_LOW if kind == "grpo" else HIGH
-    terms = token_terms(sampled, LOW, high)
+    terms = token_terms(sampled, LOW, high, position)
     value = "-advantage * new_logp * m" if kind == "reinforce" else "-least(ratio * advantage * m, cr * advantage * m)"
     if averaging == "token":
         loss = "coalesce(sum(v) / nullif(sum(m), 0), 0)"
@@ -506,6 +514,32 @@ select a.batch_id, {r6('a.x')} as policy_loss, {r6('b.x')} as position_loss, {r6
 from a join b on a.batch_id = b.batch_id join {KL} k on a.batch_id = k.batch_id
 """
 
+def long_metrics(prefix: str, query: str, names: str) -> str:
+    """Metric columns as rows."""
+    listed = ", ".join(f"cast({n} as double) as {n}" for n in names.split())
+    return (
+        f"select batch_id, '{prefix}' || name as name, value from (unpivot (select batch_id, {listed} from ({query})) "
+        f"on {', '.join(names.split())} into name name value value)"
+    )
+
+
+_RATIOS = "ratio_mean ratio_max ratio_min"
+UPDATE_METRICS = " union all ".join([
+    long_metrics("policy/", gspo(True), f"loss {_RATIOS} ratio_std clipped_fraction avg_sequence_length valid_sequences sampled_tokens_ratio sampling_rate"),
+    long_metrics("position/", token_loss("dapo", True, position=True), f"loss {_RATIOS} total_tokens sampled_tokens_ratio clipfrac_low clipfrac_high clipfrac_total"),
+    long_metrics("", f"""
+      select a.batch_id, {r6('a.x')} as policy_loss, {r6('b.x')} as position_loss, {r6('b.x * 0.5')} as weighted_position_loss,
+             {r6('kl')} as kl, {r6('a.x + 0.5 * b.x + 0.04 * kl')} as total_loss
+      from (select batch_id, {gspo_loss()} as x from {sequence_terms(True)} group by batch_id) a
+      join (select batch_id, coalesce(sum(-least(ratio * advantage * m, cr * advantage * m)) / nullif(sum(m), 0), 0) as x
+            from {token_terms(True, LOW, HIGH, True)} group by batch_id) b on a.batch_id = b.batch_id
+      join {KL} k on a.batch_id = k.batch_id""", "policy_loss position_loss weighted_position_loss kl total_loss"),
+    long_metrics("", f"select batch_id, {r6('avg(a)')} as advantage_mean, {r6('coalesce(stddev_samp(a), 0)')} as advantage_std "
+                 f"from (select batch_id, seq_id, max(advantage) as a from {LOGPS} group by all) group by batch_id", "advantage_mean advantage_std"),
+    long_metrics("", f"select batch_id, {r6('count(*) filter (where is_valid and is_sampled) / nullif(count(*) filter (where is_valid), 0)')} as token_coverage "
+                 f"from {LOGPS} group by batch_id", "token_coverage"),
+])
+
 # --- logits -------------------------------------------------------------------------------------
 
 # One row per logit, for reductions by plain grouping.
@@ -698,6 +732,7 @@ ORACLE: dict[str, str] = {
     "w5_quota": "select doc_id as seq_id, step, n // 12 + case when step < n % 12 then 1 else 0 end as quota "
     "from (select doc_id, len(string_split(text, ' ')) as n from documents), (select unnest(range(12)) as step)",
     "k1_select": SELECTED,
+    "k1_audit": SELECTION_AUDIT,
     "j3_logps": f"select batch_id, seq_id, pos, new_logp, old_logp, ref_logp, advantage from {LOGPS}",
     "a11_reinforce": token_loss("reinforce", True),
     "a12_grpo": token_loss("grpo", True),
@@ -712,6 +747,7 @@ ORACLE: dict[str, str] = {
     "a19_clip_mask": CLIP_HANDOVER,
     "a20_kl": f"select batch_id, {r6('kl')} as kl from {KL}",
     "a21_total": TOTAL,
+    "s6_update_metrics": UPDATE_METRICS,
     "r8_token_logp": f"select vec_id, {r6('tgt - lse')} as logp from {REDUCED}",
     "r9_confidence": f"select vec_id, {r6('top')} as max_logit, {r6('exp(top - lse)')} as top_prob, {r6('neg_entropy')} as neg_entropy, "
     f"{r6('exp(top - lse) - exp(second - lse)')} as margin from {REDUCED}",

@@ -16,6 +16,7 @@ from rollscore.operators import (
 from rollscore.operators import prompts as prompt_ops
 from rollscore.operators.losses import Loss
 from rollscore.plans import jobs
+from rollscore.recipe import load_recipe
 from rollscore.sources import sinks
 from workload import fixtures as fx
 
@@ -446,6 +447,12 @@ def select_unmask(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("seq_id", "step", "pos", r6(C("confidence")).alias("confidence"))
 
 
+def selection_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Which positions the logged scores of a step select, against those the trace reveals."""
+    scores = fx.derive(spark, sf, fx.DECODE_SCORES)
+    return trace.audit_selection(scores, traj(spark, sf), max_k=3)
+
+
 # --- losses -------------------------------------------------------------------------------------
 
 
@@ -500,6 +507,16 @@ def total_query(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(combined)
 
 
+def update_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """All metrics of each update, as one long table."""
+    recipe = load_recipe({
+        "loss_type": "gspo", "position_loss_type": "dapo", "use_stepmerge": True, "use_position_likelihood": True,
+        "clip_eps_low": fx.CLIP_LOW, "clip_eps_high": fx.CLIP_HIGH, "position_clip_eps_low": fx.CLIP_LOW,
+        "position_clip_eps_high": fx.CLIP_HIGH, "position_likelihood_lambda": 0.5, "beta": 0.04, "num_iterations": 2,
+    })
+    return rounded(jobs.update_metrics(logps(spark, sf), recipe))
+
+
 # --- logits and position likelihood -------------------------------------------------------------
 
 
@@ -518,10 +535,9 @@ def confidences(spark: SparkSession, sf: str) -> DataFrame:
 def guided(spark: SparkSession, sf: str) -> DataFrame:
     """Two logged passes joined by token, the second one scaled down."""
     rows = logit_rows(spark, sf)
-    other = rows.select("vec_id", F.transform("logits", lambda x: x * 0.5).alias("unconditional"))
-    both = rows.join(other, "vec_id", "inner")
-    combined = logits.cfg_combine(C("logits"), C("unconditional"), 1.5)
-    return both.select("vec_id", F.posexplode(combined).alias("token", "value")).select(
+    other = rows.withColumn("logits", F.transform("logits", lambda x: x * 0.5))
+    both = likelihood.combine_passes(rows, other, 1.5, ["vec_id"])
+    return both.select("vec_id", F.posexplode("logits").alias("token", "value")).select(
         "vec_id", C("token").cast("bigint").alias("token"), r6(C("value")).alias("value")
     )
 
@@ -695,6 +711,7 @@ QUERIES: dict[str, Query] = {
     "t7_schedule": schedule_query,
     "w5_quota": quota,
     "k1_select": select_unmask,
+    "k1_audit": selection_audit,
     "j3_logps": separate_logps,
     "a11_reinforce": loss_query("reinforce"),
     "a12_grpo": loss_query("grpo"),
@@ -708,6 +725,7 @@ QUERIES: dict[str, Query] = {
     "a19_clip_mask": clip_handover,
     "a20_kl": kl_query,
     "a21_total": total_query,
+    "s6_update_metrics": update_metrics,
     "r8_token_logp": token_logps,
     "r9_confidence": confidences,
     "r10_cfg": guided,
