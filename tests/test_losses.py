@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rollscore.operators import losses
 from rollscore.operators.losses import Loss
 from rollscore.plans import jobs
+from rollscore.recipe import Recipe
 
 SCHEMA = (
     "batch_id int, seq_id int, pos int, new_logp double, old_logp double, ref_logp double, advantage double, "
@@ -163,6 +164,23 @@ def test_advantages_are_attached(spark, split_rows):
     assert row.loss == pytest.approx(expected("grpo", "token_level", True, 0.2, 0.2, tokens()))
 
 
+def test_update_metrics(spark):
+    """One long table per update with everything the recipe asks for."""
+    rows = frame(spark).withColumns({"new_pos_logp": F.col("new_logp") * 0.5, "old_pos_logp": F.col("old_logp") * 0.5})
+    settings = dict(loss_type="dapo", position_loss_type="grpo", clip_eps_low=0.04, clip_eps_high=0.05, position_clip_eps=0.04,
+                    use_stepmerge=True, use_position_likelihood=True, num_iterations=2, beta=0.04)
+    metrics = {}
+    for skip in (False, True):
+        recipe = Recipe(position_mask_token_clipped=skip, **settings)
+        metrics[skip] = {r.name: r.value for r in jobs.update_metrics(rows, recipe).collect()}
+    plain, masked = metrics[False], metrics[True]
+    assert plain["policy/loss"] == pytest.approx(expected("dapo", "token_level", True, 0.04, 0.05, tokens()))
+    assert plain["kl"] == pytest.approx(math.exp(0.02) - 0.02 - 1)
+    assert plain["total_loss"] == pytest.approx(plain["policy_loss"] + plain["position_loss"] + 0.04 * plain["kl"])
+    assert "position/token_clip_masked_frac" in masked and "position/token_clip_masked_frac" not in plain
+    assert plain["advantage_mean"] == pytest.approx(2.5 / 3) and plain["token_coverage"] == pytest.approx(4 / 7)
+
+
 def test_unknown_names():
     with pytest.raises(ValueError):
         Loss("ppo")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rollscore.functions.rewards import REWARDS, TASK_REWARDS, boxed_format, python_reward
 from rollscore.operators import advantages, rewards
+from rollscore.plans import jobs
 
 
 def reward(spark, name, completion, answer=None, **options):
@@ -106,6 +107,28 @@ def test_python_reward_may_return_none(spark):
     assert got[0, 1] is None and got[1, 1] == 18.0
 
 
+def test_model_rewards_join_the_long_table(spark):
+    """A user's model scores batches in Python; rows it cannot score get NULL."""
+    def score(batches):
+        for batch in batches:
+            yield batch.assign(reward=[None if s == 0 else s / 2 for s in batch.sample_id])[["step", "group_id", "sample_id", "reward"]]
+
+    scored = rewards.model_rewards(completions(spark), "model", score)
+    both = rewards.reward_table(completions(spark), ["integer_answer"]).unionByName(scored)
+    got = {(r.group_id, r.sample_id): r.reward for r in both.where("func = 'model'").collect()}
+    assert both.count() == 24 and got[1, 0] is None and got[1, 3] == 1.5
+
+
+def test_advantage_and_rollout_metric_jobs(spark):
+    rows = rewards.reward_table(completions(spark), TASK_REWARDS["gsm8k"])
+    per_sample, metrics = jobs.advantages(rows)
+    assert per_sample.count() == 12 and metrics.first().n_samples == 12
+    traj = spark.createDataFrame([(0, 1, True), (0, 1, False), (0, 2, True)], "step int, seq_id int, is_valid boolean")
+    got = {r.name: r.value for r in jobs.rollout_metrics(rows, traj).collect()}
+    assert got["completion_length"] == 1.0 and got["rewards/integer_answer"] == 0.5
+    assert {"reward", "reward_std", "zero_std_ratio", "rewards/correct_answer"} <= set(got)
+
+
 def test_gold_is_repeated_per_group(spark):
     gold = spark.createDataFrame([(0, "g0"), (1, "g1")], "group_id int, gold string")
     for split in (1_000_000, 2):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from rollscore.functions import tokens
 from rollscore.operators import prompts, segments, trace
 from rollscore.operators.schedule import mask_seeds, rollout_schedule, step_grid
+from rollscore.plans import jobs
+from rollscore.recipe import Recipe
 
 
 def toy(spark):
@@ -157,6 +159,33 @@ def test_audit(spark):
     assert audit([0, 0, 1, 2, 2, 2, 3, 3]) == [(0, 1, 2, 1, "wrong_count"), (0, 2, 0, 1, "outside_block")]
 
 
+def test_audit_trace_job(spark):
+    """Schedule and selection are checked together."""
+    traj = spark.createDataFrame([(0, p, s) for p, s in enumerate([0, 0, 1, 1])], "seq_id int, pos int, unmask_step int")
+    scores = spark.createDataFrame(
+        [(0, 0, p, c, True, 4, 2) for p, c in enumerate([0.9, 0.1, 0.8, 0.2])],
+        "seq_id int, step int, pos int, confidence double, is_masked boolean, block_end int, k int",
+    )
+    recipe = Recipe(max_completion_length=4, block_length=4, diffusion_steps=2)
+    assert jobs.audit_trace(traj, recipe).count() == 0
+    found = sorted((r.step, r.pos, r.problem) for r in jobs.audit_trace(traj, recipe, scores).collect())
+    assert found == [(0, 1, "not_selected"), (0, 2, "not_revealed")]
+
+
+def test_segment_and_lineage_jobs(spark):
+    recipe = Recipe(max_completion_length=4, block_length=2, diffusion_steps=4, use_stepmerge=True, num_stepmerge_blocks=2,
+                    stepmerge_sample_k_blocks=1, num_iterations=3, gradient_accumulation_steps=4)
+    table = jobs.segment_trajectories(toy(spark), recipe, eos_id=99)
+    assert table.count() == 24 and {"is_valid", "segment", "is_sampled", "iter"} <= set(table.columns)
+    runs = spark.createDataFrame([(0, 0, 5)], "run int, first_step long, last_step long")
+    assert jobs.rollout_lineage(step_grid(runs, 4), recipe).where("is_refreshed").count() == 8
+    questions = spark.createDataFrame([(i, f"q{i}", "#### 3") for i in range(5)], "example_index long, question string, answer string")
+    template = {"before": "<", "between": ">", "after": "", "header": "|"}
+    rows = {r.example_index: r for r in jobs.build_eval_prompts(questions, "gsm8k", template, 2, 2, True).collect()}
+    assert rows[4]["rank"] == 0 and rows[4].batch == 1 and rows[4].ground_truth == "3.0"
+    assert rows[1].prompt_input.startswith("<user>q1\n\n") and rows[1].prompt_input.endswith("|<reasoning>")
+
+
 @pytest.mark.parametrize("split_rows", [1_000_000, 3])
 def test_rollout_schedule(spark, split_rows):
     """Starts 0, 96 and 100 with four slots and twelve iterations: refilled on schedule and after a resume."""
