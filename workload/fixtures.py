@@ -92,29 +92,41 @@ select idx as example_index,
 from t
 """
 
-# Twenty runs, some of them with a defect. A run's examples are numbered from 0 and dealt to eight workers.
+# Twenty runs, some of them with a defect. A run's examples are numbered from 0 and dealt to eight
+# workers. Everything but a run's size follows from the row itself.
 RUN_ROWS = """
 with b as (select o_orderkey as idx, o_orderkey % 20 as r, cast(floor(o_orderkey / 20) as bigint) as k from {orders}),
-n as (select r, count(*) as size from b group by r),
-f as (select b.idx, b.r, b.k, n.size,
-             case when b.r = 9 and b.k % 8 = 6 then 5 when b.r = 15 then b.k % 9 else b.k % 8 end as file_no
-      from b join n on b.r = n.r)
+f as (select *, case when r = 9 and k % 8 = 6 then 5 when r = 15 then k % 9 else k % 8 end as file_no from b)
 select idx, 'run' || cast(r as varchar(20)) as run, file_no,
        case when r = 5 and file_no = 7 then 9 else file_no % 8 end as rank,
        case when r = 3 and k = 5 then 4 else k end as example_index,
        case when r = 13 then 'math' else 'gsm8k' end as dataset,
        cast(8 as bigint) as world_size,
-       case when r = 11 then size + 1 else size end as dataset_size,
        case when r = 7 and file_no = 2 then 'steps=64' else 'steps=32' end as config,
        k
 from f
 """
 
+# Examples of the runs with their texts.
+RUN_GENERATIONS = (
+    "with g as (" + GENERATIONS + """)
+select example_index as idx, 'run' || cast(example_index % 20 as varchar(20)) as run,
+       case when example_index % 20 = 3 and floor(example_index / 20) = 5 then 4
+            else cast(floor(example_index / 20) as bigint) end as example_index,
+       completion as generations, gold as ground_truth, gold_num
+from g
+"""
+)
+
+# One row per worker file; a run's size is the sum over its files.
 RANKS = (
-    "with rows as (" + RUN_ROWS + """)
-select run, file_no, rank, dataset, world_size, dataset_size, config, count(*) as total_processed,
-       cast(max(k % 97) as double) / 4 + 1 as wall_time_seconds
-from rows group by run, file_no, rank, dataset, world_size, dataset_size, config
+    "with rows as (" + RUN_ROWS + """),
+files as (select run, file_no, rank, dataset, world_size, config, count(*) as total_processed, max(k % 97) as slowest
+          from rows group by run, file_no, rank, dataset, world_size, config)
+select run, file_no, rank, dataset, world_size, config, total_processed,
+       cast(sum(total_processed) over (partition by run) + case when run = 'run11' then 1 else 0 end as bigint) as dataset_size,
+       cast(slowest as double) / 4 + 1 as wall_time_seconds
+from files
 """
 )
 

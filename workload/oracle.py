@@ -291,10 +291,7 @@ DOCUMENTS = (
 
 # --- runs ---------------------------------------------------------------------------------------
 
-RUN_TEXTS = (
-    "(select r.*, g.completion, g.gold as ground_truth, g.gold_num "
-    f"from {RUN_ROWS} r join (select example_index as order_id, completion, gold, gold_num from {G}) g on r.idx = g.order_id)"
-)
+RUN_TEXTS = f"(select *, generations as completion from {fx.duck(fx.RUN_GENERATIONS)})"
 GSM_SCORED = (
     "(select run, idx, example_index, p as extracted_answer, coalesce(p = gold_num, false) as is_correct "
     f"from (select *, {gsm_prediction('completion')} as p from {RUN_TEXTS}))"

@@ -80,11 +80,7 @@ def rank_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_generations(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs with their texts: rows of the run fixture joined to the generations of the same order."""
-    texts = generations(spark, sf).select(
-        C("example_index").alias("idx"), C("completion").alias("generations"), C("gold").alias("ground_truth")
-    )
-    return run_rows(spark, sf).join(texts, "idx", "inner")
+    return fx.derive(spark, sf, fx.RUN_GENERATIONS).drop("gold_num")
 
 
 def traj(spark: SparkSession, sf: str) -> DataFrame:
