@@ -58,7 +58,8 @@ def align(
 ) -> DataFrame:
     """New, old and reference log-probabilities side by side; old is new if not logged.
 
-    Keys are unique per token, so the joins shuffle evenly.
+    Keys are unique per token, so the joins shuffle evenly; tables stored with
+    ``write_token_table`` are joined without a shuffle.
     """
     keys = list(keys)
     aligned = new if old is None else new.join(old, keys, "inner")

@@ -36,7 +36,8 @@ def _flat_rows(files: DataFrame) -> DataFrame:
 
 
 def _files(reader, path: str, dataset: str) -> DataFrame:
-    raw = reader.schema(RANK_FILE).option("multiLine", True).option("pathGlobFilter", NAME.format(dataset=dataset))
+    options = {"multiLine": True, "recursiveFileLookup": True, "pathGlobFilter": NAME.format(dataset=dataset)}
+    raw = reader.schema(RANK_FILE).options(**options)
     return raw.json(path).select("*", F.col("_metadata.file_path").alias("path")).withColumn("run", run_of(F.col("path")))
 
 

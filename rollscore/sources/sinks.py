@@ -42,5 +42,15 @@ def metric_log(metrics: DataFrame, by: Sequence[str] = ("step",), prefix: str =
     return long.where(F.col("value").isNotNull())
 
 
+def write_token_table(
+    df: DataFrame, table: str, buckets: int, keys: Sequence[str] = ("batch_id", "seq_id", "pos")
+) -> None:
+    """Store per-token values bucketed by token, so that joining several such tables shuffles nothing.
+
+    Token keys are unique, so the buckets are even whatever the sequences' lengths.
+    """
+    df.write.mode("errorifexists").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+
+
 def write_metrics(metrics: DataFrame, path: str, by: Sequence[str] = ("step",), prefix: str = "") -> None:
     metric_log(metrics, by, prefix).write.mode("append").parquet(path)

@@ -13,6 +13,7 @@ from rollscore.operators import losses
 from rollscore.operators.losses import Loss
 from rollscore.plans import jobs
 from rollscore.recipe import Recipe
+from rollscore.sources import sinks
 
 SCHEMA = (
     "batch_id int, seq_id int, pos int, new_logp double, old_logp double, ref_logp double, advantage double, "
@@ -181,6 +182,23 @@ def test_update_metrics(spark):
     assert plain["advantage_mean"] == pytest.approx(2.5 / 3) and plain["token_coverage"] == pytest.approx(4 / 7)
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    """Token tables stored by token are aligned in place."""
+    keys = ["batch_id", "seq_id", "pos"]
+    table = frame(spark)
+    for column in ("new_logp", "old_logp", "ref_logp"):
+        sinks.write_token_table(table.select(*keys, column), f"tokens_{column}", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        aligned = losses.align(*[spark.table(f"tokens_{c}") for c in ("new_logp", "old_logp", "ref_logp")])
+        assert aligned.count() == 12
+        plan = aligned._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_unknown_names():
     with pytest.raises(ValueError):
         Loss("ppo")

@@ -54,6 +54,19 @@ def test_score_math(spark, tmp_path):
     assert (row.correct, row.total, row.accuracy) == (1, 1, 1.0)
 
 
+def test_several_runs_in_folders(spark, tmp_path):
+    write(tmp_path / "a", *good())
+    write(tmp_path / "b", *good(3, 9))
+    rows = {r.run: r for r in jobs.score_run(spark, str(tmp_path), "gsm8k").collect()}
+    assert (rows["a"].total, rows["b"].total) == (6, 9)
+    write(tmp_path / "c", *good(3, 9)[:2])
+    with pytest.raises(ValueError, match="c: missing ranks"):
+        jobs.score_run(spark, str(tmp_path), "gsm8k")
+    ranks, generations = rank_files.read_rank_files(spark, str(tmp_path), "gsm8k")
+    table = {r.run: r.problem for r in jobs.score_tables(ranks, generations, "gsm8k").collect()}
+    assert table == {"a": None, "b": None, "c": "missing ranks"}
+
+
 def test_settings_may_come_in_any_order(spark, tmp_path):
     files = good()
     files[1]["config"] = {"gen_length": 128, "steps": 64}

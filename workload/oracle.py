@@ -302,6 +302,17 @@ MATH_SCORED = (
 )
 
 
+_HALF = r"case when doc_id % 2 = 0 then '\frac{' || cast(n_chars as varchar) || '}{2}' else cast(n_chars as varchar) end"
+DOCUMENT_TEXTS = (
+    f"(select source as run, doc_id, text || chr(10) || '<answer>' || chr(10) || '\\boxed{{' || {_HALF} || '}}' || chr(10) || '</answer>' as completion, "
+    f"case when doc_id % 6 < 4 then {_HALF} else '1' end as ground_truth from documents)"
+)
+DOCUMENT_SCORED = (
+    f"(select *, {gsm_prediction('completion')} as number, {number_in('ground_truth')} as gold_num, prediction is not null and same as is_correct from "
+    + equivalent(math_prediction(DOCUMENT_TEXTS), "prediction", "ground_truth", "same") + ")"
+)
+
+
 def accuracy(scored: str) -> str:
     return (
         "select run, cast(count(*) filter (where is_correct) as bigint) as correct, count(*) as total, "
@@ -675,6 +686,9 @@ ORACLE: dict[str, str] = {
     "w4_group_std": f"select step, group_id, sample_id, {r6('reward')} as reward, {r6('sd')} as group_std from {GROUPED}",
     "a10_accuracy": accuracy(GSM_SCORED),
     "a10_accuracy_math": accuracy(MATH_SCORED),
+    "a10_document_items": "select doc_id, number, coalesce(number = gold_num, false) as is_number_correct, prediction as extracted_answer, "
+    f"is_correct from {DOCUMENT_SCORED}",
+    "a10_documents": accuracy(DOCUMENT_SCORED),
     "a10_items": f"select run, idx, extracted_answer, is_correct from {GSM_SCORED}",
     "a22_validate": f"select * from {VALIDATE}",
     "a23_summary": "select run, count(*) as n_files, cast(sum(total_processed) as bigint) as n_rows, "

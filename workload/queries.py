@@ -179,6 +179,30 @@ def documents_rewards(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(table.select("group_id", "sample_id", "func", "reward"))
 
 
+def document_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents as reasoning, ending in a box with a fraction or a number."""
+    docs = fx.read(spark, sf, "documents")
+    half = F.concat(F.lit("\\frac{"), C("n_chars").cast("string"), F.lit("}{2}"))
+    shown = F.when(C("doc_id") % 2 == 0, half).otherwise(C("n_chars").cast("string"))
+    text = F.concat(C("text"), F.lit("\n<answer>\n\\boxed{"), shown, F.lit("}\n</answer>"))
+    gold = F.when(C("doc_id") % 6 < 4, shown).otherwise(F.lit("1"))
+    return docs.select(C("source").alias("run"), "doc_id", text.alias("generations"), gold.alias("ground_truth"))
+
+
+def document_items(spark: SparkSession, sf: str) -> DataFrame:
+    rows = document_generations(spark, sf)
+    number = runs.score_generations(rows, "gsm8k").select(
+        "run", "doc_id", "generations", "ground_truth", C("extracted_answer").alias("number"),
+        C("is_correct").alias("is_number_correct"),
+    )
+    both = runs.score_generations(number, "math")
+    return both.select("doc_id", "number", "is_number_correct", "extracted_answer", "is_correct")
+
+
+def document_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(runs.accuracy(runs.score_generations(document_generations(spark, sf), "math")))
+
+
 def gold_join(spark: SparkSession, sf: str) -> DataFrame:
     """Each prompt's gold repeated on its generations."""
     rows = generations(spark, sf)
@@ -673,6 +697,8 @@ QUERIES: dict[str, Query] = {
     "a10_accuracy": accuracy_query("gsm8k"),
     "a10_accuracy_math": accuracy_query("math"),
     "a10_items": scored_items,
+    "a10_document_items": document_items,
+    "a10_documents": document_accuracy,
     "a22_validate": validate,
     "a23_summary": lambda spark, sf: rounded(runs.run_summary(rank_rows(spark, sf))),
     "j8_missing_ranks": lambda spark, sf: runs.missing_ranks(rank_rows(spark, sf)),
