@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollscore.functions.ranges import each_below
 from rollscore.functions.text import let
 from rollscore.operators.segments import segment_of, segment_width
 from rollscore.plans.skew import ROW_COUNT, SPLIT_ROWS, attach
@@ -125,10 +126,11 @@ def bradley_terry_logps(
 
     Every pair counts and none can be merged, so tokens and competitors are packed into chunks
     of ``chunk`` positions and the pairs are summed inside one row per pair of chunks. A
-    completion shorter than ``chunk`` is one such row; a longer one spreads over several.
+    completion shorter than ``chunk`` is one such row. The pairs of a longer one are joined by
+    competitor chunk, so that they spread over as many tasks as it has chunks.
     """
     threshold = _threshold(scope, steps, segments)
-    part = F.floor(F.col("pos") / F.lit(chunk))
+    part = F.floor(F.col("pos") / F.lit(chunk)).cast("bigint")
     targets = (
         scores.where(_revealed_here(steps, segments))
         .select(*SEGMENT_KEYS, part.alias("_part"), "pos", threshold.alias("_threshold"), "own_score")
@@ -153,8 +155,10 @@ def bradley_terry_logps(
         )
         return F.struct(target["pos"].alias("pos"), total.alias("part_sum"))
 
+    last = rivals.groupBy(*SEGMENT_KEYS).agg(F.max("_rival_part").alias("_last"))
+    each = targets.join(last, SEGMENT_KEYS, "inner").withColumn("_rival_part", each_below(F.col("_last") + 1))
     summed = (
-        targets.join(rivals, SEGMENT_KEYS, "inner")
+        each.join(rivals, [*SEGMENT_KEYS, "_rival_part"], "inner")
         .select(*SEGMENT_KEYS, F.explode(F.transform("_targets", against_all)).alias("_one"))
         .groupBy(*SEGMENT_KEYS, F.col("_one.pos").alias("pos"))
         .agg(F.sum("_one.part_sum").alias("_sum"))

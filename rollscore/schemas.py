@@ -52,4 +52,16 @@ RANK_FILE = T.StructType(
     ]
 )
 
+RANK_META = T.StructType(
+    [
+        T.StructField("run", T.StringType()),
+        T.StructField("dataset", T.StringType()),
+        T.StructField("rank", T.LongType()),
+        T.StructField("world_size", T.LongType()),
+        T.StructField("dataset_size", T.LongType()),
+        T.StructField("config", T.StringType()),
+        *METRICS.fields,
+    ]
+)
+
 RANK_ROW = T.StructType([T.StructField("run", T.StringType()), T.StructField("rank", T.LongType()), *GENERATION.fields])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscore.schemas import RANK_FILE, RANK_ROW
+from rollscore.schemas import RANK_FILE, RANK_META, RANK_ROW
 
 ROWS = "rows"
 RANKS = "ranks"
@@ -21,7 +21,8 @@ def run_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def _flat_ranks(files: DataFrame) -> DataFrame:
+def rank_rows(files: DataFrame) -> DataFrame:
+    """One row of metadata per file."""
     # Parsed and rendered again, so that equal settings compare equal whatever their key order.
     config = F.to_json(F.parse_json("config"))
     return files.select(
@@ -31,7 +32,8 @@ def _flat_ranks(files: DataFrame) -> DataFrame:
     )
 
 
-def _flat_rows(files: DataFrame) -> DataFrame:
+def generation_rows(files: DataFrame) -> DataFrame:
+    """One row per saved example."""
     return files.select("run", "rank", F.explode("generations").alias("_item")).select("run", "rank", "_item.*")
 
 
@@ -49,7 +51,7 @@ def read_rank_files(spark: SparkSession, path: str, dataset: str) -> tuple[DataF
     files = _files(spark.read, path, dataset)
     if not files.select("path").take(1):
         raise ValueError(f"No {dataset} generation files in {path}")
-    return _flat_ranks(files), _flat_rows(files)
+    return rank_rows(files), generation_rows(files)
 
 
 def stream_rank_files(spark: SparkSession, path: str, dataset: str) -> DataFrame:
@@ -65,20 +67,6 @@ def write_rank_output(generations: DataFrame, ranks: DataFrame, path: str) -> No
 
 def read_rank_output(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Read back what ``write_rank_output`` wrote: rank metadata and generations."""
-    from pyspark.sql import types as T
-
-    meta = T.StructType(
-        [
-            T.StructField("run", T.StringType()),
-            T.StructField("dataset", T.StringType()),
-            T.StructField("rank", T.LongType()),
-            T.StructField("world_size", T.LongType()),
-            T.StructField("dataset_size", T.LongType()),
-            T.StructField("config", T.StringType()),
-            T.StructField("total_processed", T.LongType()),
-            T.StructField("wall_time_seconds", T.DoubleType()),
-        ]
-    )
-    ranks = spark.read.schema(meta).json(f"{path}/{RANKS}")
+    ranks = spark.read.schema(RANK_META).json(f"{path}/{RANKS}")
     rows = spark.read.schema(RANK_ROW).json(f"{path}/{ROWS}")
     return ranks, rows

@@ -7,30 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rollscore.operators.runs import accuracy, score_generations, validate_runs
-from rollscore.sources.rank_files import _flat_ranks, _flat_rows, stream_rank_files
+from rollscore.sources.rank_files import generation_rows, rank_rows, stream_rank_files
 
 ITEMS = "items"
 RANKS = "ranks"
 
 
-def stream_score(spark: SparkSession, path: str, dataset: str, out: str, checkpoint: str) -> StreamingQuery:
+# By default a stream works off what has landed and ends; pass for example
+# ``{"processingTime": "1 minute"}`` to keep it running.
+ONCE = {"availableNow": True}
+
+
+def stream_score(
+    spark: SparkSession, path: str, dataset: str, out: str, checkpoint: str, trigger: dict = ONCE
+) -> StreamingQuery:
     """Score the generations of each worker file that lands, and append them to ``out``.
 
     The same expressions as in the batch job; no state, and the file sink commits each
     micro-batch exactly once.
     """
-    items = score_generations(_flat_rows(stream_rank_files(spark, path, dataset)), dataset)
+    items = score_generations(generation_rows(stream_rank_files(spark, path, dataset)), dataset)
     return (
         items.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def stream_run_progress(spark: SparkSession, path: str, dataset: str, out: str, checkpoint: str) -> StreamingQuery:
+def stream_run_progress(
+    spark: SparkSession, path: str, dataset: str, out: str, checkpoint: str, trigger: dict = ONCE
+) -> StreamingQuery:
     """Keep scored ids and rank metadata of all landed files under ``out``.
 
     Each micro-batch is written to a folder of its own number, so a batch that is run again
@@ -38,17 +47,17 @@ def stream_run_progress(spark: SparkSession, path: str, dataset: str, out: str,
     """
 
     def merge(files: DataFrame, batch: int) -> None:
-        scored = score_generations(_flat_rows(files), dataset)
+        scored = score_generations(generation_rows(files), dataset)
         scored.select("run", "rank", "example_index", "is_correct").write.mode("overwrite").parquet(
             f"{out}/{ITEMS}/batch={batch}"
         )
-        _flat_ranks(files).write.mode("overwrite").parquet(f"{out}/{RANKS}/batch={batch}")
+        rank_rows(files).write.mode("overwrite").parquet(f"{out}/{RANKS}/batch={batch}")
 
     return (
         stream_rank_files(spark, path, dataset)
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
