@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as registered
+import __spark_entry__ as entry_point
+from workload import oracle, queries
 from workload.compare import connect, differences
 
-SF_DIR = registered.SMALL
+SF_DIR = entry_point.SMALL
 
 
 @pytest.fixture(scope="module")
@@ -16,14 +17,15 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql())
+    assert set(queries.queries()) <= set(entry_point.queries())
 
 
 def test_entry(spark):
-    rows = registered.entry(spark).collect()
+    rows = entry_point.entry(spark).collect()
     assert len(rows) == 20 and sum(r.problem == "" for r in rows) == 13
 
 
-@pytest.mark.parametrize("name", registered.queries())
+@pytest.mark.parametrize("name", queries.queries())
 def test_query_equals_sql(spark, connection, name):
-    assert differences(registered.queries()[name](spark, SF_DIR), connection, registered.oracle_sql()[name]) == []
+    assert differences(queries.queries()[name](spark, SF_DIR), connection, oracle.oracle_sql()[name]) == []
