@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollscore.llm import bpe, packing
+from rollscore.llm import bpe, counts, html, jaccard, packing, substring, topk, toxicity, urls, vectors
 from rollscore.llm.batches import list_arrays
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +20,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = packing.PIECES.replace("ids array<int>", "ids_crc32 bigint")
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), then=packing.checksums, schema=schema)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), words=3, ratio=(90, 100))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentence_number", "sentence", "sentence_score",
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+#: (verdict, host, path)
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry the id of their document in the path; a page is bad if that is toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(urls.path_of(F.col("url")), "^/[^/]*/([0-9]+)", 1)
+    of_page = pages.select("page_id", number.try_cast("bigint").alias("doc_id"))
+    bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(bad)
+    outcomes = of_page.join(labels, "doc_id").select("page_id", "bad")
+    return urls.judge(pages, outcomes, RULES)
+
+
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     text_of = [str(i) for i in range(1 << 16)]
     for batch in batches:
@@ -45,5 +95,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_packing, op10_byte_bpe)
+    found = (
+        op1_substring_dedup, op2_packing, op3_embedding_dedup, op4_topk_search, op5_jaccard_join, op6_toxicity, op7_token_counts,
+        op8_html_extraction, op9_url_reputation, op10_byte_bpe,
+    )
     return {q.__name__: q for q in found}

@@ -2,6 +2,156 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS win FROM d, unnest(range(1, len(w) - 11)) AS t(s)
+), firsts AS (
+  SELECT win, min(doc_id) AS owner FROM windows GROUP BY win
+), gone AS (
+  SELECT DISTINCT doc_id, s + k AS p
+  FROM windows JOIN firsts USING (win), range(0, 13) AS r(k) WHERE owner < doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), kept AS (
+  SELECT words.doc_id, count(gone.p) AS n_removed,
+         sha256(coalesce(string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL), '')) AS kept_sha256
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY words.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP3 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), u AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95
+), reach(a, c) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.c
+), groups AS (
+  SELECT a AS vec_id, min(c) AS component_id FROM reach GROUP BY a
+), counts AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM groups LEFT JOIN counts USING (vec_id)
+"""
+
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored
+)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""
+
+OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + 2], ' ')) AS g FROM d, unnest(range(1, len(w) - 1)) AS t(s) WHERE len(w) >= 3
+  UNION ALL
+  SELECT doc_id, md5(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 2
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), often AS (
+  SELECT g FROM shingles GROUP BY g HAVING count(*) > 1
+), common AS (
+  SELECT doc_id, g FROM shingles JOIN often USING (g)
+), both AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM common a JOIN common b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS MATERIALIZED (
+  SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both.n >= 90 * (x.n + y.n - both.n)
+), reach(a, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.c
+)
+SELECT reach.a AS doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(reach.c) AS component_id
+FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.a GROUP BY reach.a
+"""
+
+TWO_LABELS = (
+    "'ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', "
+    "'com.tw', 'gov.au', 'gov.uk', 'ne.jp', 'net.au', 'or.jp', 'org.au', 'org.uk'"
+)
+
+
+def _strength(level: str) -> str:
+    return f"""SELECT 1 / least(greatest(coalesce(
+      sum((bad - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0), 1 / 1001), 1 / 2) - 1 AS k
+    FROM {level}"""
+
+
+OP9 = f"""
+WITH p AS (
+  SELECT page_id, url,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), outcomes AS (
+  SELECT page_id, max(bad) AS bad
+  FROM (SELECT page_id, try_cast(regexp_extract(path, '^/[^/]*/([0-9]+)', 1) AS BIGINT) AS doc_id FROM p) JOIN l USING (doc_id) GROUP BY page_id
+), counted AS (
+  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM p LEFT JOIN outcomes USING (page_id) GROUP BY host
+), suffixed AS (
+  SELECT *, string_split(host, '.') AS parts,
+    CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({TWO_LABELS}) THEN array_to_string(string_split(host, '.')[-2:], '.')
+         ELSE string_split(host, '.')[-1] END AS suffix
+  FROM counted
+), hosts AS (
+  SELECT host, n, bad, suffix, CASE WHEN len(parts) <= len(string_split(suffix, '.')) + 1 THEN host
+    ELSE array_to_string(parts[-(len(string_split(suffix, '.')) + 1):], '.') END AS domain
+  FROM suffixed
+), domain_counts AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL
+), suffix_counts AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domain_counts GROUP BY ALL
+), suffixes AS (
+  SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM suffix_counts) AS prior FROM suffix_counts
+), k0 AS ({_strength('suffixes')}),
+domains AS (
+  SELECT d.domain, d.suffix, d.n, d.bad, (k * s.prior + s.bad) / (k + s.n) AS prior
+  FROM domain_counts d JOIN suffixes s USING (suffix), k0
+), k1 AS ({_strength('domains')}),
+leaves AS (
+  SELECT h.host, h.n, h.bad, (k * d.prior + d.bad) / (k + d.n) AS prior FROM hosts h JOIN domains d USING (domain, suffix), k1
+), k2 AS ({_strength('leaves')}),
+posterior AS (
+  SELECT host, (k * prior + bad) / (k + n) AS mean, n + k AS weight FROM leaves, k2
+), verdicts AS (
+  SELECT host, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS own FROM posterior
+), ruled AS (
+  SELECT p.*, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule, CASE rule
+    WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block'
+    ELSE own END AS verdict
+FROM ruled JOIN verdicts USING (host)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": OP1, "op3_embedding_dedup": OP3, "op4_topk_search": OP4, "op5_jaccard_join": OP5,
+        "op9_url_reputation": OP9,
+    }
