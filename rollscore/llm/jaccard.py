@@ -145,8 +145,8 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 def _overlaps(others: pa.Table, hub: pa.Table) -> pa.Table:
     found: list[tuple] = []
     if others.num_rows and hub.num_rows:
-        own = np.frombuffer(hub.column("shingles")[0].as_py(), "<u8")
-        a = hub.column("a")[0].as_py()
+        own = np.frombuffer(hub.column("own")[0].as_py(), "<u8")
+        a = hub.column("hub")[0].as_py()
         for b, packed in zip(others.column("b").to_pylist(), others.column("shingles").to_pylist(), strict=True):
             other = np.frombuffer(packed, "<u8")
             both = len(np.intersect1d(own, other, assume_unique=True))
@@ -169,10 +169,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     others = dealt.withColumn("_k", F.col("b").bitwiseXOR(F.lit(MIX))).join(
         sets.select(F.col("id").bitwiseXOR(F.lit(MIX)).alias("_k"), "shingles"), "_k"
     ).select("a", "part", "b", "shingles")
-    hubs = parts.join(sets.withColumnRenamed("id", "a"), "a").select(
-        "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "shingles"
+    own = sets.select(F.col("id").alias("a"), F.col("shingles").alias("own"))
+    hubs = parts.join(own, "a").select(
+        F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("hub_part"), "own"
     )
-    return others.groupBy("a", "part").cogroup(hubs.groupBy("a", "part")).applyInArrow(
+    return others.groupBy("a", "part").cogroup(hubs.groupBy("hub", "hub_part")).applyInArrow(
         _overlaps, "a bigint, b bigint, both bigint, either bigint"
     )
 

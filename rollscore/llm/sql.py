@@ -4,7 +4,7 @@ from __future__ import annotations
 
 OP1 = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
 ), windows AS (
   SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS win FROM d, unnest(range(1, len(w) - 11)) AS t(s)
 ), firsts AS (
@@ -26,8 +26,8 @@ FROM d LEFT JOIN kept USING (doc_id)
 OP3 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
 ), u AS (
   SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v
 ), link AS (
@@ -46,8 +46,8 @@ FROM groups LEFT JOIN counts USING (vec_id)
 
 OP4 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
@@ -59,8 +59,8 @@ SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <
 
 OP5 = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(string_split_regex(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, [x FOR x IN string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
   FROM documents
 ), shingles AS MATERIALIZED (
   SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + 2], ' ')) AS g FROM d, unnest(range(1, len(w) - 1)) AS t(s) WHERE len(w) >= 3
@@ -72,10 +72,10 @@ WITH RECURSIVE d AS (
   SELECT g FROM shingles GROUP BY g HAVING count(*) > 1
 ), common AS (
   SELECT doc_id, g FROM shingles JOIN often USING (g)
-), both AS (
+), shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM common a JOIN common b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), link AS MATERIALIZED (
-  SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both.n >= 90 * (x.n + y.n - both.n)
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)
 ), reach(a, c) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.c
 )

@@ -107,13 +107,15 @@ def top_k(
     n_rows, n_asked = usable.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     blocks, parts = max(1, -(-n_rows // CANDIDATE_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
     dealt = F.xxhash64("id", "vector")
+
+    def each(n: int) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
     candidates = rows.select(
-        F.pmod(dealt, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint").alias("part"),
-        "id", "vector",
+        F.pmod(dealt, F.lit(blocks)).alias("block"), F.explode(each(parts)).alias("part"), "id", "vector"
     )
     queries = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"), F.pmod(dealt, F.lit(parts)).alias("part"),
-        "id", "key", "vector",
+        F.explode(each(blocks)).alias("block"), F.pmod(dealt, F.lit(parts)).alias("part"), "id", "key", "vector"
     )
     met = queries.groupBy("block", "part").cogroup(candidates.groupBy("block", "part")).applyInArrow(
         lambda left, right: _block(left, right, k, scale), BEST
