@@ -12,6 +12,7 @@ from rollscore.functions.sampling import digest, to_uniform
 from rollscore.functions.text import let
 
 CONFIDENCE_METHODS = ("max_logit", "top_prob", "neg_entropy", "margin")
+CONFIDENCE_SOURCES = ("gt", "max")
 REMASKING_MODES = ("low_confidence", "decoupled", "random")
 NOISE_FLOOR = 1e-8  # Fixed value: keeps the logarithms of the position noise finite.
 

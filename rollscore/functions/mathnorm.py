@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollscore.functions.text import SPACE, let
+from rollscore.functions.text import SPACE, let, to_float
 
 # Fixed values: (text, replacement) pairs in the order in which they apply.
 BEFORE_UNITS = [
@@ -118,4 +118,4 @@ def is_equiv(left: Column, right: Column) -> Column:
 
 def is_close(left: Column, right: Column) -> Column:
     """E9 when one side is a number: absolute difference under 1e-6; unparsed is not close."""
-    return F.coalesce(F.abs(left.try_cast("double") - right.try_cast("double")) < F.lit(1e-6), F.lit(False))
+    return F.coalesce(F.abs(to_float(left.cast("string")) - to_float(right.cast("string"))) < F.lit(1e-6), F.lit(False))

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscore.functions.ranges import each_below
 from rollscore.functions.text import let
 from rollscore.operators.segments import segment_of, segment_width
 from rollscore.plans.skew import ROW_COUNT, SPLIT_ROWS, attach
@@ -41,17 +40,18 @@ def later_parts(scores: DataFrame, steps: int, segments: int, tau: float) -> Dat
     """Per (sequence, segment), one array entry per later step and exponent range.
 
     ``total`` sums ``exp(c/tau - base)``. The sums are combined map-side and stay in range
-    without a first pass for the maximum. What is left per key is bounded by the number of
-    diffusion steps, however many tokens the key holds.
+    without a first pass for the maximum. Steps after the last segment are later than every
+    threshold, so they share one entry. What is left per key is one entry per step and distinct
+    exponent range, however many tokens the key holds.
     """
     scaled = F.col("confidence") / F.lit(float(tau))
     base = (F.floor(scaled / F.lit(EXP_RANGE)) * F.lit(EXP_RANGE)).cast("double")
-    start = F.col("segment") * segment_width(steps, segments)
+    width = segment_width(steps, segments)
     return (
-        scores.where(F.col("unmask_step") > start)
+        scores.where(F.col("unmask_step") > F.col("segment") * width)
         .select(
             *SEGMENT_KEYS,
-            F.least(F.col("unmask_step"), F.lit(steps)).cast("bigint").alias("step"),
+            F.least(F.col("unmask_step"), F.lit(segments * width + 1)).cast("bigint").alias("step"),
             base.alias("base"),
             scaled.alias("scaled"),
         )
@@ -127,7 +127,9 @@ def bradley_terry_logps(
     Every pair counts and none can be merged, so tokens and competitors are packed into chunks
     of ``chunk`` positions and the pairs are summed inside one row per pair of chunks. A
     completion shorter than ``chunk`` is one such row. The pairs of a longer one are joined by
-    competitor chunk, so that they spread over as many tasks as it has chunks.
+    competitor chunk, so that they spread over as many tasks as it has chunks. Competitors are
+    grouped by step: a target passes over the steps up to its threshold, not over their tokens,
+    and chunks without a later step are not joined at all.
     """
     threshold = _threshold(scope, steps, segments)
     part = F.floor(F.col("pos") / F.lit(chunk)).cast("bigint")
@@ -135,30 +137,36 @@ def bradley_terry_logps(
         scores.where(_revealed_here(steps, segments))
         .select(*SEGMENT_KEYS, part.alias("_part"), "pos", threshold.alias("_threshold"), "own_score")
         .groupBy(*SEGMENT_KEYS, "_part")
-        .agg(F.collect_list(F.struct("pos", "_threshold", "own_score")).alias("_targets"))
+        .agg(
+            F.collect_list(F.struct("pos", "_threshold", "own_score")).alias("_targets"),
+            F.min("_threshold").alias("_earliest"),
+        )
     )
     rivals = (
         scores.where(F.col("unmask_step") > F.col("segment") * segment_width(steps, segments))
         .select(*SEGMENT_KEYS, part.alias("_rival_part"), F.col("unmask_step").alias("_step"), "confidence")
+        .groupBy(*SEGMENT_KEYS, "_rival_part", "_step")
+        .agg(F.collect_list("confidence").alias("_confidences"))
         .groupBy(*SEGMENT_KEYS, "_rival_part")
-        .agg(F.collect_list(F.struct("_step", "confidence")).alias("_rivals"))
+        .agg(F.collect_list(F.struct("_step", "_confidences")).alias("_rivals"), F.max("_step").alias("_latest"))
     )
 
     def against_all(target: Column) -> Column:
-        total = F.aggregate(
-            F.col("_rivals"),
-            F.lit(0.0),
-            lambda acc, r: F.when(
-                r["_step"] > target["_threshold"],
-                acc + _log_sigmoid((target["own_score"] - r["confidence"]) / F.lit(float(tau))),
-            ).otherwise(acc),
-        )
+        def against(total: Column, confidences: Column) -> Column:
+            return F.aggregate(
+                confidences, total, lambda acc, c: acc + _log_sigmoid((target["own_score"] - c) / F.lit(float(tau)))
+            )
+
+        later = F.filter("_rivals", lambda r: r["_step"] > target["_threshold"])
+        total = F.aggregate(later, F.lit(0.0), lambda acc, r: against(acc, r["_confidences"]))
         return F.struct(target["pos"].alias("pos"), total.alias("part_sum"))
 
-    last = rivals.groupBy(*SEGMENT_KEYS).agg(F.max("_rival_part").alias("_last"))
-    each = targets.join(last, SEGMENT_KEYS, "inner").withColumn("_rival_part", each_below(F.col("_last") + 1))
+    # The latest step of each chunk, a few numbers per key, tells which chunks a chunk of targets meets.
+    chunks = rivals.groupBy(*SEGMENT_KEYS).agg(F.collect_list(F.struct("_rival_part", "_latest")).alias("_chunks"))
+    met = F.filter("_chunks", lambda c: c["_latest"] > F.col("_earliest"))
+    each = targets.join(chunks, SEGMENT_KEYS, "inner").withColumn("_rival_part", F.explode(met["_rival_part"]))
     summed = (
-        each.join(rivals, [*SEGMENT_KEYS, "_rival_part"], "inner")
+        each.join(rivals.drop("_latest"), [*SEGMENT_KEYS, "_rival_part"], "inner")
         .select(*SEGMENT_KEYS, F.explode(F.transform("_targets", against_all)).alias("_one"))
         .groupBy(*SEGMENT_KEYS, F.col("_one.pos").alias("pos"))
         .agg(F.sum("_one.part_sum").alias("_sum"))

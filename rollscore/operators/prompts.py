@@ -11,7 +11,7 @@ from rollscore.functions.sampling import digest
 from rollscore.functions.tokens import attention_mask, pad_left
 from rollscore.plans.skew import SPLIT_ROWS, attach_aggregates
 
-RANGE_DIGITS = 5
+RANGE_DIGITS, GROUP_DIGITS = 5, 2
 
 
 def train_prompts(questions: DataFrame, kind: str) -> DataFrame:
@@ -85,15 +85,22 @@ def shuffled_positions(df: DataFrame, seed: int, index: str = "example_index") -
     """0-based ``position`` of each row in the seeded permutation, without a global sort.
 
     The digests are uniform, so their first five hex digits cut the rows into a million even
-    ranges. Rows are numbered within their range, and the ranges' offsets come from at most a
-    million counts - a fixed bound, whatever the data.
+    ranges. Rows are numbered within their range. The ranges' offsets come from at most a million
+    counts - a fixed bound, whatever the data - summed within their first two digits, then over
+    those 256 groups.
     """
     keyed = df.withColumn("_digest", digest(seed, F.col(index))).withColumn(
         "_range", F.substring("_digest", 1, RANGE_DIGITS)
     )
     counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    up_to = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before"))
+    counts = counts.withColumn("_group", F.substring("_range", 1, GROUP_DIGITS))
+    in_group = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_size"))
+    groups = groups.select("_group", F.coalesce(F.sum("_size").over(up_to), F.lit(0)).alias("_start"))
+    offsets = counts.join(F.broadcast(groups), "_group").select(
+        "_range", (F.col("_start") + F.coalesce(F.sum("_n").over(in_group), F.lit(0))).alias("_before")
+    )
     within = Window.partitionBy("_range").orderBy("_digest", index)
     return (
         keyed.join(F.broadcast(offsets), "_range")

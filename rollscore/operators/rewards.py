@@ -18,10 +18,19 @@ GROUP_KEYS = ("step", "group_id")
 def attach_gold(
     completions: DataFrame, gold: DataFrame, key: str = "group_id", split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
-    """Repeat each prompt's gold columns on its completions; completions without gold go."""
+    """Repeat each prompt's gold columns on its completions.
+
+    Every completion stays. One whose prompt has no gold has NULLs, which no reward takes for a
+    match; ``without_gold`` counts them.
+    """
     stats = with_counts(gold, completions, [key])
-    joined = attach(completions, stats, [key], split_rows)
-    return joined.where(F.col("n_rows").isNotNull()).drop("n_rows")
+    return attach(completions, stats, [key], split_rows).drop("n_rows")
+
+
+def without_gold(completions: DataFrame, gold: DataFrame, key: str = "group_id") -> DataFrame:
+    """Prompts that have completions and no gold, with the number of completions."""
+    counts = completions.groupBy(key).agg(F.count(F.lit(1)).alias("n_completions"))
+    return counts.join(gold.select(key), key, "left_anti")
 
 
 def reward_table(

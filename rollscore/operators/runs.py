@@ -79,6 +79,7 @@ def validate_runs(
 ) -> DataFrame:
     """One row per run with what was found and the first ``problem``, or NULL.
 
+    Scored generations (with ``is_correct``) also give ``correct``, in the same pass.
     Ranks and examples are counted per (run, rank) and (run, example) before the run's totals,
     so a run of any size is spread over all tasks. Indices are exactly ``0..size-1`` iff rows,
     distinct indices and size agree and the extremes are 0 and ``size-1``.
@@ -90,7 +91,8 @@ def validate_runs(
         *[F.min(c).alias(f"{c}_min") for c in ("dataset", "world_size", "dataset_size", "config")],
     )
     in_range = (F.col("rank") >= 0) & (F.col("rank") < F.col("world_size_min"))
-    wrong = F.lit(False) if dataset is None else F.col("dataset_min") != dataset
+    # A file that names no dataset is of the wrong one.
+    other = F.col("dataset_min").isNull() if dataset is None else F.coalesce(F.col("dataset_min") != dataset, F.lit(True))
     files = per_rank.groupBy(*by).agg(
         F.sum("n").alias("n_files"),
         F.count(F.lit(1)).alias("n_ranks"),
@@ -98,18 +100,22 @@ def validate_runs(
         F.max("world_size_min").alias("world_size"),
         F.max("dataset_size_min").alias("dataset_size"),
         F.min("dataset_min").alias("dataset"),
-        F.max(wrong).alias("is_wrong_dataset"),
+        F.max(other).alias("is_wrong_dataset"),
+        F.max(F.col("config_min").isNull()).alias("has_no_config"),
         (F.max("mixed") | _mixed("dataset_min", "world_size_min", "dataset_size_min", "config_min")).alias("is_mixed"),
     )
+    scored = "is_correct" in generations.columns
+    right = [F.sum(F.col("is_correct").cast("bigint")).alias("n_correct")] if scored else []
     examples = (
         generations.groupBy(*by, "example_index")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *right)
         .groupBy(*by)
         .agg(
             F.sum("n").alias("n_rows"),
             F.count("example_index").alias("n_examples"),
             F.min("example_index").alias("first_index"),
             F.max("example_index").alias("last_index"),
+            *[F.sum("n_correct").alias("correct")][:len(right)],
         )
     )
     joined = files.join(examples, by, "left")
@@ -123,6 +129,7 @@ def validate_runs(
     problem = (
         F.when(F.col("is_wrong_dataset"), "wrong dataset")
         .when(F.col("is_mixed"), "mixed configurations")
+        .when(F.col("has_no_config"), "missing configuration")
         .when((F.col("n_files") != F.col("n_ranks")) | (F.col("n_bad_ranks") > 0), "duplicate or invalid rank")
         .when(F.col("n_ranks") != F.col("world_size"), "missing ranks")
         .when(~F.coalesce(complete, F.lit(False)), "incomplete or duplicate examples")
@@ -131,7 +138,7 @@ def validate_runs(
     return joined.select(
         *by, "dataset", "n_files", "n_ranks", "world_size", "dataset_size",
         rows.cast("bigint").alias("n_rows"), F.coalesce("n_examples", F.lit(0)).cast("bigint").alias("n_examples"),
-        problem.alias("problem"),
+        *(["correct"] if scored else []), problem.alias("problem"),
     )
 
 

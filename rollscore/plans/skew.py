@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 ROW_COUNT = "n_rows"
 SPLIT_ROWS = 1_000_000
 SPREAD = 1 << 16
+#: Keys matched by broadcast at most: the size of the broadcast does not depend on the data.
+HOT_KEYS = 1024
 
 
 def attach(
@@ -17,11 +21,12 @@ def attach(
 ) -> DataFrame:
     """Left-join ``stats`` (one row per key, with the key's row count ``n_rows``) to ``rows``.
 
-    Keys above ``split_rows`` rows are matched by broadcast: there are at most
-    ``rows / split_rows`` of them, however the data is spread, so the broadcast is bounded.
-    Their rows then go through the shuffle under a random split number instead of together.
-    All other keys meet in an ordinary shuffle join. Without hot keys the broadcast side is
-    empty and adaptive execution drops that join.
+    The ``HOT_KEYS`` largest keys above ``split_rows`` rows are matched by broadcast; their rows
+    go through the shuffle under a split number taken from the whole row instead of together, so
+    rows equal in every column stay together. All other keys meet in an ordinary shuffle join,
+    where adaptive execution splits what is still large. Without hot keys the broadcast side is
+    empty and adaptive execution drops that join. The result is the same for any ``split_rows``.
+    NULL keys match each other.
 
     ``stats`` is built by ``groupBy``, so it is combined before its own shuffle. Both uses
     have the same columns, which lets Spark run that shuffle once.
@@ -29,18 +34,20 @@ def attach(
     keys = list(keys)
     values = [c for c in stats.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in values])
-    # Split 0 holds all cold keys. It is computed from the count, not a literal, so that it
+    names = [f"_key{i}" for i in range(len(keys))]
+    renamed = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    # Rows of cold keys have split 0. It is computed from the count, not a literal, so that it
     # stays part of the shuffle key.
-    split = F.floor((F.col(ROW_COUNT) - 1) / F.lit(split_rows)).cast("bigint")
-    hot = stats.where(F.col(ROW_COUNT) > split_rows).select(*keys, packed.alias("_hot"))
-    cold = stats.where(F.col(ROW_COUNT) <= split_rows).select(
-        *keys, split.alias("_split"), packed.alias("_cold")
-    )
+    split = F.least(F.lit(0), F.col(ROW_COUNT)).cast("bigint")
+    largest = stats.where(F.col(ROW_COUNT) > split_rows).orderBy(F.desc(ROW_COUNT), *keys).limit(HOT_KEYS)
+    hot = largest.select(*renamed, packed.alias("_hot"))
+    cold = stats.select(*renamed, split.alias("_cold_split"), packed.alias("_cold"))
     scattered = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SPREAD)) + 1
-    spread = rows.join(F.broadcast(hot), keys, "left").withColumn(
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    spread = rows.join(F.broadcast(hot), same, "left").drop(*names).withColumn(
         "_split", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(scattered).cast("bigint")
     )
-    joined = spread.join(cold, [*keys, "_split"], "left")
+    joined = spread.join(cold, same & (F.col("_split") == F.col("_cold_split")), "left")
     return joined.select(
         *[F.col(c) for c in rows.columns],
         *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in values],
@@ -59,5 +66,7 @@ def attach_aggregates(
 
 def with_counts(values: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add to one-row-per-key ``values`` how many ``rows`` each key has, ready for ``attach``."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROW_COUNT))
-    return values.join(counts, list(keys), "inner")
+    keys = list(keys)
+    counts = rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias(ROW_COUNT))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return values.join(counts, same, "inner").select(*values.columns, ROW_COUNT)

@@ -6,6 +6,9 @@ line-delimited, so that a worker of any size can be split when it is read again.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,16 @@ RANKS = "ranks"
 NAME = "{dataset}_rank*_generations.json"  # Fixed value: name of a worker's file.
 
 
-def run_of(path: Column) -> Column:
-    """A run is named by the folder its files are in."""
-    return F.element_at(F.split(path, "/"), -2)
+def run_of(path: Column, root: str) -> Column:
+    """A run is the folder its files are in, as seen from ``root``; the root itself has its own name.
+
+    Where the root cannot be told, as it is a pattern, a run has the folder's whole path.
+    """
+    folder = F.regexp_replace(F.regexp_replace(path, "/[^/]*$", ""), "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/+", "/")
+    base = quote(re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?/+", "/", root).rstrip("/"), safe="/!$&'()*+,;=:@~")
+    inside = F.substr(folder, F.lit(len(base) + 2))
+    name = F.element_at(F.split(folder, "/"), -1)
+    return F.when(folder == base, name).when(folder.startswith(base + "/"), inside).otherwise(folder)
 
 
 def rank_rows(files: DataFrame) -> DataFrame:
@@ -40,7 +50,8 @@ def generation_rows(files: DataFrame) -> DataFrame:
 def _files(reader, path: str, dataset: str) -> DataFrame:
     options = {"multiLine": True, "recursiveFileLookup": True, "pathGlobFilter": NAME.format(dataset=dataset)}
     raw = reader.schema(RANK_FILE).options(**options)
-    return raw.json(path).select("*", F.col("_metadata.file_path").alias("path")).withColumn("run", run_of(F.col("path")))
+    files = raw.json(path).select("*", F.col("_metadata.file_path").alias("path"))
+    return files.withColumn("run", run_of(F.col("path"), path))
 
 
 def read_rank_files(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +73,15 @@ def stream_rank_files(spark: SparkSession, path: str, dataset: str) -> DataFrame
 def write_rank_output(generations: DataFrame, ranks: DataFrame, path: str) -> None:
     """S3: generations and rank metadata side by side. Existing output is never overwritten."""
     ranks.write.mode("errorifexists").json(f"{path}/{RANKS}")
-    generations.write.mode("errorifexists").partitionBy("rank").json(f"{path}/{ROWS}")
+    generations.hint("rebalance", "rank").write.mode("errorifexists").partitionBy("rank").json(f"{path}/{ROWS}")
+
+
+def convert_rank_files(spark: SparkSession, path: str, dataset: str, out: str) -> None:
+    """Rewrite worker files as lines. One task has to parse a worker file, whatever its size; do it once,
+    and let all later scoring read lines, which any number of tasks can share."""
+    ranks, generations = read_rank_files(spark, path, dataset)
+    ranks.drop("path").write.mode("errorifexists").json(f"{out}/{RANKS}")
+    generations.write.mode("errorifexists").json(f"{out}/{ROWS}")
 
 
 def read_rank_output(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

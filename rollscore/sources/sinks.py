@@ -29,7 +29,9 @@ def completion_log(rows: DataFrame, every: int) -> DataFrame:
 
 
 def write_completion_log(rows: DataFrame, path: str, every: int) -> None:
-    completion_log(rows, every).write.mode("append").partitionBy("step").parquet(path)
+    # A step's rows come together before they are written, in as many files as their size asks for.
+    log = completion_log(rows, every).hint("rebalance", "step")
+    log.write.mode("append").partitionBy("step").parquet(path)
 
 
 def metric_log(metrics: DataFrame, by: Sequence[str] = ("step",), prefix: str = "") -> DataFrame:
@@ -37,8 +39,8 @@ def metric_log(metrics: DataFrame, by: Sequence[str] = ("step",), prefix: str =
     numeric = [
         f.name for f in metrics.schema.fields if f.name not in by and isinstance(f.dataType, T.NumericType)
     ]
-    doubles = metrics.select(*by, *[F.col(c).cast("double").alias(prefix + c) for c in numeric])
-    long = doubles.unpivot(list(by), [prefix + c for c in numeric], "name", "value")
+    doubles = metrics.select(*by, *[F.col(f"`{c}`").cast("double").alias(prefix + c) for c in numeric])
+    long = doubles.unpivot(list(by), [F.col(f"`{prefix}{c}`") for c in numeric], "name", "value")
     return long.where(F.col("value").isNotNull())
 
 

@@ -47,11 +47,15 @@ def stream_run_progress(
     """
 
     def merge(files: DataFrame, batch: int) -> None:
-        scored = score_generations(generation_rows(files), dataset)
-        scored.select("run", "rank", "example_index", "is_correct").write.mode("overwrite").parquet(
-            f"{out}/{ITEMS}/batch={batch}"
-        )
-        rank_rows(files).write.mode("overwrite").parquet(f"{out}/{RANKS}/batch={batch}")
+        files.persist()  # both tables come from one parse of the files
+        try:
+            scored = score_generations(generation_rows(files), dataset)
+            scored.select("run", "rank", "example_index", "is_correct").write.mode("overwrite").parquet(
+                f"{out}/{ITEMS}/batch={batch}"
+            )
+            rank_rows(files).write.mode("overwrite").parquet(f"{out}/{RANKS}/batch={batch}")
+        finally:
+            files.unpersist()
 
     return (
         stream_rank_files(spark, path, dataset)

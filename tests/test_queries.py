@@ -23,7 +23,7 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     rows = entry_point.entry(spark).collect()
-    assert len(rows) == 20 and sum(r.problem == "" for r in rows) == 13
+    assert len(rows) == 20 and sum(r.problem == "" for r in rows) == 11
 
 
 @pytest.mark.parametrize("name", queries.queries())

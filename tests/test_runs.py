@@ -67,6 +67,32 @@ def test_several_runs_in_folders(spark, tmp_path):
     assert table == {"a": None, "b": None, "c": "missing ranks"}
 
 
+def test_equal_folder_names_are_different_runs(spark, tmp_path):
+    for name in ("exp1", "exp2"):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name / "eval run", *good())
+    rows = jobs.score_run(spark, str(tmp_path), "gsm8k").collect()
+    assert sorted(r.run.replace("%20", " ") for r in rows) == ["exp1/eval run", "exp2/eval run"]
+    assert jobs.score_run(spark, str(tmp_path / "*"), "gsm8k").count() == 2
+    assert jobs.score_run(spark, f"file://{tmp_path}/exp1/", "gsm8k").first().run.replace("%20", " ") == "eval run"
+
+
+def test_all_bad_runs_are_told(spark, tmp_path):
+    for number in range(25):
+        write(tmp_path / f"r{number:02}", *good()[:1])
+    with pytest.raises(ValueError, match="25 of the runs.*r00: missing ranks.*r19"):
+        jobs.score_run(spark, str(tmp_path), "gsm8k")
+    ranks, generations = rank_files.read_rank_files(spark, str(tmp_path), "gsm8k")
+    assert jobs.run_problems(ranks, generations, "gsm8k").count() == 25
+
+
+def test_converted_files_score_the_same(spark, tmp_path):
+    write(tmp_path / "a", *good())
+    rank_files.convert_rank_files(spark, str(tmp_path / "a"), "gsm8k", str(tmp_path / "lines"))
+    row = jobs.score_tables(*rank_files.read_rank_output(spark, str(tmp_path / "lines")), "gsm8k").first()
+    assert (row.run, row.correct, row.total) == ("a", 4, 6)
+
+
 def test_settings_may_come_in_any_order(spark, tmp_path):
     files = good()
     files[1]["config"] = {"gen_length": 128, "steps": 64}
@@ -84,6 +110,8 @@ BAD = {
     "mixed configurations": with_change(lambda f: f[1].update(config={"steps": 32})),
     "duplicate or invalid rank": with_change(lambda f: f[1].update(rank=0)),
     "duplicate or invalid rank ": with_change(lambda f: f[1].update(rank=2)),
+    "wrong dataset ": with_change(lambda f: [x.pop("dataset") for x in f]),
+    "missing configuration": with_change(lambda f: [x.pop("config") for x in f]),
     "missing ranks": good()[:1],
     "incomplete or duplicate examples": with_change(lambda f: f[1]["generations"].pop()),
     "incomplete or duplicate examples ": with_change(lambda f: f[1]["generations"][0].update(example_index=0)),

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollscore.operators import trace
+from rollscore.plans import skew
 from rollscore.plans.skew import attach, attach_aggregates, with_counts
 
 
@@ -74,3 +75,22 @@ def test_selection_in_a_hot_group(spark, max_k):
     )
     assert got.count() == wanted.count() == 1 + 3 + 5 + 7 + 9
     assert got.exceptAll(wanted).count() == 0
+
+
+def test_null_keys_match_each_other(spark):
+    rows = rows_with_hot_key(spark).withColumn("key", F.when(F.col("key") > 3, F.col("key")))
+    for split_rows in (1_000_000, 5):
+        got = attach_aggregates(rows, ["key"], split_rows, n=F.count(F.lit(1)))
+        assert got.where("key is null").select("n").distinct().collect()[0].n == rows.where("key is null").count()
+
+
+def test_more_large_keys_than_are_broadcast(spark, monkeypatch):
+    """What is matched by broadcast has a fixed size; the other large keys still get their values."""
+    monkeypatch.setattr(skew, "HOT_KEYS", 3)
+    rows = rows_with_hot_key(spark)
+    got = attach_aggregates(rows, ["key"], 10, total=F.sum("value"))
+    window = Window.partitionBy("key")
+    wanted = rows.withColumn("total", F.sum("value").over(window))
+    assert got.exceptAll(wanted).count() == 0 and got.count() == 3000
+    hot = rows.groupBy("key").count().where("count > 10").count()
+    assert hot > 3

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollscore.functions.ranges import each_below
-from rollscore.sources.scan import read_table
 
 STEPS = 16
 SEGMENTS = 4
@@ -100,9 +99,9 @@ f as (select *, case when r = 9 and k % 8 = 6 then 5 when r = 15 then k % 9 else
 select idx, 'run' || cast(r as varchar(20)) as run, file_no,
        case when r = 5 and file_no = 7 then 9 else file_no % 8 end as rank,
        case when r = 3 and k = 5 then 4 else k end as example_index,
-       case when r = 13 then 'math' else 'gsm8k' end as dataset,
+       case when r = 13 then 'math' when r <> 17 then 'gsm8k' end as dataset,
        cast(8 as bigint) as world_size,
-       case when r = 7 and file_no = 2 then 'steps=64' else 'steps=32' end as config,
+       case when r = 7 and file_no = 2 then 'steps=64' when r <> 19 then 'steps=32' end as config,
        k
 from f
 """
@@ -170,7 +169,7 @@ select doc_id as seq_id, doc_id % 100 as batch_id, pos,
        -cast(pos % 7 + length(word) % 5 + 1 as double) / 16 + cast((pos + doc_id) % 5 - 2 as double) / 64 as ref_logp,
        cast(doc_id % 5 - 2 as double) as advantage,
        (pos * 3 + doc_id) % 4 <> 0 and pos % 500 < 400 and doc_id % 11 <> 0 as is_sampled,
-       pos <= 100 + doc_id % 50 * 40 and doc_id % 13 <> 0 as is_valid,
+       (pos + doc_id) % 17 <> 0 and doc_id % 13 <> 0 as is_valid,
        -cast(pos % 5 + length(word) % 3 + 1 as double) / 16 as old_pos_logp,
        -cast(pos % 5 + length(word) % 3 + 1 as double) / 16 + cast(length(word) % 5 - 2 as double) / 32 as new_pos_logp
 from {words}
@@ -185,14 +184,17 @@ select doc_id as seq_id, cast(s as bigint) as segment, pos,
 from {segment_words}
 """
 
-# A decode step's scores: which positions are still masked, and how many may be revealed.
+# A decode step's scores: which positions are still masked, and how many may be revealed. Eight steps
+# work on each block of 1,024 words to the document's end; every seventh word is scored a block early.
 DECODE_SCORES = """
-select doc_id as seq_id, cast((pos + length(word)) % 8 as bigint) as step, pos,
+with w as (select doc_id, pos, word, (pos + length(word)) % 8 as s,
+                  cast(floor(pos / 1024) as bigint) - case when pos % 7 = 0 and pos >= 1024 then 1 else 0 end as b from {words})
+select doc_id as seq_id, cast(b * 8 + s as bigint) as step, pos,
        cast((pos * 37 + length(word) * 11) % 101 as double) / 101 as confidence,
        (pos + doc_id) % 3 <> 0 as is_masked,
-       cast(1024 + doc_id % 7 * 512 as bigint) as block_end,
-       cast(1 + (doc_id + (pos + length(word)) % 8) % 3 as bigint) as k
-from {words}
+       cast((b + 1) * 1024 as bigint) as block_end,
+       cast(1 + (doc_id + s) % 3 as bigint) as k
+from w
 """
 
 # A decode trace that follows the quota but for some words.
@@ -203,6 +205,13 @@ select doc_id as seq_id, pos,
 from {words}
 """
 
+# Confidences of a trace's decode steps, logged for the step that revealed a word and the one before.
+TRACE_SCORES = """
+with t as (select doc_id as seq_id, pos, word, cast(floor(pos / 32) * 4 + pos % 32 % 4 as bigint) as st from {words}),
+e as (select *, st as step from t union all select *, st - 1 as step from t where st % 4 > 0)
+select seq_id, step, pos, cast((pos * 37 + length(word) * 11 + step * 5) % 101 as double) / 101 as confidence from e
+"""
+
 # The words once per segment, in DuckDB; Spark's are in segment_words().
 SEGMENT_WORDS = "select *, unnest(range(4)) as s from {words}"
 
@@ -215,7 +224,9 @@ TABLES = tuple(USED_COLUMNS)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{table}.parquet", USED_COLUMNS[table])
+    """A table's columns, dealt over the cores: the given files are single splits."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*USED_COLUMNS[table])
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rollscore.functions import prompts
 from workload import fixtures as fx
-from workload.queries import SEED, TEMPLATE, WEIGHTS
+from workload.queries import LATE_SEGMENTS, LATE_STEPS, SEED, TEMPLATE, WEIGHTS
 
 G = fx.duck(fx.GENERATIONS)
 M = fx.duck(fx.MATH_ANSWERS)
@@ -18,6 +18,7 @@ T = fx.duck(fx.TOKENS)
 LOGPS = fx.duck(fx.LOGPS)
 SCORES = fx.duck(fx.POSITION_SCORES)
 DECODE = fx.duck(fx.DECODE_SCORES)
+TRACE_SCORES = fx.duck(fx.TRACE_SCORES)
 TRACE = fx.duck(fx.TRACE)
 
 WIDTH = fx.STEPS // fx.SEGMENTS
@@ -329,8 +330,9 @@ VALIDATE = f"""
               max(example_index) as hi from {RUN_ROWS} group by run)
 select f.run, f.dataset, n_files, n_ranks, world_size, dataset_size, coalesce(n_rows, 0) as n_rows,
        coalesce(n_examples, 0) as n_examples,
-       case when dataset <> 'gsm8k' then 'wrong dataset'
+       case when dataset is null or dataset <> 'gsm8k' then 'wrong dataset'
             when nd > 1 or nc > 1 or ns > 1 or nw > 1 then 'mixed configurations'
+            when nc = 0 then 'missing configuration'
             when n_files <> n_ranks or bad > 0 then 'duplicate or invalid rank'
             when n_ranks <> world_size then 'missing ranks'
             when not (n_rows = dataset_size and n_examples = dataset_size and lo = 0 and hi = dataset_size - 1)
@@ -408,12 +410,29 @@ select seq_id, step, pos, {r6('confidence')} as confidence from {DECODE} where i
 qualify row_number() over (partition by seq_id, step order by confidence desc, pos) <= k
 """
 
-SELECTION_AUDIT = f"""
-with d as (select *, is_masked and pos < block_end as open from {DECODE}),
-r as (select *, open and row_number() over (partition by seq_id, step, open order by confidence desc, pos) <= k as chosen from d)
-select r.seq_id, r.step, r.pos, case when chosen then 'not_revealed' else 'not_selected' end as problem
-from r left join {T} t on t.seq_id = r.seq_id and t.pos = r.pos
-where chosen <> coalesce(t.unmask_step = r.step, false)
+def selection_audit(scores: str, traj: str) -> str:
+    """Positions chosen and not revealed, or revealed at a logged step and not chosen."""
+    return f"""
+select coalesce(c.seq_id, r.seq_id) as seq_id, coalesce(c.step, r.step) as step, coalesce(c.pos, r.pos) as pos,
+       case when r.pos is null then 'not_revealed' else 'not_selected' end as problem
+from (select seq_id, step, pos from {scores} where is_masked and pos < block_end
+      qualify row_number() over (partition by seq_id, step order by confidence desc, pos) <= k) c
+full join (select seq_id, unmask_step as step, pos from {traj} where unmask_step >= 0
+           and (seq_id, unmask_step) in (select (seq_id, step) from {scores})) r
+  on c.seq_id = r.seq_id and c.step = r.step and c.pos = r.pos
+where c.pos is null or r.pos is null
+"""
+
+
+SELECTION_AUDIT = selection_audit(DECODE, T)
+_STEP_U = uniform(str(SEED), "s.seq_id", "s.step", "s.pos")
+TRACE_STATE = f"""
+(with b as (select seq_id, pos // {fx.BLOCK} as block, count(*) as size from {TRACE} group by all)
+select s.seq_id, s.step, s.pos, s.confidence - ln(-ln({_STEP_U} + 1e-8) + 1e-8) * 0.5 as confidence,
+       t.unmask_step = -1 or t.unmask_step >= s.step as is_masked, (s.step // {fx.STEPS_PER_BLOCK} + 1) * {fx.BLOCK} as block_end,
+       size // {fx.STEPS_PER_BLOCK} + case when s.step % {fx.STEPS_PER_BLOCK} < size % {fx.STEPS_PER_BLOCK} then 1 else 0 end as k
+from {TRACE_SCORES} s join {TRACE} t on t.seq_id = s.seq_id and t.pos = s.pos
+join b on b.seq_id = s.seq_id and b.block = s.step // {fx.STEPS_PER_BLOCK})
 """
 
 # --- losses -------------------------------------------------------------------------------------
@@ -575,11 +594,18 @@ CELL_U = (
 )
 
 
-def position_pairs(threshold: str, tau: float = 0.5) -> str:
+LATE_WIDTH = LATE_STEPS // LATE_SEGMENTS
+LATE_REDUCED = reduced(
+    f"(select c.* exclude (x, unmask_step), vec_id * 7 % 19 as unmask_step, s.segment, x * (1 + s.segment / 4) as x "
+    f"from {CELLS} c, (select unnest(range({LATE_SEGMENTS})) as segment) s)", VKEYS + ", segment"
+)
+
+
+def position_pairs(threshold: str, tau: float = 0.5, source: str = SEGMENT_REDUCED, width: int = WIDTH) -> str:
     """Every target with every competitor, as in the definition."""
     return f"""
-(with s as (select seq_id, segment, pos, unmask_step, tgt as own, top as conf from {SEGMENT_REDUCED}),
- target as (select *, {threshold} as th from s where unmask_step > segment * {WIDTH} and unmask_step <= (segment + 1) * {WIDTH}),
+(with s as (select seq_id, segment, pos, unmask_step, tgt as own, top as conf from {source}),
+ target as (select *, {threshold} as th from s where unmask_step > segment * {width} and unmask_step <= (segment + 1) * {width}),
  pairs as (select t.seq_id, t.segment, t.pos, any_value(t.own) / {tau} as o,
                   coalesce(sum(exp(c.conf / {tau})), 0) as others,
                   coalesce(sum(-ln(1 + exp(-(t.own - c.conf) / {tau}))), 0) as bt
@@ -652,6 +678,8 @@ ORACLE: dict[str, str] = {
     "n4_slash": on_math(slash("answer")),
     "e8_normalize": f"select example_index, n as value from {normal_form(M, 'answer', 'n')}",
     "e9_equiv": f"select example_index, same as is_equal from {equivalent(M, 'answer', 'gold', 'same')}",
+    "e9_close_words": "select example_index, case when example_index % 2 = 0 then example_index % 9 in (3, 4) "
+    f"else example_index % 9 in (2, 5) end as is_close from {M}",
     "e9_close": f"select example_index, coalesce(abs(try_cast({xml_answer('completion')} as double) - gold_num) < 1e-6, false) as is_close from {G}",
     "r1_correct": on_reward(correct("completion", "gold")),
     "r2_integer": on_reward(integer("completion")),
@@ -673,6 +701,9 @@ ORACLE: dict[str, str] = {
     "f1_documents": f"select group_id, sample_id, func, {r6('reward')} as reward from {all_rewards(DOCUMENTS, 'group_id, sample_id', 'gold')}",
     "j2_gold": f"with g as (select * from {G}), k as (select group_id, max(gold) as answer from g group by group_id) "
     f"select example_index, g.group_id, answer, {correct('completion', 'answer')} as reward from g join k on g.group_id = k.group_id",
+    "j2_lost": f"with g as (select * from {G}), k as (select group_id, max(gold) as answer from g where group_id % 5 <> 0 group by group_id) "
+    "select example_index, g.group_id, answer from g left join k on g.group_id = k.group_id",
+    "j2_without_gold": f"select group_id, count(*) as n_completions from {G} where group_id % 5 = 0 group by group_id",
     "a1_total": f"select step, group_id, sample_id, {r6('reward')} as reward from {TOTALS}",
     "a2_all_null": f"select step, group_id, sample_id, count(*) as n_funcs from {LONG} group by step, group_id, sample_id having count(reward) = 0",
     "a3_func_mean": f"select step, func, {r9('avg(reward)')} as mean_reward, count(reward) as n_scored from {LONG} group by step, func",
@@ -715,6 +746,8 @@ ORACLE: dict[str, str] = {
     "p4_template": f"select example_index, {_USER} || case when example_index % 3 = 0 then {_ASSISTANT} else '' end || {_HEADER} as rendered from {Q}",
     "p8_bootstrap": "select example_index, cast(1 as bigint) as n_messages, case when example_index % 3 = 0 then answer else '' end "
     f"|| ' done ' || cast(example_index as varchar) as completion from {Q}",
+    "s1_dense_index": "select key, doc_id, row_number() over (order by key, doc_id) - 1 as example_index "
+    "from (select doc_id * 7919 % 100003 as key, doc_id from documents)",
     "p5_truncate": f"select seq_id, array_to_string(ids[greatest(len(ids) - 199, 1):], ',') as ids from {IDS}",
     "p6_pad": f"with p as (select *, max(len(ids)) over (partition by batch_id) as w from {IDS}) "
     "select seq_id, w as width, md5(array_to_string(list_concat(list_transform(range(w - len(ids)), lambda i: 0), ids), ',')) as ids_md5, "
@@ -744,6 +777,10 @@ ORACLE: dict[str, str] = {
     "from (select doc_id, len(string_split(text, ' ')) as n from documents), (select unnest(range(12)) as step)",
     "k1_select": SELECTED,
     "k1_audit": SELECTION_AUDIT,
+    "k1_trace": f"select seq_id, step, cast(-1 as bigint) as pos, problem from ({AUDIT}) union all "
+    f"select seq_id, step, pos, problem from ({selection_audit(TRACE_STATE, TRACE)})",
+    "j3_unmatched": "select batch_id, count(*) as n_tokens, count(*) filter (where (pos + seq_id) % 23 = 0) as no_old_logp, "
+    f"count(*) filter (where seq_id % 7 = 0) as no_advantage from {LOGPS} group by batch_id",
     "j3_logps": f"select batch_id, seq_id, pos, new_logp, old_logp, ref_logp, advantage from {LOGPS}",
     "a11_reinforce": token_loss("reinforce", True),
     "a12_grpo": token_loss("grpo", True),
@@ -764,17 +801,39 @@ ORACLE: dict[str, str] = {
     f"{r6('exp(top - lse) - exp(second - lse)')} as margin from {REDUCED}",
     "r10_cfg": f"select vec_id, tok as token, {r6('x * 0.5 + 2.5 * (x - x * 0.5)')} as value from {CELLS}",
     "r11_gumbel": f"select vec_id, arg_max(tok, s) as token, {r6('max(s)')} as score from (select vec_id, tok, exp(x) / pow(-ln({CELL_U}), 0.9::double) as s from {CELLS}) group by vec_id",
+    "r10_lost": f"select vec_id, {r6('case when vec_id % 3 <> 0 then max(x * 0.5 + 2.5 * (x - x * 0.5)) end')} as top from {CELLS} group by vec_id",
+    "r12_infinite": f"select vec_id, vec_id % 7 = 0 as is_closed, case when vec_id % 7 <> 0 then {r6(f'exp(top - lse) + ({GUMBEL}) * 0.5')} end as noisy "
+    f"from {REDUCED}",
     "r12_noise": f"select vec_id, {r6(f'ln(exp(top - lse) + 1e-8) + ({GUMBEL}) * 0.5')} as decoupled, "
     f"{r6(f'exp(top - lse) + ({GUMBEL}) * 0.5')} as stochastic from {REDUCED}",
     "k2_argmax": f"select vec_id, best as token from {REDUCED}",
-    "k3_remask": f"select vec_id, {r6('exp(top - lse)')} as low_confidence, {r6('exp(top - lse)')} as decoupled, {r6(U)} as random from {REDUCED}",
+    "k3_remask": f"with c as (select vec_id, arg_max(tok, exp(x) / pow(-ln({CELL_U}), 0.9::double)) as chosen from {CELLS} group by vec_id), "
+    f"p as (select c.vec_id, chosen, any_value(x) as px from c join {CELLS} l on l.vec_id = c.vec_id and tok = chosen group by all) "
+    f"select r.vec_id, chosen, {r6('exp(px - lse)')} as low_confidence, {r6('exp(top - lse)')} as decoupled, {r6(uniform(str(SEED), 'r.vec_id'))} as random "
+    f"from {REDUCED} r join p on p.vec_id = r.vec_id",
     "t4_seg_logps": f"select seq_id, segment, pos, {r6('tgt - lse')} as logp from {OWN}",
     "a9_merge": f"select v.seq_id, v.pos, v.unmask_step, {r6('coalesce(m.a, 0)')} as logp from {V} v "
     f"left join (select seq_id, pos, avg(tgt - lse) as a from {OWN} group by seq_id, pos) m on v.seq_id = m.seq_id and v.pos = m.pos",
+    "a9_lost": f"select v.seq_id, v.pos, v.unmask_step, case when v.unmask_step between 1 and {WIDTH * fx.SEGMENTS} then {r6('m.a')} else 0 end as logp "
+    f"from {V} v left join (select seq_id, pos, avg(tgt - lse) as a from {OWN} where vec_id % 5 <> 0 group by seq_id, pos) m "
+    "on v.seq_id = m.seq_id and v.pos = m.pos",
+    "t4_plain": f"select seq_id, pos, unmask_step, iter, {r6('tgt - lse')} as logp from "
+    + reduced(f"(select c.* exclude (x), i.iter, x * (1 + i.iter / 8) as x from {CELLS} c, (select unnest(range({fx.ITERATIONS})) as iter) i)", VKEYS + ", iter"),
+    "t4_sampled": f"select v.seq_id, v.pos, v.unmask_step, case when v.unmask_step between 1 and {WIDTH * fx.SEGMENTS} then {r6('m.a')} else 0 end as logp "
+    f"from {V} v left join (select seq_id, pos, avg(tgt - lse) as a from {OWN} where (seq_id // 5 + segment) % 2 = 0 group by seq_id, pos) m "
+    "on v.seq_id = m.seq_id and v.pos = m.pos",
+    "t4_targets": f"select seq_id, pos, segment, {r6('tgt - lse')} as logp from {OWN} where vec_id % 4 <> 0",
     "l1_self": f"select vec_id, segment, {r6('tgt')} as gt_logit, {r6('exp(tgt - lse)')} as gt_prob, "
     f"{r6('exp(top - lse) - exp(second - lse)')} as max_margin from {SEGMENT_REDUCED}",
     "l3_bt": f"select seq_id, segment, pos, {r6('bt')} as pos_logp from {position_pairs('unmask_step')}",
     "l3_bt_segment": f"select seq_id, segment, pos, {r6('bt')} as pos_logp from {position_pairs(SEGMENT_END)}",
+    **{
+        name: f"select seq_id, segment, pos, {r6(column)} as pos_logp from {position_pairs(threshold, 0.5, LATE_REDUCED, LATE_WIDTH)}"
+        for name, column, threshold in (
+            ("l3_late", "bt", "unmask_step"), ("l3_late_segment", "bt", f"(segment + 1) * {LATE_WIDTH}"),
+            ("l4_late", "softmax", "unmask_step"), ("l4_late_segment", "softmax", f"(segment + 1) * {LATE_WIDTH}"),
+        )
+    },
     "l4_softmax": f"select seq_id, segment, pos, {r6('softmax')} as pos_logp from {position_pairs(SEGMENT_END)}",
     "l5_segment": f"select seq_id, segment, count(*) as n_targets, {r6('ln(any_value(z))')} as others "
     f"from {long_position(SEGMENT_END)} where here group by seq_id, segment",

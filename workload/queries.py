@@ -18,6 +18,7 @@ from rollscore.operators.losses import Loss
 from rollscore.plans import jobs
 from rollscore.recipe import load_recipe
 from rollscore.sources import sinks
+from rollscore.sources.questions import with_dense_index
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +110,25 @@ def segment_logits(spark: SparkSession, sf: str) -> DataFrame:
     return each.withColumn("logits", F.transform("logits", lambda x: x * (1 + C("segment") / 4)))
 
 
+LATE_STEPS, LATE_SEGMENTS = 16, 3
+
+
+def late_logits(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps up to 18 of 16, and three segments, which do not divide the steps."""
+    rows = logit_rows(spark, sf).withColumn("unmask_step", C("vec_id") * 7 % 19)
+    each = rows.withColumn("segment", each_below(LATE_SEGMENTS))
+    return each.withColumn("logits", F.transform("logits", lambda x: x * (1 + C("segment") / 4)))
+
+
+def late_query(method: str, scope: str) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        scores = likelihood.position_scores(late_logits(spark, sf), "max_logit", "gt")
+        table = position.position_logps(scores, LATE_STEPS, LATE_SEGMENTS, method, scope, 0.5)
+        return rounded(table.select("seq_id", "segment", "pos", "pos_logp"))
+
+    return query
+
+
 def position_rows(spark: SparkSession, sf: str) -> DataFrame:
     return fx.derive(spark, sf, fx.POSITION_SCORES)
 
@@ -130,6 +150,14 @@ def equiv_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def close_words(spark: SparkSession, sf: str) -> DataFrame:
+    """E9 against a number, for texts that engines read as numbers in different ways."""
+    texts = F.array(*[F.lit(t) for t in ("5d", "5f", "1_000", " 5 ", "5.0000001", "1e3", "5,0", "inf", "")])
+    rows = math_answers(spark, sf).withColumn("text", F.get(texts, (C("example_index") % 9).cast("int")))
+    gold = F.when(C("example_index") % 2 == 0, 5.0).otherwise(1000.0)
+    return rows.select("example_index", mathnorm.is_close(C("text"), gold).alias("is_close"))
+
+
 def close_query(spark: SparkSession, sf: str) -> DataFrame:
     return generations(spark, sf).select(
         "example_index", mathnorm.is_close(answers.extract_xml_answer(C("completion")), C("gold_num")).alias("is_close")
@@ -212,6 +240,18 @@ def gold_join(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("example_index", "group_id", "answer", reward.alias("reward"))
 
 
+def lost_gold(spark: SparkSession, sf: str) -> DataFrame:
+    """J1, J2 with no gold for every fifth prompt: its completions stay, without an answer."""
+    rows = generations(spark, sf)
+    gold = rows.where(C("group_id") % 5 != 0).groupBy("group_id").agg(F.max("gold").alias("answer"))
+    return rewards.attach_gold(rows.drop("gold"), gold).select("example_index", "group_id", "answer")
+
+
+def prompts_without_gold(spark: SparkSession, sf: str) -> DataFrame:
+    rows = generations(spark, sf)
+    return rewards.without_gold(rows, rows.where(C("group_id") % 5 != 0).select("group_id").distinct())
+
+
 def advantage_query(estimator: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         table = advantages.advantages(totals(spark, sf), estimator)
@@ -365,6 +405,12 @@ def joined_ids(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
 
 
+def dense_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows numbered in the order of their key."""
+    rows = fx.read(spark, sf, "documents").select((C("doc_id") * 7919 % 100003).alias("key"), "doc_id")
+    return with_dense_index(rows, ["key", "doc_id"])
+
+
 def truncated(spark: SparkSession, sf: str) -> DataFrame:
     return packed(spark, sf).select("seq_id", joined_ids(tokens.truncate_left(C("ids"), 200)).alias("ids"))
 
@@ -473,6 +519,18 @@ def selection_audit(spark: SparkSession, sf: str) -> DataFrame:
     return trace.audit_selection(scores, traj(spark, sf), max_k=3)
 
 
+AUDIT = {
+    "max_completion_length": 64, "block_length": fx.BLOCK, "diffusion_steps": 2 * fx.STEPS_PER_BLOCK,
+    "stochastic_position_selection": True, "position_sampling_temperature": 0.5, "seed": SEED,
+}
+
+
+def trace_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 and T6 from the trace and the logged confidences alone."""
+    scores = fx.derive(spark, sf, fx.TRACE_SCORES)
+    return jobs.audit_trace(fx.derive(spark, sf, fx.TRACE), load_recipe(AUDIT), scores).fillna({"pos": -1})
+
+
 # --- losses -------------------------------------------------------------------------------------
 
 
@@ -480,11 +538,20 @@ def separate_logps(spark: SparkSession, sf: str) -> DataFrame:
     """New, old and reference values as three tables, joined again, with advantages per sequence."""
     table = logps(spark, sf)
     keys = ["batch_id", "seq_id", "pos"]
-    aligned = losses.align(
-        table.select(*keys, "new_logp"), table.select(*keys, "old_logp"), table.select(*keys, "ref_logp")
-    )
     advantage = table.groupBy("batch_id", "seq_id").agg(F.max("advantage").alias("advantage"))
-    return losses.attach_advantages(aligned, advantage)
+    new = losses.attach_advantages(table.select(*keys, "new_logp"), advantage)
+    aligned = losses.align(new, table.select(*keys, "old_logp"), table.select(*keys, "ref_logp"))
+    return aligned
+
+
+def unmatched_logps(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 with old values lost for every 23rd word and advantages for every seventh document."""
+    table = logps(spark, sf)
+    keys = ["batch_id", "seq_id", "pos"]
+    old = table.where((C("pos") + C("seq_id")) % 23 != 0).select(*keys, "old_logp")
+    kept = table.where(C("seq_id") % 7 != 0).groupBy("batch_id", "seq_id").agg(F.max("advantage").alias("advantage"))
+    new = losses.attach_advantages(table.select(*keys, "new_logp"), kept)
+    return losses.unmatched(losses.align(new, old))
 
 
 def loss_query(loss_type: str, averaging: str = "token_level", sampled: bool = True) -> Query:
@@ -522,9 +589,8 @@ def kl_query(spark: SparkSession, sf: str) -> DataFrame:
 def total_query(spark: SparkSession, sf: str) -> DataFrame:
     table = logps(spark, sf)
     loss = Loss("gspo", "token_level", fx.CLIP_LOW, fx.CLIP_LOW, fx.CLIP_HIGH)
-    token, pos = losses.policy_loss(table, loss), losses.policy_loss(position_table(table), loss)
-    combined = losses.total_loss(token, pos, losses.kl(table), position_weight=0.5, kl_weight=0.04)
-    return rounded(combined)
+    values = losses.update_values(table, loss, loss, with_kl=True, position_weight=0.5, kl_weight=0.04)
+    return rounded(values.select("batch_id", "policy_loss", "position_loss", "weighted_position_loss", "kl", "total_loss"))
 
 
 def update_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -562,6 +628,14 @@ def guided(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def guided_lost(spark: SparkSession, sf: str) -> DataFrame:
+    """R10 with the second pass lost for every third row."""
+    rows = logit_rows(spark, sf)
+    other = rows.where(C("vec_id") % 3 != 0).withColumn("logits", F.transform("logits", lambda x: x * 0.5))
+    both = likelihood.combine_passes(rows, other, 1.5, ["vec_id"])
+    return both.select("vec_id", r6(F.array_max("logits")).alias("top"))
+
+
 def gumbel(spark: SparkSession, sf: str) -> DataFrame:
     noisy = logit_rows(spark, sf).withColumn("scores", logits.gumbel_scores(C("logits"), 0.9, SEED, [C("vec_id")]))
     return noisy.select(
@@ -579,15 +653,26 @@ def noise(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def noise_infinite(spark: SparkSession, sf: str) -> DataFrame:
+    """R12 where every seventh position is closed: its confidence is minus infinity and stays so."""
+    u = sampling.uniform(SEED, C("vec_id"))
+    top = F.when(C("vec_id") % 7 == 0, F.lit(float("-inf"))).otherwise(logits.top_probability(C("logits")))
+    noisy = logits.stochastic_noise(top, 0.5, u)
+    return logit_rows(spark, sf).select(
+        "vec_id", (noisy == float("-inf")).alias("is_closed"), r6(F.when(noisy > float("-inf"), noisy)).alias("noisy")
+    )
+
+
 def argmax(spark: SparkSession, sf: str) -> DataFrame:
     return logit_rows(spark, sf).select("vec_id", logits.argmax_token(C("logits")).cast("bigint").alias("token"))
 
 
 def remask(spark: SparkSession, sf: str) -> DataFrame:
-    rows = logit_rows(spark, sf).withColumn("chosen", logits.argmax_token(C("logits")).cast("int"))
+    noisy = logits.gumbel_scores(C("logits"), 0.9, SEED, [C("vec_id")])
+    rows = logit_rows(spark, sf).withColumn("chosen", logits.argmax_token(noisy).cast("int"))
     u = sampling.uniform(SEED, C("vec_id"))
     return rows.select(
-        "vec_id",
+        "vec_id", C("chosen").cast("bigint").alias("chosen"),
         *[r6(logits.remask_confidence(C("logits"), C("chosen"), m, u)).alias(m) for m in logits.REMASKING_MODES],
     )
 
@@ -599,7 +684,46 @@ def segment_logps(spark: SparkSession, sf: str) -> DataFrame:
 def merged_logps(spark: SparkSession, sf: str) -> DataFrame:
     scored = likelihood.segment_token_logps(segment_logits(spark, sf), fx.STEPS, fx.SEGMENTS)
     tokens_only = logit_rows(spark, sf).select("seq_id", "pos", "unmask_step")
-    return rounded(likelihood.merge_segment_logps(tokens_only, scored))
+    return rounded(likelihood.merge_segment_logps(tokens_only, scored, fx.STEPS, fx.SEGMENTS))
+
+
+def lost_logps(spark: SparkSession, sf: str) -> DataFrame:
+    """A9 with every fifth logits row lost: unknown inside a segment, 0 outside all."""
+    kept = segment_logits(spark, sf).where(C("vec_id") % 5 != 0)
+    scored = likelihood.segment_token_logps(kept, fx.STEPS, fx.SEGMENTS)
+    tokens_only = logit_rows(spark, sf).select("seq_id", "pos", "unmask_step")
+    return rounded(likelihood.merge_segment_logps(tokens_only, scored, fx.STEPS, fx.SEGMENTS))
+
+
+PLAIN = {"max_completion_length": 64, "block_length": 32, "diffusion_steps": fx.STEPS, "num_iterations": fx.ITERATIONS}
+
+
+def plain_logps(spark: SparkSession, sf: str) -> DataFrame:
+    """T4 without segments: every token, once per iteration's pass."""
+    passes = logit_rows(spark, sf).withColumn("iter", each_below(fx.ITERATIONS)).withColumn(
+        "logits", F.transform("logits", lambda x: x * (1 + C("iter") / 8))
+    )
+    tokens_only = logit_rows(spark, sf).select("seq_id", "pos", "unmask_step")
+    return rounded(jobs.token_likelihood(passes, tokens_only, load_recipe(PLAIN)))
+
+
+def sampled_logps(spark: SparkSession, sf: str) -> DataFrame:
+    """T4 over the drawn segments only; the others' arrays are not read."""
+    recipe = load_recipe(PLAIN | {"use_stepmerge": True, "num_stepmerge_blocks": fx.SEGMENTS})
+    batch = F.floor(C("seq_id") / 5).cast("bigint")
+    passes = segment_logits(spark, sf).withColumn("batch_id", batch)
+    drawn = passes.where((C("batch_id") + C("segment")) % 2 == 0).select("batch_id", "segment").distinct()
+    tokens_only = logit_rows(spark, sf).select("seq_id", "pos", "unmask_step")
+    return rounded(jobs.token_likelihood(passes, tokens_only, recipe, drawn))
+
+
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Logits that were logged without their targets; every fourth token is not in the trace."""
+    bare = segment_logits(spark, sf).select("seq_id", "pos", "segment", "logits")
+    known = logit_rows(spark, sf).where(C("vec_id") % 4 != 0).select("seq_id", "pos", "token_id", "unmask_step")
+    own = likelihood.with_targets(bare, known, cut=(fx.STEPS, fx.SEGMENTS))
+    value = r6(logits.token_logp(C("logits"), C("token_id")))
+    return own.select("seq_id", "pos", "segment", value.alias("logp"))
 
 
 def own_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -673,6 +797,7 @@ QUERIES: dict[str, Query] = {
     "e8_normalize": math_query(mathnorm.normalize_math),
     "e9_equiv": equiv_query,
     "e9_close": close_query,
+    "e9_close_words": close_words,
     "r1_correct": reward_query("correct_answer"),
     "r2_integer": reward_query("integer_answer"),
     "r3_strict": reward_query("strict_format"),
@@ -684,6 +809,8 @@ QUERIES: dict[str, Query] = {
     "f1_reward_table": long_rewards,
     "f1_documents": documents_rewards,
     "j2_gold": gold_join,
+    "j2_lost": lost_gold,
+    "j2_without_gold": prompts_without_gold,
     "a1_total": lambda spark, sf: rounded(totals(spark, sf)),
     "a2_all_null": lambda spark, sf: rewards.all_null_rewards(scored_rows(spark, sf)),
     "a3_func_mean": lambda spark, sf: rounded(rewards.mean_reward_per_func(scored_rows(spark, sf)), 9),
@@ -715,6 +842,7 @@ QUERIES: dict[str, Query] = {
     "p3_prompt_math": eval_prompts("math", False),
     "p4_template": template,
     "p8_bootstrap": bootstrap,
+    "s1_dense_index": dense_index,
     "p5_truncate": truncated,
     "p6_pad": padded,
     "p7_split": split_ids,
@@ -734,7 +862,9 @@ QUERIES: dict[str, Query] = {
     "w5_quota": quota,
     "k1_select": select_unmask,
     "k1_audit": selection_audit,
+    "k1_trace": trace_audit,
     "j3_logps": separate_logps,
+    "j3_unmatched": unmatched_logps,
     "a11_reinforce": loss_query("reinforce"),
     "a12_grpo": loss_query("grpo"),
     "a13_dapo": loss_query("dapo"),
@@ -752,15 +882,25 @@ QUERIES: dict[str, Query] = {
     "r9_confidence": confidences,
     "r10_cfg": guided,
     "r11_gumbel": gumbel,
+    "r10_lost": guided_lost,
     "r12_noise": noise,
+    "r12_infinite": noise_infinite,
     "k2_argmax": argmax,
     "k3_remask": remask,
     "t4_seg_logps": segment_logps,
+    "t4_plain": plain_logps,
+    "t4_sampled": sampled_logps,
+    "t4_targets": targets,
     "a9_merge": merged_logps,
+    "a9_lost": lost_logps,
     "l1_self": own_scores,
     "l3_bt": position_query("bradley_terry", "position"),
     "l3_bt_segment": position_query("bradley_terry", "segment"),
+    "l3_late": late_query("bradley_terry", "position"),
+    "l3_late_segment": late_query("bradley_terry", "segment"),
     "l4_softmax": position_query("softmax", "segment"),
+    "l4_late": late_query("softmax", "position"),
+    "l4_late_segment": late_query("softmax", "segment"),
     "l5_segment": competitor_sums,
     "l6_position": position_query("softmax", "position"),
     "l8_block_segment": long_position_query("segment"),
