@@ -3,7 +3,8 @@
 Shingles have one global order: by how often a fixed-size sketch of all documents has counted them, then by
 hash. Two sets that reach the threshold share a shingle among the first few of each (the prefix); prefixes
 longer by one share two, and so on. Each document takes the length whose estimated cost of candidates is
-least, and a pair needs as many shared prefix shingles as the shorter-reaching of the two asks for.
+least, and a pair needs as many shared prefix shingles as the shorter-reaching of the two asks for, before
+any whole set is looked at. Candidates come from the shortest prefixes; the longer ones only sift them.
 
 A result names groups, so copies are not paired with each other:
 
@@ -13,7 +14,7 @@ A result names groups, so copies are not paired with each other:
 * Then only pairs from different components that share a shingle are formed, and of these only those
   whose distances from the hub allow a link (the Jaccard distance obeys the triangle inequality).
 
-Verification intersects the whole sets.
+Verification intersects the whole sets, built for the documents of sifted pairs only.
 """
 
 from __future__ import annotations
@@ -23,18 +24,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscore.llm.batches import int_lists, slices
 from rollscore.llm.components import MIX, components
-from rollscore.llm.words import lanes_of, runs, words_of
+from rollscore.llm.words import lanes_of, runs
 from rollscore.session import cut_lineage
 
 #: Cells of the sketch, and of a row that carries a part of it.
 CELLS, CELLS_PER_ROW = 1 << 20, 1 << 12
-#: Longest extension of a prefix, and how many candidates cost as much as one verification.
-MOST_MATCHES, VERIFY_COST = 4, 16
+#: How many looked-up shingles cost as much as one verification.
+VERIFY_COST = 16
+#: Up to so many rows of a few numbers are sent to the texts or prefixes; beyond, those are shuffled to them.
+BROADCAST_ROWS = 500_000
 #: Shingles verified against one hub in one group, about.
 GROUP_SHINGLES = 500_000
 
@@ -47,7 +50,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
 
     A text with fewer words than a shingle is one shingle of all its words; one without words has none.
     """
-    split = [words_of(t.translate(_FOLD) if t else t) for t in texts]
+    split = [t.encode().lower().split() if t else [] for t in texts]
     lane, _, starts = lanes_of(split)
     lengths = np.diff(starts)
     sets = []
@@ -65,9 +68,6 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return sets
 
 
-_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(44)).astype(np.int64)
 
@@ -104,9 +104,11 @@ def shortest_match(size: int, ratio: Ratio) -> int:
     return -(-size * ratio[0] // ratio[1])
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, ratio: Ratio) -> tuple[np.ndarray, int]:
+def prefix(shingles: np.ndarray, counts: np.ndarray, usual: float, ratio: Ratio) -> tuple[np.ndarray, int]:
     """(the first shingles in the global order, matches a partner must have among them).
 
+    ``usual`` is the mean of ``counts``: what a cell holds of shingles that are not the one looked up.
+
     A set whose partners can only be equal sets has no prefix: equal sets are one vertex already.
     """
     size = len(shingles)
@@ -114,21 +116,22 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, ratio: Ratio) -> tuple[np.n
         return shingles[:0], 1
     common = counts[_cell(shingles)]
     first = size - shortest_match(size, ratio) + 1
-    most = min(MOST_MATCHES, size - first + 1)
+    most = min(first, size - first + 1)
     reach = first + most - 1
-    order = np.lexsort((shingles, common))[:reach]
+    order = np.argsort(common, kind="stable")[:reach]
     # Candidates expected to share so many: each uses up as many of the occurrences.
-    seen = np.cumsum(np.maximum(common[order] - counts.mean(), 0))[first - 1:reach]
+    seen = np.cumsum(np.maximum(common[order] - usual, 0))[first - 1:reach]
     matches = np.arange(1, most + 1)
     best = int(np.argmin(seen + VERIFY_COST * seen / matches)) + 1
     return shingles[order[:first + best - 1]], best
 
 
 def _describe(batches: Iterable[pa.RecordBatch], words: int, ratio: Ratio, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    usual = float(counts.mean())
     for batch in slices(batches):
         sets = shingle_sets(batch.column("text").to_pylist(), words)
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        prefixes = [prefix(s, counts, ratio) for s in sets]
+        prefixes = [prefix(s, counts, usual, ratio) for s in sets]
         yield pa.record_batch(
             [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
              int_lists([p.view(np.int64) for p, _ in prefixes], np.int64), pa.array([m for _, m in prefixes], pa.int32())],
@@ -137,25 +140,61 @@ def _describe(batches: Iterable[pa.RecordBatch], words: int, ratio: Ratio, count
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Each document's set, once for every group (a, part) that it takes part in."""
     for batch in slices(batches):
-        sets = shingle_sets(batch.column("text").to_pylist(), words)
-        yield pa.record_batch([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+        sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)]
+        roles = batch.column("roles").to_pylist()
+        rows = [(r["a"], r["part"], i, s) for i, s, rs in zip(batch.column("id").to_pylist(), sets, roles, strict=True) for r in rs]
+        a, part, ids, packed = zip(*rows, strict=True) if rows else ([], [], [], [])
+        yield pa.record_batch(
+            [pa.array(a, pa.int64()), pa.array(part, pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())],
+            ["a", "part", "id", "shingles"],
+        )
 
 
-def _overlaps(others: pa.Table, hub: pa.Table) -> pa.Table:
+def _overlaps(key: tuple, table: pa.Table) -> pa.Table:
+    """Intersection and union of the hub's set with each of the group's others."""
+    hub = key[0].as_py()
+    sets = [(i, np.frombuffer(x, "<u8")) for i, x in zip(table.column("id").to_pylist(), table.column("shingles").to_pylist(), strict=True)]
     found: list[tuple] = []
-    if others.num_rows and hub.num_rows:
-        own = np.frombuffer(hub.column("own")[0].as_py(), "<u8")
-        a = hub.column("hub")[0].as_py()
-        for b, packed in zip(others.column("b").to_pylist(), others.column("shingles").to_pylist(), strict=True):
-            other = np.frombuffer(packed, "<u8")
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            found.append((a, b, both, len(own) + len(other) - both))
+    for own in (s for i, s in sets if i == hub):
+        for i, other in sets:
+            if i != hub:
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                found.append((hub, i, both, len(own) + len(other) - both))
     columns = list(zip(*found, strict=True)) if found else [[]] * 4
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "both", "either"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _fit(n: str, m: str, ratio: Ratio) -> Column:
+    """Sets of these sizes can reach the threshold."""
+    return F.least(n, m) * ratio[1] >= F.greatest(n, m) * ratio[0]
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, written, and marked for broadcast if there are few enough."""
+    rows = cut_lineage(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _sifted(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """a, b, n of b: those of ``pairs`` that share as many prefix shingles as they must.
+
+    Both prefixes are cut to the number of matches that the shorter-reaching one asks for.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    involved = vertices.join(_small(ids), "id", "left_semi")
+    left = involved.select(F.col("id").alias("a"), F.col("prefix").alias("p"), F.col("matches").alias("k"))
+    right = involved.select(F.col("id").alias("b"), F.col("prefix").alias("q"), F.col("matches").alias("l"), "n")
+    both = pairs.join(left, "a").join(right, "b")
+    needed = F.least("k", "l")
+    shared = F.array_intersect(
+        F.slice("p", F.lit(1), F.size("p") - F.col("k") + needed), F.slice("q", F.lit(1), F.size("q") - F.col("l") + needed)
+    )
+    return both.where(F.size(shared) >= needed).select("a", "b", "n").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """a, b, both, either: sizes of intersection and union for ``pairs`` (a, b, n of b).
 
     Pairs meet in groups of one ``a`` and a bounded share of its partners.
@@ -163,19 +202,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     parts = pairs.groupBy("a").agg((1 + F.floor(F.sum("n") / GROUP_SHINGLES)).cast("bigint").alias("parts"))
     parts = cut_lineage(parts)
     keyed = pairs.withColumn("_k", F.col("a").bitwiseXOR(F.lit(MIX)))
-    dealt = keyed.join(parts.select(F.col("a").bitwiseXOR(F.lit(MIX)).alias("_k"), "parts"), "_k").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")
+    others = keyed.join(parts.select(F.col("a").bitwiseXOR(F.lit(MIX)).alias("_k"), "parts"), "_k").select(
+        F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")
     )
-    others = dealt.withColumn("_k", F.col("b").bitwiseXOR(F.lit(MIX))).join(
-        sets.select(F.col("id").bitwiseXOR(F.lit(MIX)).alias("_k"), "shingles"), "_k"
-    ).select("a", "part", "b", "shingles")
-    own = sets.select(F.col("id").alias("a"), F.col("shingles").alias("own"))
-    hubs = parts.join(own, "a").select(
-        F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("hub_part"), "own"
+    hubs = parts.select(
+        F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
     )
-    return others.groupBy("a", "part").cogroup(hubs.groupBy("hub", "hub_part")).applyInArrow(
-        _overlaps, "a bigint, b bigint, both bigint, either bigint"
+    # A document has at most one hub per prefix shingle; a hub's groups, which may be many, are rows.
+    role = F.struct("a", "part")
+    roles = others.groupBy("id").agg(F.collect_list(role).alias("roles")).unionByName(hubs.select("id", F.array(role).alias("roles")))
+    sets = rows.withColumnRenamed("doc_id", "id").join(_small(roles), "id").mapInArrow(
+        lambda b: _sets(b, words), "a bigint, part bigint, id bigint, shingles binary"
     )
+    return sets.groupBy("a", "part").applyInArrow(_overlaps, "a bigint, b bigint, both bigint, either bigint")
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) -> DataFrame:
@@ -196,41 +235,33 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     usable = described.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # Equal sets: one vertex, named by the smallest document.
     classes = cut_lineage(usable.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    named = usable.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    vertices = named.dropDuplicates(["digest", "doc_id"]).where(F.size("prefix") > 0)
-    first = F.col("n") - F.ceil(F.col("n") * ratio[0] / ratio[1]) + 1
-    tokens = vertices.select(
-        F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.col("matches").cast("tinyint").alias("matches"),
-        first.alias("first"), F.posexplode("prefix").alias("at", "token"),
-    ).select("token", "id", "n", "matches", F.greatest(F.lit(1), F.col("at") + 2 - F.col("first")).cast("tinyint").alias("level"))
-    hubs = tokens.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
+    other = usable.select("digest", "doc_id").join(classes, "digest").where("doc_id <> id").select("doc_id").distinct()
+    vertices = usable.where(F.size("prefix") > 0).join(_small(other), "doc_id", "left_anti").select(
+        F.col("doc_id").alias("id"), "n", "prefix", "matches"
+    )
+    shortest = F.slice("prefix", F.lit(1), F.size("prefix") - F.col("matches") + 1)
+    tokens = vertices.select("id", F.col("n").cast("int").alias("n"), F.explode(shortest).alias("token"))
+    hubs = tokens.groupBy("token").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     mixed = F.col("token").bitwiseXOR(F.lit(MIX)).alias("_k")
     shared = cut_lineage(
-        tokens.withColumn("_k", mixed).join(hubs.select(mixed, "hub"), "_k").select("token", "hub", "id", "n", "matches", "level")
-    )
-    sizes = shared.where("hub = id").select("token", F.col("n").alias("hub_n"))
-    near = shared.where("hub <> id").withColumn("_k", mixed).join(sizes.select(mixed, "hub_n"), "_k")
-    fits = (F.least("n", "hub_n") * ratio[1] >= F.greatest("n", "hub_n") * ratio[0])
-    pairs = cut_lineage(near.where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").distinct())
-    involved = shared.select("id").distinct()
-    sets = cut_lineage(
-        rows.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").mapInArrow(
-            lambda b: _sets(b, words), "id bigint, shingles binary"
-        ).dropDuplicates(["id", "shingles"])
+        tokens.withColumn("_k", mixed).join(hubs.select(mixed, "hub", "members"), "_k").select("token", "hub", "members", "id", "n")
     )
+    sizes = shared.where("hub = id").select(mixed, F.col("n").alias("hub_n"))
+    near = shared.where("hub <> id").withColumn("_k", mixed).join(sizes, "_k")
+    pairs = near.where(_fit("n", "hub_n", ratio)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = cut_lineage(_sifted(cut_lineage(pairs), vertices))
     reached = F.col("both") * ratio[1] >= F.col("either") * ratio[0]
-    judged = cut_lineage(_verified(pairs, sets))
+    judged = cut_lineage(_verified(pairs, rows, words))
     links = judged.where(reached).select("a", "b")
     groups = cut_lineage(components(links))
 
     # Pairs of different groups that share a shingle, other than with its hub.
     distance = (F.col("either") - F.col("both")) / F.col("either")
-    placed = shared.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
+    placed = shared.where("members > 2").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "group", F.coalesce("component", "id")
     ).drop("component")
-    mixed_tokens = placed.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high"))
-    open_ = mixed_tokens.where("_low < _high").select(mixed)
-    placed = placed.where("hub <> id").withColumn("_k", mixed).join(open_, "_k", "left_semi").drop("_k").join(
+    several = placed.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high")
+    placed = placed.where("hub <> id").withColumn("_k", mixed).join(several.select(mixed), "_k", "left_semi").drop("_k").join(
         judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), distance.alias("distance")), ["hub", "id"], "left"
     )
     placed = cut_lineage(placed)
@@ -238,16 +269,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     slack = 1e-9 + (ratio[1] - ratio[0]) / ratio[1]
     apart = F.abs(F.col("x.distance") - F.col("y.distance")) > slack
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))).where(
-        (F.col("x.group") != F.col("y.group")) & ~F.coalesce(apart, F.lit(False))
-        & (F.least("x.n", "y.n") * ratio[1] >= F.greatest("x.n", "y.n") * ratio[0])
+        (F.col("x.group") != F.col("y.group")) & ~F.coalesce(apart, F.lit(False)) & _fit("x.n", "y.n", ratio)
     )
-    needed = F.least("x.matches", "y.matches")
-    counted = met.where(F.greatest("x.level", "y.level") <= needed).groupBy(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b")
-    ).agg(F.count(F.lit(1)).alias("found"), F.max(needed).alias("needed"), F.max("y.n").alias("n"))
-    rest = cut_lineage(counted.where("found >= needed").select("a", "b", "n"))
-    more = cut_lineage(_verified(rest, sets).where(reached).select("a", "b"))
-    if not more.isEmpty():
+    rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = cut_lineage(_sifted(cut_lineage(rest), vertices))
+    if not rest.isEmpty():
+        more = _verified(rest, rows, words).where(reached).select("a", "b")
         groups = cut_lineage(components(links.unionByName(more)))
 
     found = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
@@ -14,16 +16,15 @@ class Hashes(dict):
     """A number for each distinct word, and the word's 128-bit hash in two lanes."""
 
     def __init__(self) -> None:
-        self.digests: list[int] = []
+        self.digests: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = place = len(self.digests)
-        self.digests.append(xxhash.xxh3_128_intdigest(word))
+        self.digests.append(xxhash.xxh3_128_digest(word))
         return place
 
     def lanes(self) -> tuple[np.ndarray, np.ndarray]:
-        packed = b"".join([d.to_bytes(16, "little") for d in self.digests])
-        both = np.frombuffer(packed, "<u8").reshape(-1, 2)
+        both = np.frombuffer(b"".join(self.digests), "<u8").reshape(-1, 2)
         return both[:, 0], both[:, 1]
 
 
@@ -37,7 +38,7 @@ def lanes_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     numbers = Hashes()
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=starts[1:])
-    places = np.fromiter((p for w in words for p in map(numbers.__getitem__, w)), np.int64, starts[-1])
+    places = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, starts[-1])
     first, second = numbers.lanes()
     return first[places], second[places], starts
 
