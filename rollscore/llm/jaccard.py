@@ -9,8 +9,9 @@ any whole set is looked at. Candidates come from the shortest prefixes; the long
 A result names groups, so copies are not paired with each other:
 
 * Documents with equal sets are one vertex from the start.
-* Each prefix shingle first pairs its documents with the smallest of them, its hub: rows in proportion to
-  documents. Verified links make the first components.
+* Each prefix shingle first pairs its documents with one of them, its hub: the one whose prefix is shared
+  most, so that edited copies meet their original. Rows grow with documents. Verified links make the first
+  components.
 * Then only pairs from different components that share a shingle are formed, and of these only those
   whose distances from the hub allow a link (the Jaccard distance obeys the triangle inequality).
 
@@ -241,13 +242,20 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     )
     shortest = F.slice("prefix", F.lit(1), F.size("prefix") - F.col("matches") + 1)
     tokens = vertices.select("id", F.col("n").cast("int").alias("n"), F.explode(shortest).alias("token"))
-    hubs = tokens.groupBy("token").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     mixed = F.col("token").bitwiseXOR(F.lit(MIX)).alias("_k")
     shared = cut_lineage(
-        tokens.withColumn("_k", mixed).join(hubs.select(mixed, "hub", "members"), "_k").select("token", "hub", "members", "id", "n")
+        tokens.withColumn("_k", mixed).join(often.select(mixed, "members"), "_k").select("token", "members", "id", "n")
     )
-    sizes = shared.where("hub = id").select(mixed, F.col("n").alias("hub_n"))
-    near = shared.where("hub <> id").withColumn("_k", mixed).join(sizes, "_k")
+    # The hub of a shingle is the document that shares most: of a text and its edited copies, the text.
+    weights = shared.groupBy("id").agg(F.sum("members").alias("weight"))
+    weighted = shared.join(weights, "id")
+    best = F.max(F.struct("weight", (-F.col("id")).alias("order"), "n")).alias("best")
+    hubs = weighted.groupBy("token").agg(best).select(
+        mixed, (-F.col("best.order")).alias("hub"), F.col("best.n").alias("hub_n")
+    )
+    shared = cut_lineage(shared.withColumn("_k", mixed).join(hubs, "_k").drop("_k"))
+    near = shared.where("hub <> id")
     pairs = near.where(_fit("n", "hub_n", ratio)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = cut_lineage(_sifted(cut_lineage(pairs), vertices))
     reached = F.col("both") * ratio[1] >= F.col("either") * ratio[0]
