@@ -3,7 +3,8 @@
 A page becomes a tree of its block elements. A node's density is its characters per tag, adjusted by how
 many of them stand in links. The node with the largest sum of its children's densities is the article; the
 lowest density on its path from the body is the threshold for further parts elsewhere. Elements that name
-themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments count for nothing.
+themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments count for nothing,
+unless the main text is in them: a name alone never takes an article or most of the page's text away.
 """
 
 from __future__ import annotations
@@ -40,29 +41,38 @@ CLOSES = {
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_WHOLE = frozenset(("article", "main"))
 DROPPED = frozenset(
-    "nav header footer aside form script style textarea title iframe noembed noframes xmp noscript template head button select menu "
+    "nav header footer aside script style textarea title iframe noembed noframes xmp noscript template head button select menu "
     "dialog svg math object canvas audio video".split()
 )
-#: Words in a class, id or role that tell what an element is.
+#: May be boilerplate by their tag alone, or stand around a whole page.
+CANDIDATES = frozenset(("form",))
+#: Words that tell what an element is, where a whole class, id or role is made of them and of ``QUALIFIERS``.
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal "
     "overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar complementary contentinfo footer header masthead toolbar comment "
     "comments disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login search "
     "pagination pager skip".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus respond replies".split())
+QUALIFIERS = frozenset(
+    "site page global primary secondary main top bottom left right upper lower inner outer list item items items area box container wrapper "
+    "wrap widget block section slot unit bar links link text body content form buttons button icons icon media posts thread the "
+    "message div module region mobile desktop sticky".split()
+)
 NEVER_DROPPED = frozenset(("html", "body", "article", "main"))
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s"'=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "dropped", "link", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "parts", "mark", "link", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, mark: str = "", link: bool = False) -> None:
+        #: What its tag or names say it may be: "" for nothing, "comment" or "other". ``link``: it is one.
+        self.tag, self.parent, self.mark, self.link = tag, parent, mark, link
         self.children: list[Node] = []
         #: Text and child blocks in page order.
         self.parts: list[str | Node] = []
@@ -70,17 +80,33 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def _is_dropped(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in NEVER_DROPPED or "=" not in attributes:
-        return False
-    return any(not DROPPED_NAMES.isdisjoint(_WORD.findall(m[1].lower())) for m in _NAMES.finditer(attributes))
+def named(attributes: str) -> str:
+    """What a class, id or role says an element may be: "" for nothing, "comment" or "other"."""
+    found = ""
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in ("class", "id", "role"):
+            continue
+        for token in (m[2] or m[3] or m[4] or "").split():
+            words = {w.lower() for w in _WORD.findall(token)}
+            names = words & DROPPED_NAMES
+            if names and words <= names | QUALIFIERS:
+                if names & COMMENT_NAMES:
+                    return "comment"
+                found = "other"
+    return found
+
+
+def _mark(tag: str, attributes: str, nested: bool) -> str:
+    """Whether an element may be boilerplate. An article inside an article or main part is only if named as a comment."""
+    name = named(attributes) if "=" in attributes and tag not in ("html", "body", "main") else ""
+    if tag == "article":
+        return name if nested and name == "comment" else ""
+    return name or ("other" if tag in CANDIDATES else "")
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; inline elements belong to the block around them."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     # Open elements: (tag, block around or of it, whether it is a link, whether text in it is dropped).
     stack: list[tuple[str, Node, bool, bool]] = [("html", root, False, False)]
     at, size = 0, len(page)
@@ -153,8 +179,9 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         _, block, link, dropped = stack[-1]
-        dropped = dropped or _is_dropped(tag, attributes)
-        if not dropped:
+        dropped = dropped or tag in DROPPED
+        mark = "" if dropped else _mark(tag, attributes, tag == "article" and _in_article(block))
+        if not dropped and not (mark and tag in VOID):
             block.tags += 1
             block.link_tags += tag == "a"
         if tag in VOID:
@@ -168,16 +195,61 @@ def parse(page: str) -> Node:
             end = page.find(">", close.end())
             at = size if end < 0 else end + 1
             continue
-        if tag not in INLINE:
-            child = Node(tag, block, dropped)
+        if tag not in INLINE or mark:
+            child = Node(tag, block, mark, tag == "a")
             if not dropped:
                 block.children.append(child)
                 block.parts.append(child)
             block = child
         stack.append((tag, block, link or tag == "a", dropped))
+    _drop(root)
     return root
 
 
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in KEPT_WHOLE and node.mark != "comment":
+        node = node.parent
+    return node is not None
+
+
+def _drop(root: Node) -> None:
+    """Take the marked nodes out that do not hold the main text.
+
+    One stays if the articles in it have more text than all articles outside marked nodes, or if it has more than
+    half of the page's text and no unmarked article stands beside it. Comments go however long they are, if there
+    is an unmarked article at all.
+    """
+    # Each node with how near it is to an article: 2 in one, 1 in a main part, else 0; and whether it is in a marked one.
+    order, todo = [], [(root, 0, False)]
+    while todo:
+        node, level, marked = todo.pop()
+        marked = marked or bool(node.mark)
+        if node.mark != "comment" and node.tag in KEPT_WHOLE:
+            level = max(level, 1 + (node.tag == "article"))
+        order.append((node, level, marked))
+        todo.extend((c, level, marked) for c in node.children)
+    if not any(n.mark for n, *_ in order):
+        return
+    total = sum(n.chars for n, *_ in order)
+    outside = [sum(n.chars for n, level, marked in order if not marked and level > least) for least in range(3)]
+    held: dict[int, tuple[int, int]] = {}
+    gone: set[int] = set()
+    for node, level, _ in reversed(order):
+        out = [c for c in node.children if id(c) in gone]
+        if out:
+            node.tags -= len(out)
+            node.link_tags -= sum(c.link for c in out)
+            node.children = [c for c in node.children if id(c) not in gone]
+            node.parts = [p for p in node.parts if id(p) not in gone]
+        chars = node.chars + sum(held[id(c)][0] for c in node.children)
+        own = chars if node.tag in KEPT_WHOLE and node.mark != "comment" else sum(held[id(c)][1] for c in node.children)
+        if node.mark and own <= outside[0]:
+            beside = outside[0 if node.mark == "comment" else level]
+            if beside or chars * 2 <= total:
+                gone.add(id(node))
+        held[id(node)] = chars, own
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in counts, densities and sums; the nodes in page order."""
     order, todo = [], [root]
@@ -257,9 +329,10 @@ def text_of(node: Node) -> str:
         if isinstance(item, str):
             pieces.append(item)
         else:
-            todo.append(" ")
+            space = "" if item.tag in INLINE else " "
+            todo.append(space)
             todo.extend(reversed(item.parts))
-            todo.append(" ")
+            todo.append(space)
     return " ".join("".join(pieces).split())
 
 

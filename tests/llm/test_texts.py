@@ -235,6 +235,24 @@ def test_article_is_found(page):
     assert html.extract(page) == MAIN
 
 
+@pytest.mark.parametrize("page", [
+    f"<body><div class='layout has-sidebar'><main><article>{ARTICLE}</article></main><div class=sidebar>Side text</div></div>",
+    f"<body><div class='no-menu'><div class='fixed-header'><article>{ARTICLE}</article></div></div>",
+    f"<body><div class='menu overlay'><div id=search><article>{ARTICLE}</article></div></div><div class=menu>Home</div>",
+    f"<body><div data-id='share' title='class=menu'>{ARTICLE}</div>",
+    f"<body><div class='skip'>{ARTICLE}</div><div class='cookie-notice'><p>Cookies here.</p></div>",
+    f"<body><form id=aspnetForm><div role=search>Find</div><article>{ARTICLE}</article></form>",
+    f"<body><main><article>{ARTICLE}</article><article class='comment'><p>{'I do not agree. ' * 40}</p></article></main>",
+    f"<body><article>{ARTICLE}<section id=comments><article class='comment-body'><p>No.</p></article></section></article>",
+    f"<body><main><article>{ARTICLE}</article></main><div class='related-posts'><article><p>Another one.</p></article></div>",
+    f"<body><div class=ad>{'Buy this now. ' * 40}</div><main><div class=promo>{'And that. ' * 40}</div><article>{ARTICLE}</article></main>",
+    f"<body><main><div class=banner><p>Short.</p></div><div class=overlay>{ARTICLE}</div></main>",
+    f"<body><article>{ARTICLE}<span class=share>Share</span> <a class='skipLink skip' href=x>Skip</a></article>",
+])
+def test_a_name_alone_takes_no_article(page):
+    assert html.extract(page) == MAIN
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</", "<!--", "<a href='x", "<script>never closed", "<div class=\"" * 50])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html.extract(page), str)
