@@ -323,6 +323,11 @@ def _sequence_stats_parts(sampled: bool) -> Parts:
     return parts
 
 
+def _needed(loss: Loss, new: str, old: str) -> list[str]:
+    """The log-probabilities a loss reads."""
+    return [new] if loss.loss_type == "reinforce" else [new, old]
+
+
 def update_values(
     aligned: DataFrame, loss: Loss, position: Loss | None = None, skip_clipped: bool = False, with_kl: bool = False,
     position_weight: float = 1.0, kl_weight: float = 0.0, by: Sequence[str] = UPDATE,
@@ -330,9 +335,16 @@ def update_values(
     """A11-A21, A7, A8 in one pass over the tokens: one wide row per update.
 
     Columns of the token loss start with ``policy/``, those of the position loss (of
-    ``new_pos_logp`` and ``old_pos_logp``) with ``position/``.
+    ``new_pos_logp`` and ``old_pos_logp``) with ``position/``. A token without a value that one of them
+    reads would stay in the counts and miss in the sums, so it fails the job; ``unmatched`` counts such tokens.
     """
     sampled = "is_sampled" in aligned.columns
+    needed = ["advantage", *_needed(loss, "new_logp", "old_logp")]
+    if position is not None:
+        needed += _needed(position, "new_pos_logp", "old_pos_logp")
+    if with_kl:
+        needed.append("ref_logp")
+    aligned = require(aligned, needed)
     table = aligned.withColumn("is_counted", _counted(aligned))
     parts = [_common_parts(table), _loss_parts(loss, sampled, "policy/"), _sequence_stats_parts(sampled)]
     total = {"policy_loss": F.col("`policy/loss`")}

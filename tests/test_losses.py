@@ -182,6 +182,20 @@ def test_update_metrics(spark):
     assert plain["advantage_mean"] == pytest.approx(2.5 / 3) and plain["token_coverage"] == pytest.approx(4 / 7)
 
 
+@pytest.mark.parametrize("missing", ["new_logp", "old_logp", "ref_logp", "advantage", "new_pos_logp", "old_pos_logp"])
+def test_update_metrics_refuse_tokens_without_a_partner(spark, missing):
+    """A lost partner row is an error, not a smaller loss; a column that no metric reads may lack values."""
+    rows = frame(spark).withColumns({"new_pos_logp": F.col("new_logp") * 0.5, "old_pos_logp": F.col("old_logp") * 0.5})
+    rows = rows.withColumn(missing, F.when(F.col("seq_id") * 4 + F.col("pos") != 1, F.col(missing)))
+    settings = dict(loss_type="dapo", position_loss_type="grpo", use_stepmerge=True, use_position_likelihood=True, num_iterations=2)
+    with pytest.raises(Exception, match=f"A token has no {missing}"):
+        jobs.update_metrics(rows, Recipe(beta=0.04, **settings)).collect()
+    if missing == "ref_logp":
+        assert jobs.update_metrics(rows, Recipe(beta=0.0, **settings)).count() > 0
+    if missing == "old_logp":
+        assert losses.update_values(rows, Loss("reinforce")).count() == 1
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     """Token tables stored by token are aligned in place."""
     keys = ["batch_id", "seq_id", "pos"]
