@@ -5,6 +5,8 @@ many of them stand in links. The node with the largest sum of its children's den
 lowest density on its path from the body is the threshold for further parts elsewhere. Elements that name
 themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments count for nothing,
 unless the main text is in them: a name alone never takes an article or most of the page's text away.
+If the article lies in an article or main element, that whole element is taken: the threshold alone would
+lose its short headings and paragraphs.
 """
 
 from __future__ import annotations

@@ -253,6 +253,28 @@ def test_a_name_alone_takes_no_article(page):
     assert html.extract(page) == MAIN
 
 
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(12)) + "</ul>"
+LONG = "<p>" + "A sentence that goes on for a while. " * 12 + "</p>"
+LONG_TEXT = ("A sentence that goes on for a while. " * 12).strip()
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><div>{LINKS}</div><div>{LONG * 3}</div><div>{LINKS}</div>", " ".join([LONG_TEXT] * 3)),
+    (f"<body><div class=c1><div class=c2>{LINKS}</div><div class=c3><h1>Title</h1><div class=c4>{LONG * 2}</div></div></div>"
+     "<div class=c5><div><span>(c) 2026</span></div></div>", " ".join(["Title", LONG_TEXT, LONG_TEXT])),
+    (f"<body><table><tr><td>{LINKS}<td>{LONG * 2}<td>{LINKS}</table>", " ".join([LONG_TEXT] * 2)),
+    # The threshold finds a second part; short lines and link lists between stay out.
+    (f"<body><div>{LONG * 3}</div><div>{LINKS}</div><div><i>x</i></div><div>{LONG}</div>", " ".join([LONG_TEXT] * 4)),
+])
+def test_density_alone_finds_the_text(page, text):
+    assert html.extract(page) == text
+
+
+def test_an_article_is_one_piece_whatever_its_densities():
+    inside = f"<h2>One</h2><section>{LONG * 3}</section><h2>Two</h2><section><p>Short.</p></section>"
+    assert html.extract(f"<body><div>{LINKS}</div><article>{inside}</article>") == f"One {' '.join([LONG_TEXT] * 3)} Two Short."
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</", "<!--", "<a href='x", "<script>never closed", "<div class=\"" * 50])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html.extract(page), str)
