@@ -225,7 +225,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     ``ratio``; ``component_id`` is the smallest doc_id reachable by links. A-Z count as a-z, words are runs of
     anything but ASCII white space; with fewer words than a shingle the whole sequence is one. A null text,
     or one without words, has an empty set and links with nothing, and so does a row without a doc_id, whose
-    component is null. Rows that share a doc_id are one vertex. Other columns are left out. An empty table
+    component is null. Rows that share a doc_id are one vertex, whatever their texts. Other columns are left out. An empty table
     gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
@@ -236,8 +236,15 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     usable = described.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # Equal sets: one vertex, named by the smallest document.
     classes = cut_lineage(usable.groupBy("digest").agg(F.min("doc_id").alias("id")))
-    other = usable.select("digest", "doc_id").join(classes, "digest").where("doc_id <> id").select("doc_id").distinct()
-    vertices = usable.where(F.size("prefix") > 0).join(_small(other), "doc_id", "left_anti").select(
+    other = usable.select("digest", "doc_id").join(classes, "digest").where("doc_id <> id").select("doc_id", "digest").distinct()
+    # A document with several texts: its sets are linked by it, the empty one too.
+    repeated = described.where("doc_id is not null").groupBy("doc_id").agg(
+        (F.min("digest") < F.max("digest")).alias("_several")
+    ).where("_several").select("doc_id")
+    repeated = _small(repeated)
+    same = usable.select("digest", "doc_id").join(repeated, "doc_id").join(classes, "digest").where("doc_id <> id")
+    same = cut_lineage(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct())
+    vertices = usable.where(F.size("prefix") > 0).join(_small(other), ["doc_id", "digest"], "left_anti").select(
         F.col("doc_id").alias("id"), "n", "prefix", "matches"
     )
     shortest = F.slice("prefix", F.lit(1), F.size("prefix") - F.col("matches") + 1)
@@ -260,7 +267,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     pairs = cut_lineage(_sifted(cut_lineage(pairs), vertices))
     reached = F.col("both") * ratio[1] >= F.col("either") * ratio[0]
     judged = cut_lineage(_verified(pairs, rows, words))
-    links = judged.where(reached).select("a", "b")
+    links = judged.where(reached).select("a", "b").unionByName(same)
     groups = cut_lineage(components(links))
 
     # Pairs of different groups that share a shingle, other than with its hub.
@@ -289,6 +296,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
         "digest", F.coalesce("component", "id").alias("component")
     )
     keyed = described.withColumn("digest", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("digest")))
-    return keyed.select("doc_id", "n", "digest").join(found, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    own = _small(repeated.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("_own")))
+    return keyed.select("doc_id", "n", "digest").join(found, "digest", "left").join(own, "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "_own", "doc_id").alias("component_id")
     )

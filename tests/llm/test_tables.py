@@ -259,6 +259,20 @@ def test_groups_equal_all_pairs(spark, n, ratio, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == by_all_pairs(rows, n, ratio)
 
 
+def test_rows_of_one_document_are_one_vertex(spark):
+    def text(seed, changed=None):
+        w = random.Random(seed).choices([f"w{i}" for i in range(500)], k=120)
+        return " ".join(w if changed is None else [*w[:changed], "new", *w[changed + 1:]])
+
+    rows = [(3, text(1)), (5, text(1)), (5, text(2)), (7, text(2, 60)), (8, text(2)), (9, text(3)), (10, text(3, 1)), (10, None)]
+    rows += [(20, text(4)), (21, text(5)), (22, text(4)), (22, text(5)), (23, text(5, 40)), (24, text(6)), (24, text(7)), (25, text(7, 3))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = jaccard.jaccard_groups(frame, 3, (90, 100)).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str)
+    assert got == by_all_pairs(rows, 3, (90, 100))
+    assert {r.component_id for r in found if r.doc_id in (3, 5, 7, 8)} == {3}
+
+
 def test_no_documents(spark):
     frame = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard.jaccard_groups(frame).count() == 0
