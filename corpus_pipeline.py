@@ -53,7 +53,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Training and tokenizing are beyond SQL; tests hold each stage against a brute-force version.
+#: Training and tokenizing are beyond SQL; tests hold the stages against planted cases.
 ORACLE_SQL = None
 
 
