@@ -141,15 +141,14 @@ def _describe(batches: Iterable[pa.RecordBatch], words: int, ratio: Ratio, count
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Each document's set, once for every group (a, part) that it takes part in."""
+    """The set of each row (id, a, part, text); rows of one text come one after another and share the work."""
     for batch in slices(batches):
-        sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)]
-        roles = batch.column("roles").to_pylist()
-        rows = [(r["a"], r["part"], i, s) for i, s, rs in zip(batch.column("id").to_pylist(), sets, roles, strict=True) for r in rs]
-        a, part, ids, packed = zip(*rows, strict=True) if rows else ([], [], [], [])
+        texts = batch.column("text").to_pylist()
+        new = [not i or texts[i] != texts[i - 1] for i in range(len(texts))]
+        sets = [s.tobytes() for s in shingle_sets([t for t, n in zip(texts, new, strict=True) if n], words)]
+        packed = [sets[i] for i in np.cumsum(new, dtype=np.int64) - 1]
         yield pa.record_batch(
-            [pa.array(a, pa.int64()), pa.array(part, pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())],
-            ["a", "part", "id", "shingles"],
+            [batch.column("a"), batch.column("part"), batch.column("id"), pa.array(packed, pa.binary())], ["a", "part", "id", "shingles"]
         )
 
 
@@ -209,9 +208,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     hubs = parts.select(
         F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
     )
-    # A document has at most one hub per prefix shingle; a hub's groups, which may be many, are rows.
-    role = F.struct("a", "part")
-    roles = others.groupBy("id").agg(F.collect_list(role).alias("roles")).unionByName(hubs.select("id", F.array(role).alias("roles")))
+    # One row per role: a document may have any number of them.
+    roles = others.unionByName(hubs)
     sets = rows.withColumnRenamed("doc_id", "id").join(_small(roles), "id").mapInArrow(
         lambda b: _sets(b, words), "a bigint, part bigint, id bigint, shingles binary"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,15 @@ def test_groups_equal_all_pairs(spark, n, ratio, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == by_all_pairs(rows, n, ratio)
 
 
+def test_a_document_with_many_partners_is_many_small_batches():
+    n = 2000
+    columns = {"id": [7] * n + [8], "text": ["a b c d e"] * n + ["b c d"], "a": [*range(n), 0], "part": [0] * (n + 1)}
+    made = list(jaccard._sets(pa.table(columns).to_batches(), 3))
+    assert max(b.num_rows for b in made) <= 500 and [x for b in made for x in b.column("a").to_pylist()] == columns["a"]
+    one, other = (s.tobytes() for s in jaccard.shingle_sets(["a b c d e", "b c d"], 3))
+    assert [x for b in made for x in b.column("shingles").to_pylist()] == [one] * n + [other]
+
+
 def test_rows_of_one_document_are_one_vertex(spark):
     def text(seed, changed=None):
         w = random.Random(seed).choices([f"w{i}" for i in range(500)], k=120)
