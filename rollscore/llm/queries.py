@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscore.llm import bpe, counts, html, jaccard, packing, substring, topk, toxicity, urls, vectors
+from rollscore.llm import bpe, counts, html, jaccard, lines, negatives, packing, substring, topk, toxicity, urls, vectors
 from rollscore.llm.batches import list_arrays
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,9 +94,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.drop_common_lines(table(spark, sf_dir, "documents"), least=10, min_chars=1)
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return left.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector counts under the label after its own."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_substring_dedup, op2_packing, op3_embedding_dedup, op4_topk_search, op5_jaccard_join, op6_toxicity, op7_token_counts,
-        op8_html_extraction, op9_url_reputation, op10_byte_bpe,
+        op8_html_extraction, op9_url_reputation, op10_byte_bpe, op11_line_dedup,
+        op12_hard_negatives,
     )
     return {q.__name__: q for q in found}
