@@ -138,7 +138,7 @@ def _ask(key: tuple, table: pa.Table, shards: int, min_chars: int) -> pa.Table:
     order = np.argsort(shard, kind="stable")
     shard, keys, documents = shard[order], keys[order], documents[order].astype("<u4")
     starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
-    cuts = list(zip(starts, [*starts[1:], len(shard)], strict=True))
+    cuts = list(zip(starts, np.append(starts, len(shard))[1:], strict=True))
     return pa.table({
         "shard": pa.array(shard[starts].astype(np.int64)), "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()),
         "keys": pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
@@ -174,7 +174,7 @@ def _drop(table: pa.Table, answers: pa.Table, min_chars: int, carried: int) -> p
     for text, lines, at in zip(raw, block.lines, block.starts[:-1], strict=True):
         mine = gone[at:at + len(lines)]
         dropped.append(int(mine.sum()))
-        if dropped[-1]:
+        if dropped[-1] and text is not None:
             text = b"\n".join([line for line, g in zip(lines, mine.tolist(), strict=True) if not g]).decode()
         texts.append(text)
     return pa.table({

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollscore.llm import bpe, counts, html, jaccard, lines, negatives, packing, substring, topk, toxicity, urls, vectors
+from rollscore.llm import bpe, counts, html, jaccard, lines, negatives, packing, substring, topk, toxicity, trie, urls, vectors
 from rollscore.llm.batches import list_arrays
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,10 +107,18 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation begins with up to three turns of the one that its number, rounded to twenties, names."""
+    conv = F.col("conv_id")
+    count = F.crc32(conv.cast("string").cast("binary")) % 4
+    rebuilt = trie.with_first_turns(trie.sequences(table(spark, sf_dir, "conversations")), conv - conv % 20, count, 3)
+    return trie.prefix_trie(rebuilt).withColumnRenamed("saved_words", "saved_tokens")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_substring_dedup, op2_packing, op3_embedding_dedup, op4_topk_search, op5_jaccard_join, op6_toxicity, op7_token_counts,
         op8_html_extraction, op9_url_reputation, op10_byte_bpe, op11_line_dedup,
-        op12_hard_negatives,
+        op12_hard_negatives, op13_prefix_trie,
     )
     return {q.__name__: q for q in found}

@@ -189,8 +189,40 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.scor
 """
 
 
+OP13 = r"""
+WITH turns AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), counted AS (
+  SELECT *, xor(list_reduce(flatten([[4294967295], flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(conv_id::VARCHAR, '')])])::BIGINT[],
+    lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295) % 4 AS h
+  FROM turns
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(o.t[1:c.h], []), c.t[c.h + 1:]) AS t
+  FROM counted c LEFT JOIN turns o ON o.conv_id = c.conv_id - c.conv_id % 20
+), members AS (
+  SELECT conv_id, d, t[1:d] AS node, len(t) = d AS ends FROM rebuilt, unnest(range(0, len(t) + 1)) AS r(d)
+), nodes AS (
+  SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len([x FOR x IN string_split_regex(node[d].text, '[\x20\x09-\x0D]+') IF x <> '']) END AS saved
+  FROM members GROUP BY d, node
+), children AS (
+  SELECT d - 1 AS d, node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT up.d AS d, n.node[1:up.d] AS node, sum(saved) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes n LEFT JOIN children c USING (d, node), unnest(range(0, n.d + 1)) AS up(d) GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+  b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (d, node) LEFT JOIN children c USING (d, node)
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.node[1:n.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1, "op3_embedding_dedup": OP3, "op4_topk_search": OP4, "op5_jaccard_join": OP5,
         "op9_url_reputation": OP9, "op11_line_dedup": OP11, "op12_hard_negatives": OP12,
+        "op13_prefix_trie": OP13,
     }

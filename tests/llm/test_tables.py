@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert [name.split("_")[0] for name in queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 # --- components ---------------------------------------------------------------------------------
