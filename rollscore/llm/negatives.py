@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from rollscore.llm.topk import best, weights
 from rollscore.llm.vectors import finite, matrix
 from rollscore.plans.skew import attach
+from rollscore.session import cut_lineage
 
 ANCHOR_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
@@ -184,7 +185,8 @@ def hard_negatives(
     )
     order = Window.partitionBy("anchor_id", "anchor_key").orderBy(F.desc("score"), "positive_id")
     first = heaps.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives)
-    first = first.select("anchor_id", "anchor_key", "place", "positive_id", F.col("score").alias("positive_score"))
+    # Read twice: for the windows, and for the answer.
+    first = cut_lineage(first.select("anchor_id", "anchor_key", "place", "positive_id", F.col("score").alias("positive_score")))
 
     # Windows: equal scores of positives ask the same, so each anchor has one window per distinct score.
     windows = first.groupBy("anchor_id", "anchor_key").agg(F.collect_set("positive_score").alias("windows"))

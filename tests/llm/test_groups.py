@@ -176,11 +176,17 @@ def conversations(shape, rng):
 
 @pytest.mark.parametrize("shape", ["random", "equal", "long", "odd"])
 @pytest.mark.parametrize("size", [1, 7, 1 << 16])
-def test_trie(spark, monkeypatch, shape, size):
+@pytest.mark.parametrize("parts", ["true", "false"])
+def test_trie(spark, monkeypatch, shape, size, parts):
+    """In one partition, as small tables are, or in as many as there can be."""
     monkeypatch.setattr(trie, "PANEL", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts)
     turns = conversations(shape, random.Random(shape))
     rows = trie.sequences(spark.createDataFrame(turns, TURNS))
-    assert nodes_of(trie.prefix_trie(rows, size)) == by_walking(turns)
+    try:
+        assert nodes_of(trie.prefix_trie(rows, size)) == by_walking(turns)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_first_turns_of_another(spark):
