@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscore.functions.text import let
+from rollscore.operators.scan import later_log_sums, log_sums
 from rollscore.operators.segments import segment_of, segment_width
 from rollscore.plans.skew import ROW_COUNT, SPLIT_ROWS, attach
 
@@ -42,10 +43,12 @@ def later_parts(scores: DataFrame, steps: int, segments: int, tau: float) -> Dat
     ``total`` sums ``exp(c/tau - base)``. The sums are combined map-side and stay in range
     without a first pass for the maximum. Steps after the last segment are later than every
     threshold, so they share one entry. What is left per key is one entry per step and distinct
-    exponent range, however many tokens the key holds.
+    exponent range, however many tokens the key holds. A competitor of minus infinity adds 0.
     """
     scaled = F.col("confidence") / F.lit(float(tau))
-    base = (F.floor(scaled / F.lit(EXP_RANGE)) * F.lit(EXP_RANGE)).cast("double")
+    base = F.when(F.abs(scaled) == float("inf"), F.lit(0.0)).otherwise(
+        (F.floor(scaled / F.lit(EXP_RANGE)) * F.lit(EXP_RANGE)).cast("double")
+    )
     width = segment_width(steps, segments)
     return (
         scores.where(F.col("unmask_step") > F.col("segment") * width)
@@ -70,7 +73,10 @@ def _logsumexp(parts: Column) -> Column:
             F.aggregate(values, F.lit(0.0), lambda total, v: total + F.exp(v - top))
         ))
 
-    logs = F.transform(parts, lambda p: p["base"] + F.ln(p["total"]))
+    # A total of 0 comes from competitors of minus infinity only; NULL stays NULL.
+    logs = F.transform(
+        F.filter(parts, lambda p: F.coalesce(p["total"] > 0, F.lit(True))), lambda p: p["base"] + F.ln(p["total"])
+    )
     return let(logs, lambda values: F.when(F.size(values) > 0, shifted(values)).otherwise(F.lit(float("-inf"))))
 
 
@@ -99,20 +105,48 @@ def future_logsumexp(
     )
 
 
+def scanned_logsumexp(scores: DataFrame, steps: int, segments: int, scope: str, tau: float) -> DataFrame:
+    """What ``future_logsumexp`` returns, in memory that grows neither with a key's steps nor with 1 / tau."""
+    width = segment_width(steps, segments)
+    last = (F.col("segment") + 1) * width
+    value = F.col("confidence") / F.lit(float(tau))
+    rivals = scores.where(F.col("unmask_step") > F.col("segment") * width)
+    here = F.col("unmask_step") <= last
+    if scope == "segment":
+        later = log_sums(rivals.where(~here), SEGMENT_KEYS, value).withColumnRenamed("n", "_n")
+        users = rivals.where(here).groupBy(*SEGMENT_KEYS).agg(F.count(F.lit(1)).alias(ROW_COUNT))
+        met = users.join(later, SEGMENT_KEYS, "left")
+        others = F.when(F.col("_n").isNull(), F.lit(float("-inf"))).when(~F.isnan("log_sum"), F.col("log_sum"))
+        return met.select(*SEGMENT_KEYS, last.cast("bigint").alias("_threshold"), ROW_COUNT, others.alias("_others"))
+    _threshold(scope, steps, segments)
+    found = later_log_sums(
+        rivals.withColumn("_threshold", F.least(F.col("unmask_step"), last + 1).cast("bigint")), SEGMENT_KEYS, "_threshold", value
+    )
+    return found.where(F.col("_threshold") <= last).select(
+        *SEGMENT_KEYS, "_threshold", F.col("n").alias(ROW_COUNT), F.col("others").alias("_others")
+    )
+
+
 def softmax_logps(
     scores: DataFrame, steps: int, segments: int, scope: str = "segment", tau: float = 1.0,
-    split_rows: int = SPLIT_ROWS,
+    split_rows: int = SPLIT_ROWS, scan: bool = False,
 ) -> DataFrame:
-    """L4: ``own/tau`` less the log-sum-exp of it and its competitors; 0 without competitors."""
+    """L4: ``own/tau`` less the log-sum-exp of it and its competitors; 0 without competitors.
+
+    Competitors of minus infinity, as closed positions have, weigh nothing. NULL scores give NULL. ``scan`` is for thousands
+    of steps or very small ``tau``: see ``scanned_logsumexp``.
+    """
     threshold = F.when(_revealed_here(steps, segments), _threshold(scope, steps, segments))
-    others = future_logsumexp(scores, steps, segments, scope, tau)
+    others = (scanned_logsumexp if scan else future_logsumexp)(scores, steps, segments, scope, tau)
     joined = attach(
         scores.withColumn("_threshold", threshold), others, [*SEGMENT_KEYS, "_threshold"], split_rows
     )
     own = F.col("own_score") / F.lit(float(tau))
     top = F.greatest(own, F.col("_others"))
     together = top + F.ln(F.exp(own - top) + F.exp(F.col("_others") - top))
-    return joined.select(*scores.columns, F.coalesce(own - together, F.lit(0.0)).alias("pos_logp"))
+    # Without a row of its own threshold a token was not revealed here.
+    alone = F.col(ROW_COUNT).isNull() | (F.col("_others") == float("-inf"))
+    return joined.select(*scores.columns, F.when(alone, F.lit(0.0)).otherwise(own - together).alias("pos_logp"))
 
 
 def _log_sigmoid(x: Column) -> Column:
@@ -177,7 +211,7 @@ def bradley_terry_logps(
 
 def position_logps(
     scores: DataFrame, steps: int, segments: int, method: str = "bradley_terry", scope: str = "position",
-    tau: float = 1.0,
+    tau: float = 1.0, scan: bool = False,
 ) -> DataFrame:
     """Position log-probability of every scored row; 0 for tokens not revealed in the segment."""
     if method not in METHODS:
@@ -186,5 +220,6 @@ def position_logps(
         raise ValueError(f"Unknown competition scope: {scope}")
     if tau <= 0:
         raise ValueError("Position scoring temperature must be positive")
-    compute = softmax_logps if method == "softmax" else bradley_terry_logps
-    return compute(scores, steps, segments, scope, tau)
+    if method == "softmax":
+        return softmax_logps(scores, steps, segments, scope, tau, scan=scan)
+    return bradley_terry_logps(scores, steps, segments, scope, tau)

@@ -20,10 +20,17 @@ def attach_gold(
 ) -> DataFrame:
     """Repeat each prompt's gold columns on its completions.
 
-    Every completion stays. One whose prompt has no gold has NULLs, which no reward takes for a
-    match; ``without_gold`` counts them.
+    Every completion stays, once. One whose prompt has no gold has NULLs, which no reward takes for a
+    match; ``without_gold`` counts them. A prompt that has completions and several gold rows is an
+    error: either could be meant. ``double_gold`` lists such prompts.
     """
-    stats = with_counts(gold, completions, [key])
+    values = [c for c in gold.columns if c != key]
+    several = F.concat(F.lit(f"Several gold rows for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    alone = [
+        F.when(F.count(F.lit(1)) == 1, F.first(c)).otherwise(F.raise_error(several).cast(gold.schema[c].dataType)).alias(c)
+        for c in values
+    ]
+    stats = with_counts(gold.groupBy(key).agg(*alone), completions, [key])
     return attach(completions, stats, [key], split_rows).drop("n_rows")
 
 
@@ -33,6 +40,11 @@ def without_gold(completions: DataFrame, gold: DataFrame, key: str = "group_id")
     return counts.join(gold.select(key), key, "left_anti")
 
 
+def double_gold(gold: DataFrame, key: str = "group_id") -> DataFrame:
+    """Prompts with more than one gold row, and how many they have."""
+    return gold.groupBy(key).agg(F.count(F.lit(1)).alias("n_gold")).where(F.col("n_gold") > 1)
+
+
 def reward_table(
     completions: DataFrame, funcs: Sequence[str] | dict[str, Reward], keys: Sequence[str] = SAMPLE_KEYS
 ) -> DataFrame:

@@ -180,3 +180,32 @@ def test_token_and_position_likelihood_jobs(spark):
     assert segments.active_segments(segments.assign_segment(frame.drop("segment"), 4, 2), ("seq_id",)).count() == 4
     repeated = likelihood.repeat_iterations(jobs.token_likelihood(frame, traj, recipe), 3)
     assert repeated.count() == 24
+
+
+@pytest.mark.parametrize("method", position.METHODS)
+@pytest.mark.parametrize("scope", position.SCOPES)
+def test_closed_competitors_weigh_nothing(spark, method, scope):
+    """Minus infinity is a competitor that is never chosen, for one step, all later steps, or with others beside it."""
+    rows = [r[:5] + ((-math.inf if r[2] % 3 == 0 or r[0] == 1 else r[5]),) for r in score_rows()]
+    open_rows = [r for r in rows if r[5] > -math.inf]
+    got = {
+        (r.seq_id, r.segment, r.pos): r.pos_logp
+        for r in position.position_logps(spark.createDataFrame(rows, SCHEMA), STEPS, SEGMENTS, method, scope, 0.5).collect()
+    }
+    for seq, segment, pos, step, own, _ in rows:
+        limit = (segment + 1) * WIDTH if scope == "segment" else step
+        rivals = [r[5] / 0.5 for r in open_rows if r[0] == seq and r[1] == segment and r[3] > limit and r[2] != pos]
+        here = segment * WIDTH < step <= (segment + 1) * WIDTH
+        if not here or not rivals:
+            expected = 0.0
+        elif method == "softmax":
+            expected = own / 0.5 - log_sum_exp([own / 0.5, *rivals])
+        else:
+            expected = sum(-math.log1p(math.exp(-(own / 0.5 - r))) for r in rivals)
+        assert got[seq, segment, pos] == pytest.approx(expected, abs=1e-9)
+
+
+def test_a_missing_confidence_is_not_taken_for_no_competitor(spark):
+    rows = [(0, 0, 0, 1, 1.0, 0.0), (0, 0, 1, 3, 1.0, None), (0, 0, 2, 4, 1.0, 0.5)]
+    got = {r.pos: r.pos_logp for r in position.softmax_logps(spark.createDataFrame(rows, SCHEMA), STEPS, SEGMENTS, "position").collect()}
+    assert got[0] is None and got[1] == pytest.approx(1 - log_sum_exp([1.0, 0.5])) and got[2] == 0.0

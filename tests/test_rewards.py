@@ -133,7 +133,17 @@ def test_gold_is_repeated_per_group(spark):
     gold = spark.createDataFrame([(0, "g0"), (1, "g1")], "group_id int, gold string")
     for split in (1_000_000, 2):
         rows = rewards.attach_gold(completions(spark), gold, split_rows=split).collect()
-        assert len(rows) == 8 and all(r.gold == f"g{r.group_id}" for r in rows)
+        assert len(rows) == 12
+        assert all(r.gold == (f"g{r.group_id}" if r.group_id < 2 else None) for r in rows)
+
+
+def test_double_gold_is_refused(spark):
+    gold = spark.createDataFrame([(0, "g0"), (1, "g1"), (1, "other"), (7, "x"), (7, "x")], "group_id int, gold string")
+    assert [tuple(r) for r in rewards.double_gold(gold).orderBy("group_id").collect()] == [(1, 2), (7, 2)]
+    with pytest.raises(Exception, match="Several gold rows for group_id 1"):
+        rewards.attach_gold(completions(spark), gold).collect()
+    # Prompts without completions may have any gold.
+    assert rewards.attach_gold(completions(spark), gold.where("group_id <> 1")).count() == 12
 
 
 def totals_frame(spark):
