@@ -219,6 +219,8 @@ USED_COLUMNS = {
     "orders": ["o_orderkey", "o_custkey"],
     "documents": ["doc_id", "text", "source", "n_chars"],
     "embeddings": ["vec_id", "embedding", "label"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value"],
+    "part": ["p_partkey", "p_size"],
 }
 TABLES = tuple(USED_COLUMNS)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rollscore.functions import prompts
 from workload import fixtures as fx
-from workload.queries import LATE_SEGMENTS, LATE_STEPS, SEED, TEMPLATE, WEIGHTS
+from workload.queries import LATE_SEGMENTS, LATE_STEPS, SCAN_STEPS, SEED, TEMPLATE, WEIGHTS
 
 G = fx.duck(fx.GENERATIONS)
 M = fx.duck(fx.MATH_ANSWERS)
@@ -640,6 +640,37 @@ def long_position_sums(threshold: str) -> str:
     )
 
 
+def scan_sums(steps: int, tau: float) -> str:
+    """Running sums over the steps of each document, from the latest down."""
+    return f"""
+with s as (select seq_id, pos, own_score / {tau} as own, exp(confidence / {tau}) as e,
+                  case when unmask_step >= 0 then (pos * 5 + seq_id * 3) % {steps} else -1 end as st from {SCORES} where segment = 0),
+ steps as (select seq_id, st, sum(e) as z from s where st > 0 group by all),
+ later as (select seq_id, st, sum(z) over (partition by seq_id order by st desc rows between unbounded preceding and 1 preceding) as z from steps),
+ each as (select s.seq_id, case when s.st > 0 then own - ln(exp(own) + coalesce(z, 0)) else 0 end as v
+          from s left join later on later.seq_id = s.seq_id and later.st = s.st)
+select seq_id, cast(sum(cast(round(v * 1e6) as bigint)) as bigint) as pos_logp_micros, {r6('min(v)')} as lowest, count(*) as n from each group by seq_id
+"""
+
+
+CLOSED = f"(select * replace (case when (pos + seq_id) % 3 = 0 then cast('-infinity' as double) else top end as top) from {SEGMENT_REDUCED})"
+
+
+def islands(kind: str, flagged: str) -> str:
+    return f"""select run, '{kind}' as kind, min(i) as first_index, max(i) as last_index, count(*) as n
+ from (select run, i, i - row_number() over (partition by run order by i) as g from ({flagged})) group by run, g"""
+
+
+GAPS = f"""
+with r as (select run, example_index as i, count(*) as c from {RUN_ROWS} where example_index % 37 <> 5 or run = 'run2' group by all),
+ z as (select run, max(dataset_size) as size from {RANKS} group by run),
+ every as (select run, unnest(range(0, size)) as i from z)
+{islands('missing', 'select run, i from every anti join r using (run, i)')} union all
+{islands('repeated', 'select run, i from r join z using (run) where c > 1 and i >= 0 and i < size')} union all
+{islands('outside', 'select run, i from r left join z using (run) where i < 0 or i >= coalesce(size, 0)')}
+"""
+
+
 # --- prompts ------------------------------------------------------------------------------------
 
 
@@ -773,6 +804,19 @@ ORACLE: dict[str, str] = {
     f"{r6('avg(case when is_sampled then 1 else 0 end)')} as sampled_tokens_ratio from {MASKED} group by batch_id, iter",
     "t6_schedule": AUDIT,
     "t7_schedule": SCHEDULE,
+    "j7_asof": "select e.event_id, e.user_id, coalesce(c.event_id, -1) as click_id, coalesce(c.value, 0) as value from "
+    "(select * from events where event_type = 'error') e asof left join (select * from events where event_type = 'click') c "
+    "on e.user_id = c.user_id and e.ts >= c.ts",
+    "j5_ranges": "with i as (select p_partkey, case when p_partkey % 1000 <> 7 then p_partkey end as low, case when p_partkey % 1000 <> 3 "
+    "then p_partkey + case when p_partkey % 50 = 0 then p_size * 40 else p_size - 2 end end as high from part) "
+    "select p_partkey, count(*) as n_orders, min(o_custkey) as first, max(o_custkey) as last, cast(sum(o_orderkey) as bigint) as keys "
+    "from i join orders on (low is null or o_custkey > low) and (high is null or o_custkey <= high) group by p_partkey",
+    "u2_gaps": GAPS,
+    "l6_scan": scan_sums(SCAN_STEPS, 0.25),
+    "l4_closed_segment": f"select seq_id, segment, pos, {r6('softmax')} as pos_logp from {position_pairs(SEGMENT_END, 0.5, CLOSED)}",
+    "l4_closed_position": f"select seq_id, segment, pos, {r6('softmax')} as pos_logp from {position_pairs('unmask_step', 0.5, CLOSED)}",
+    "l3_closed_segment": f"select seq_id, segment, pos, {r6('bt')} as pos_logp from {position_pairs(SEGMENT_END, 0.5, CLOSED)}",
+    "l3_closed_position": f"select seq_id, segment, pos, {r6('bt')} as pos_logp from {position_pairs('unmask_step', 0.5, CLOSED)}",
     "w5_quota": "select doc_id as seq_id, step, n // 12 + case when step < n % 12 then 1 else 0 end as quota "
     "from (select doc_id, len(string_split(text, ' ')) as n from documents), (select unnest(range(12)) as step)",
     "k1_select": SELECTED,

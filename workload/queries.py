@@ -11,7 +11,7 @@ from rollscore.functions import answers, logits, mathnorm, prompts, sampling, to
 from rollscore.functions.ranges import each_below
 from rollscore.functions.rewards import REWARDS, TASK_REWARDS
 from rollscore.operators import (
-    advantages, likelihood, losses, position, rewards, runs, schedule, segments, trace,
+    advantages, gaps, joins, likelihood, losses, position, rewards, runs, schedule, segments, trace,
 )
 from rollscore.operators import prompts as prompt_ops
 from rollscore.operators.losses import Loss
@@ -760,6 +760,64 @@ def long_position_query(scope: str) -> Query:
     return query
 
 
+SCAN_STEPS = 4096
+
+
+def scan_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of every document, revealed in up to 4,096 steps, as one segment."""
+    step = (C("pos") * 5 + C("seq_id") * 3) % SCAN_STEPS
+    return position_rows(spark, sf).where("segment = 0").withColumn("unmask_step", F.when(C("unmask_step") >= 0, step).otherwise(-1))
+
+
+def scan_query(spark: SparkSession, sf: str) -> DataFrame:
+    """L6 by a scan over pieces: sums per sequence, and the lowest value."""
+    table = position.position_logps(scan_rows(spark, sf), SCAN_STEPS, 1, "softmax", "position", 0.25, scan=True)
+    return rounded(table.groupBy("seq_id").agg(
+        F.sum(micros(C("pos_logp"))).alias("pos_logp_micros"), F.min("pos_logp").alias("lowest"), F.count(F.lit(1)).alias("n")
+    ))
+
+
+def closed_query(method: str, scope: str) -> Query:
+    """Position likelihood where every third competitor is closed: its confidence is minus infinity."""
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        closed = F.when((C("pos") + C("seq_id")) % 3 == 0, F.lit(float("-inf"))).otherwise(C("confidence"))
+        rows = pos_scores(spark, sf).withColumn("confidence", closed)
+        table = position.position_logps(rows, fx.STEPS, fx.SEGMENTS, method, scope, 0.5)
+        return rounded(table.select("seq_id", "segment", "pos", "pos_logp"))
+
+    return query
+
+
+def latest_click(spark: SparkSession, sf: str) -> DataFrame:
+    """Each error with the same user's latest click at or before it."""
+    events = fx.read(spark, sf, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", C("ts").alias("click_ts"), C("event_id").alias("click_id"), "value")
+    found = joins.as_of(
+        events.where("event_type = 'error'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "click_ts",
+        ["click_id", "click_ts", "value"], ["click_id"],
+    )
+    return found.select("event_id", "user_id", F.coalesce("click_id", F.lit(-1)).alias("click_id"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def range_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by customer number inside intervals of parts, of any width, some without an end."""
+    orders = fx.read(spark, sf, "orders").select("o_orderkey", C("o_custkey").alias("custkey"))
+    low = F.when(C("p_partkey") % 1000 != 7, C("p_partkey"))
+    high = F.when(C("p_partkey") % 1000 != 3, C("p_partkey") + F.when(C("p_partkey") % 50 == 0, C("p_size") * 40).otherwise(C("p_size") - 2))
+    parts = fx.read(spark, sf, "part").select("p_partkey", low.alias("low"), high.alias("high"))
+    met = joins.interval_join(orders, parts, "custkey", "low", "high")
+    return met.groupBy("p_partkey").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.min("custkey").alias("first"), F.max("custkey").alias("last"), F.sum("o_orderkey").alias("keys")
+    )
+
+
+def gap_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of missing, repeated and outside examples of every run; runs lose some rows first."""
+    rows = run_rows(spark, sf).where("example_index % 37 <> 5 or run = 'run2'")
+    sizes = rank_rows(spark, sf).groupBy("run").agg(F.max("dataset_size").alias("dataset_size"))
+    return gaps.index_gaps(rows, sizes)
+
+
 def competitor_sums(spark: SparkSession, sf: str) -> DataFrame:
     """The competitors' log-sum-exp of each sequence and segment, over whole documents."""
     sums = position.future_logsumexp(position_rows(spark, sf), fx.STEPS, fx.SEGMENTS, "segment", 0.5)
@@ -859,6 +917,14 @@ QUERIES: dict[str, Query] = {
     "a8_coverage": coverage,
     "t6_schedule": audit,
     "t7_schedule": schedule_query,
+    "j7_asof": latest_click,
+    "j5_ranges": range_query,
+    "u2_gaps": gap_query,
+    "l6_scan": scan_query,
+    "l4_closed_segment": closed_query("softmax", "segment"),
+    "l4_closed_position": closed_query("softmax", "position"),
+    "l3_closed_segment": closed_query("bradley_terry", "segment"),
+    "l3_closed_position": closed_query("bradley_terry", "position"),
     "w5_quota": quota,
     "k1_select": select_unmask,
     "k1_audit": selection_audit,
