@@ -12,8 +12,12 @@ A result names groups, so copies are not paired with each other:
 * Each prefix shingle first pairs its documents with one of them, its hub: the one whose prefix is shared
   most, so that edited copies meet their original. Rows grow with documents. Verified links make the first
   components.
-* Then only pairs from different components that share a shingle are formed, and of these only those
-  whose distances from the hub allow a link (the Jaccard distance obeys the triangle inequality).
+* A verified document also leaves its difference from the hub: what it adds, then what it lacks. Two documents of
+  one hub that link without both linking to it share part of their differences, at least about half of the smaller one
+  (see ``_needed``). So within a shingle that very many near copies hold, a second match is asked for, on
+  hub and difference, before a row of two documents exists; and what they share is counted in the differences alone.
+* Documents that cannot link to the hub of a shingle by their prefixes or sizes have no difference from it. They meet the
+  others of that shingle directly, if their sizes and components allow a link.
 
 Verification intersects the whole sets, built for the documents of sifted pairs only.
 """
@@ -153,17 +157,22 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def _overlaps(key: tuple, table: pa.Table) -> pa.Table:
-    """Intersection and union of the hub's set with each of the group's others."""
+    """Intersection, union and difference of the hub's set and each of the group's others.
+
+    A difference lists what the other adds to the hub, then what it lacks, each by hash: the same order for all others.
+    """
     hub = key[0].as_py()
     sets = [(i, np.frombuffer(x, "<u8")) for i, x in zip(table.column("id").to_pylist(), table.column("shingles").to_pylist(), strict=True)]
     found: list[tuple] = []
     for own in (s for i, s in sets if i == hub):
         for i, other in sets:
             if i != hub:
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                found.append((hub, i, both, len(own) + len(other) - both))
-    columns = list(zip(*found, strict=True)) if found else [[]] * 4
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "both", "either"])
+                added, lacks = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+                both = len(other) - len(added)
+                found.append((hub, i, both, both + len(added) + len(lacks), np.concatenate([added, lacks]).view(np.int64)))
+    *columns, differences = list(zip(*found, strict=True)) if found else [[]] * 5
+    numbers = [pa.array(c, pa.int64()) for c in columns]
+    return pa.table([*numbers, int_lists(list(differences), np.int64)], names=["a", "b", "both", "either", "difference"])
 
 
 def _fit(n: str, m: str, ratio: Ratio) -> Column:
@@ -195,7 +204,7 @@ def _sifted(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """a, b, both, either: sizes of intersection and union for ``pairs`` (a, b, n of b).
+    """a, b, both, either, difference (see ``_overlaps``) for ``pairs`` (a, b, n of b).
 
     Pairs meet in groups of one ``a`` and a bounded share of its partners.
     """
@@ -213,7 +222,57 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     sets = rows.withColumnRenamed("doc_id", "id").join(_small(roles), "id").mapInArrow(
         lambda b: _sets(b, words), "a bigint, part bigint, id bigint, shingles binary"
     )
-    return sets.groupBy("a", "part").applyInArrow(_overlaps, "a bigint, b bigint, both bigint, either bigint")
+    return sets.groupBy("a", "part").applyInArrow(_overlaps, "a bigint, b bigint, both bigint, either bigint, difference array<bigint>")
+
+
+def _needed(size: Column, more: Column, ratio: Ratio) -> Column:
+    """Half of ``size`` and of c times ``more``, rounded up; two sets of n and m shingles link if c (n + m) of them differ at most.
+
+    Let x and y differ from their hub h in X and Y. They differ from each other in |X| + |Y| - 2 |X and Y|. If they link and
+    x does not link to h, so that |X| > c (n_x + n_h), they share more than (|Y| + c (n_h - n_y)) / 2. In any case they share
+    (|X| + |Y| - c (n_x + n_y)) / 2. If X and Y share nothing, links from both to h follow.
+    """
+    num, den = ratio[1] - ratio[0], ratio[1] + ratio[0]
+    return F.greatest(F.ceil((size * den + more * num) / F.lit(2 * den) - 1e-9), F.lit(1))
+
+
+def _second_match(placed: DataFrame, groups: DataFrame, ratio: Ratio) -> DataFrame:
+    """Links (a, b) between documents of one hub that lie in different groups, by their differences from the hub.
+
+    ``placed`` has hub, hub_n, id, n and difference. Documents apart from their hub's group look their whole
+    difference up among the first part of the others', long enough to hold one of the matches they need.
+    """
+    own = placed.join(groups.select(F.col("node").alias("id"), F.col("component").alias("_own")), "id", "left")
+    hubs = own.join(groups.select(F.col("node").alias("hub"), F.col("component").alias("_hubs")), "hub", "left")
+    known = cut_lineage(hubs.select(
+        "hub", "id", "difference", F.size("difference").alias("d"), F.coalesce("_own", "id").alias("group"), "n", "hub_n",
+        (F.coalesce("_own", "id") != F.coalesce("_hubs", "hub")).alias("apart"),
+    ))
+    split = known.where("apart").select("hub").distinct()
+    rows = known.withColumn("_k", F.col("hub").bitwiseXOR(F.lit(MIX))).join(
+        split.select(F.col("hub").bitwiseXOR(F.lit(MIX)).alias("_k")), "_k", "left_semi"
+    ).drop("_k")
+    least = _needed(F.col("d"), F.col("hub_n") - F.col("n"), ratio)
+    first = F.slice("difference", F.lit(1), (F.col("d") - least + 1).cast("int"))
+    index = rows.where(least <= F.col("d")).select(
+        "hub", F.col("id").alias("b"), F.col("d").alias("b_d"), F.col("n").alias("b_n"), F.col("group").alias("b_group"),
+        F.posexplode(first).alias("b_at", "token"),
+    )
+    probe = rows.where("apart").select(
+        "hub", F.col("id").alias("a"), F.col("d").alias("a_d"), F.col("n").alias("a_n"), F.col("group").alias("a_group"),
+        F.posexplode("difference").alias("a_at", "token"),
+    )
+    asked = _needed(F.col("a_d") + F.col("b_d"), -(F.col("a_n") + F.col("b_n")), ratio)
+    # The first shared element leaves room for the others that are needed.
+    room = F.least(F.col("a_d") - F.col("a_at"), F.col("b_d") - F.col("b_at"))
+    met = probe.join(index, ["hub", "token"]).where((F.col("a_group") != F.col("b_group")) & (room >= asked))
+    pairs = cut_lineage(met.select("hub", "a", "b").distinct())
+    left = known.select("hub", F.col("id").alias("a"), F.col("difference").alias("p"), F.col("n").alias("a_n"))
+    right = known.select("hub", F.col("id").alias("b"), F.col("difference").alias("q"), F.col("n").alias("b_n"))
+    both = pairs.join(left, ["hub", "a"]).join(right, ["hub", "b"])
+    differ = F.size("p") + F.size("q") - 2 * F.size(F.array_intersect("p", "q"))
+    total = F.col("a_n") + F.col("b_n")
+    return both.where(differ * (ratio[0] + ratio[1]) <= total * (ratio[1] - ratio[0])).select("a", "b").distinct()
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) -> DataFrame:
@@ -268,27 +327,32 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     links = judged.where(reached).select("a", "b").unionByName(same)
     groups = cut_lineage(components(links))
 
-    # Pairs of different groups that share a shingle, other than with its hub.
-    distance = (F.col("either") - F.col("both")) / F.col("either")
+    # Pairs of different groups that share a shingle, other than with its hub: first those that differ from it by little.
+    sizes = shared.select("hub", "hub_n", "id", "n").distinct()
+    with_hub = sizes.join(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), "difference"), ["hub", "id"])
+    second = cut_lineage(_second_match(with_hub, groups, ratio))
+    links = links.unionByName(second)
+
+    # Then those with a document that has no difference from the hub.
     placed = shared.where("members > 2").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "group", F.coalesce("component", "id")
     ).drop("component")
     several = placed.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high")
     placed = placed.where("hub <> id").withColumn("_k", mixed).join(several.select(mixed), "_k", "left_semi").drop("_k").join(
-        judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), distance.alias("distance")), ["hub", "id"], "left"
+        judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.lit(True).alias("known")), ["hub", "id"], "left"
     )
     placed = cut_lineage(placed)
-    x, y = placed.alias("x"), placed.alias("y")
-    slack = 1e-9 + (ratio[1] - ratio[0]) / ratio[1]
-    apart = F.abs(F.col("x.distance") - F.col("y.distance")) > slack
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))).where(
-        (F.col("x.group") != F.col("y.group")) & ~F.coalesce(apart, F.lit(False)) & _fit("x.n", "y.n", ratio)
+    x, y = placed.where("known is null").alias("x"), placed.alias("y")
+    # Two of them are met once.
+    once = F.col("y.known").isNotNull() | (F.col("x.id") < F.col("y.id"))
+    met = x.join(y, F.col("x.token") == F.col("y.token")).where(
+        once & (F.col("x.group") != F.col("y.group")) & _fit("x.n", "y.n", ratio)
     )
     rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = cut_lineage(_sifted(cut_lineage(rest), vertices))
     if not rest.isEmpty():
-        more = _verified(rest, rows, words).where(reached).select("a", "b")
-        groups = cut_lineage(components(links.unionByName(more)))
+        links = links.unionByName(_verified(rest, rows, words).where(reached).select("a", "b"))
+    groups = cut_lineage(components(links))
 
     found = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("component")
