@@ -16,8 +16,9 @@ A result names groups, so copies are not paired with each other:
   one hub that link without both linking to it share part of their differences, at least about half of the smaller one
   (see ``_needed``). So within a shingle that very many near copies hold, a second match is asked for, on
   hub and difference, before a row of two documents exists; and what they share is counted in the differences alone.
-* Documents that cannot link to the hub of a shingle by their prefixes or sizes have no difference from it. They meet the
-  others of that shingle directly, if their sizes and components allow a link.
+* Documents that are far from the hub of a shingle, or cannot link to it by their prefixes or sizes, keep no difference from it.
+  They meet the others of that shingle directly, if sizes, components and distances from the hub allow a link (the Jaccard
+  distance obeys the triangle inequality).
 
 Verification intersects the whole sets, built for the documents of sifted pairs only.
 """
@@ -43,6 +44,8 @@ CELLS, CELLS_PER_ROW = 1 << 20, 1 << 12
 VERIFY_COST = 16
 #: Up to so many rows of a few numbers are sent to the texts or prefixes; beyond, those are shuffled to them.
 BROADCAST_ROWS = 500_000
+#: A document keeps its difference from a hub if that is up to so many times what two linked sets can differ by.
+NEAR = 4
 #: Shingles verified against one hub in one group, about.
 GROUP_SHINGLES = 500_000
 
@@ -156,10 +159,11 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         )
 
 
-def _overlaps(key: tuple, table: pa.Table) -> pa.Table:
+def _overlaps(key: tuple, table: pa.Table, ratio: Ratio) -> pa.Table:
     """Intersection, union and difference of the hub's set and each of the group's others.
 
-    A difference lists what the other adds to the hub, then what it lacks, each by hash: the same order for all others.
+    A difference lists what the other adds to the hub, then what it lacks, each by hash: the same order for all others. It is null
+    for others that are not near (see ``NEAR``).
     """
     hub = key[0].as_py()
     sets = [(i, np.frombuffer(x, "<u8")) for i, x in zip(table.column("id").to_pylist(), table.column("shingles").to_pylist(), strict=True)]
@@ -169,10 +173,13 @@ def _overlaps(key: tuple, table: pa.Table) -> pa.Table:
             if i != hub:
                 added, lacks = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
                 both = len(other) - len(added)
-                found.append((hub, i, both, both + len(added) + len(lacks), np.concatenate([added, lacks]).view(np.int64)))
+                size, total = len(added) + len(lacks), len(own) + len(other)
+                near = size * (ratio[1] + ratio[0]) <= NEAR * total * (ratio[1] - ratio[0])
+                difference = np.concatenate([added, lacks]).view(np.int64).tolist() if near else None
+                found.append((hub, i, both, both + size, difference))
     *columns, differences = list(zip(*found, strict=True)) if found else [[]] * 5
-    numbers = [pa.array(c, pa.int64()) for c in columns]
-    return pa.table([*numbers, int_lists(list(differences), np.int64)], names=["a", "b", "both", "either", "difference"])
+    columns = [*(pa.array(c, pa.int64()) for c in columns), pa.array(differences, pa.list_(pa.int64()))]
+    return pa.table(columns, names=["a", "b", "both", "either", "difference"])
 
 
 def _fit(n: str, m: str, ratio: Ratio) -> Column:
@@ -203,7 +210,7 @@ def _sifted(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return both.where(F.size(shared) >= needed).select("a", "b", "n").distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, ratio: Ratio) -> DataFrame:
     """a, b, both, either, difference (see ``_overlaps``) for ``pairs`` (a, b, n of b).
 
     Pairs meet in groups of one ``a`` and a bounded share of its partners.
@@ -222,7 +229,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     sets = rows.withColumnRenamed("doc_id", "id").join(_small(roles), "id").mapInArrow(
         lambda b: _sets(b, words), "a bigint, part bigint, id bigint, shingles binary"
     )
-    return sets.groupBy("a", "part").applyInArrow(_overlaps, "a bigint, b bigint, both bigint, either bigint, difference array<bigint>")
+    return sets.groupBy("a", "part").applyInArrow(
+        lambda key, table: _overlaps(key, table, ratio), "a bigint, b bigint, both bigint, either bigint, difference array<bigint>"
+    )
 
 
 def _needed(size: Column, more: Column, ratio: Ratio) -> Column:
@@ -323,35 +332,41 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     pairs = near.where(_fit("n", "hub_n", ratio)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = cut_lineage(_sifted(cut_lineage(pairs), vertices))
     reached = F.col("both") * ratio[1] >= F.col("either") * ratio[0]
-    judged = cut_lineage(_verified(pairs, rows, words))
+    judged = cut_lineage(_verified(pairs, rows, words, ratio))
     links = judged.where(reached).select("a", "b").unionByName(same)
     groups = cut_lineage(components(links))
 
     # Pairs of different groups that share a shingle, other than with its hub: first those that differ from it by little.
     sizes = shared.select("hub", "hub_n", "id", "n").distinct()
     with_hub = sizes.join(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), "difference"), ["hub", "id"])
+    with_hub = with_hub.where(F.col("difference").isNotNull())
     second = cut_lineage(_second_match(with_hub, groups, ratio))
     links = links.unionByName(second)
 
-    # Then those with a document that has no difference from the hub.
+    # Then those with a document that keeps no difference from the hub.
+    distance = (F.col("either") - F.col("both")) / F.col("either")
     placed = shared.where("members > 2").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "group", F.coalesce("component", "id")
     ).drop("component")
     several = placed.groupBy("token").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high")
     placed = placed.where("hub <> id").withColumn("_k", mixed).join(several.select(mixed), "_k", "left_semi").drop("_k").join(
-        judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.lit(True).alias("known")), ["hub", "id"], "left"
-    )
+        judged.select(
+            F.col("a").alias("hub"), F.col("b").alias("id"), F.col("difference").isNotNull().alias("near"), distance.alias("distance")
+        ), ["hub", "id"], "left",
+    ).withColumn("near", F.coalesce("near", F.lit(False)))
     placed = cut_lineage(placed)
-    x, y = placed.where("known is null").alias("x"), placed.alias("y")
+    x, y = placed.where("not near").alias("x"), placed.alias("y")
     # Two of them are met once.
-    once = F.col("y.known").isNotNull() | (F.col("x.id") < F.col("y.id"))
+    once = F.col("y.near") | (F.col("x.id") < F.col("y.id"))
+    slack = 1e-9 + (ratio[1] - ratio[0]) / ratio[1]
+    apart = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) > slack, F.lit(False))
     met = x.join(y, F.col("x.token") == F.col("y.token")).where(
-        once & (F.col("x.group") != F.col("y.group")) & _fit("x.n", "y.n", ratio)
+        once & ~apart & (F.col("x.group") != F.col("y.group")) & _fit("x.n", "y.n", ratio)
     )
     rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = cut_lineage(_sifted(cut_lineage(rest), vertices))
     if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, rows, words).where(reached).select("a", "b"))
+        links = links.unionByName(_verified(rest, rows, words, ratio).where(reached).select("a", "b"))
     groups = cut_lineage(components(links))
 
     found = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
