@@ -33,14 +33,24 @@ def list_arrays(column: pa.ListArray) -> list[np.ndarray | None]:
     return [values[offsets[i]:offsets[i + 1]] if valid[i] else None for i in range(len(column))]
 
 
+#: Longer keys are cached for one batch only.
+LONGEST_KEY = 64
+
+
 class Recent:
-    """A bounded cache: what is in use now, and the generation before it."""
+    """A bounded cache: what is in use now, and the generation before it.
+
+    ``size`` keys a generation, each of at most ``LONGEST_KEY`` characters: whole texts without a blank are not held.
+    """
 
     def __init__(self, size: int) -> None:
-        self.size, self.now, self.old = size, {}, {}
+        self.size, self.now, self.old, self.long = size, {}, {}, []
 
     def keep(self, keys) -> dict:
         """The cached values, after those of ``keys`` have been moved to the present generation."""
+        for key in self.long:
+            self.now.pop(key, None)
+        self.long = [key for key in keys if len(key) > LONGEST_KEY]
         if len(self.now) > self.size:
             self.old, self.now = self.now, {}
         now, old = self.now, self.old

@@ -11,6 +11,7 @@ task. The vocabulary has a fixed size, so every task can hold it.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -157,17 +158,16 @@ class BytePairs:
 
 
 BLANKS = regex.compile(r"\s{2}")
+#: Before the last blank of a run: the pattern joins that one with what follows, or leaves it alone.
+STARTS = re.compile(r"(?=[ \t\n\r]\S)")
 
 
 def words_of(text: str) -> list[str]:
-    """Parts of a text that the pattern never joins: each blank starts a new part.
-
-    That holds where no two white-space characters meet. A text where they do is one part.
-    """
+    """Parts of a text that the pattern never joins: the last blank before a word starts a new part."""
     if not text:
         return []
     if BLANKS.search(text) or text[-1].isspace():
-        return [text]
+        return STARTS.split(text)
     first, *rest = text.split(" ")
     return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
 

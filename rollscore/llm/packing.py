@@ -1,11 +1,12 @@
 """Harmonic packing of tokenized documents into sequences of a fixed capacity.
 
-Lengths fall into classes of reciprocal capacity: capacity / 1, / 2, / 4 and so on to single tokens. As
-documents may be cut, each is cut into whole sequences and then into the largest class sizes that still
-fit, so a piece fills its share exactly. A bin of class capacity / k holds k pieces, a fixed number, and
-each task fills the bins of its own rows: no shuffle and nothing to agree on. What is left in open bins
-when a task ends is laid end to end, largest pieces first, into sequences that are full or whose length
-is a power of two. No sequence is padded then.
+A document longer than the capacity gives whole sequences first; what is left of it, or a shorter document, falls
+into the class of the largest k of which k still fit, the lengths above capacity / (k + 1) up to capacity / k. A bin of class k
+takes k of them, uncut: a fixed number, so that each task fills the bins of its own rows, with no shuffle and nothing
+to agree on. The room a bin has left then is filled by the start of the next document, whose rest goes on to its own class.
+So a document is cut once at most, besides its whole sequences. What is left in open bins when a task ends is
+laid end to end into full sequences, and the last of it into sequences whose length is a power of two. No sequence
+is padded then.
 
 The capacity must be a power of two.
 """
@@ -48,11 +49,13 @@ def packed(ids: list[int]) -> bytes:
 
 
 class WordTokens:
-    """Ids by a tokenizer whose tokens never cross white space, found once per distinct word."""
+    """Ids by a tokenizer whose tokens never cross white space, found once per distinct word.
+
+    The strings of special tokens in a text are those tokens, as the library has it.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.letters = byte_letters()
         self.words, self.stems = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
 
@@ -104,24 +107,17 @@ def tokenize_batches(batches: Iterable[pa.RecordBatch], path: str, end: int) ->
         yield pa.record_batch([batch.column("doc_id"), int_lists(ids)], ["doc_id", "ids"])
 
 
-def cuts(tokens: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole sequences, then falling powers of two."""
-    found = [(s, capacity) for s in range(0, tokens - capacity + 1, capacity)]
-    start = len(found) * capacity
-    for bit in range((tokens - start).bit_length() - 1, -1, -1):
-        if (tokens - start) >> bit & 1:
-            found.append((start, 1 << bit))
-            start += 1 << bit
-    return found
-
-
 class Bins:
-    """One task's bins. ``full`` holds the pieces of closed ones: (piece, sequence, offset)."""
+    """One task's bins. ``full`` holds the pieces of closed ones: (piece, sequence, offset).
+
+    A piece is (doc_id, start, length, ids, doc_tokens).
+    """
 
     def __init__(self, capacity: int, first: int) -> None:
         self.capacity, self.next = capacity, first
         self.open: dict[int, list] = {}
         self.full: list[tuple] = []
+        self.gap, self.filling = 0, []
 
     def close(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -130,28 +126,50 @@ class Bins:
             offset += piece[2]
         self.next += 1
 
-    def add(self, piece: tuple) -> None:
-        """``piece``: (doc_id, start, length, ids, doc_tokens)."""
-        bin_ = self.open.setdefault(piece[2], [])
-        bin_.append(piece)
-        if len(bin_) * piece[2] == self.capacity:
-            self.close(self.open.pop(piece[2]))
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        """A document: whole sequences, then the room that waits, then its class."""
+        total, capacity = len(ids), self.capacity
+        start = total - total % capacity
+        for at in range(0, start, capacity):
+            self.close([(doc, at, capacity, ids[at:at + capacity], total)])
+        left = total - start
+        if left and self.gap:
+            used = min(left, self.gap)
+            self.filling.append((doc, start, used, ids[start:start + used].copy(), total))
+            start, left, self.gap = start + used, left - used, self.gap - used
+            if not self.gap:
+                self.close(self.filling)
+        if not left:
+            return
+        k = capacity // left
+        bin_ = self.open.setdefault(k, [])
+        bin_.append((doc, start, left, ids[start:].copy(), total))
+        if len(bin_) == k:
+            del self.open[k]
+            room = capacity - sum(p[2] for p in bin_)
+            if room:
+                self.gap, self.filling = room, bin_  # nothing waits now: this document has filled what did
+            else:
+                self.close(bin_)
 
     def finish(self) -> None:
-        """Lay the open bins' pieces end to end, largest first: sums of falling powers of two meet every cut."""
-        rest = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        self.open = {}
+        """Lay what is left end to end: full sequences, then lengths that are falling powers of two."""
+        rest = [*self.filling] if self.gap else []
+        rest += [p for k in sorted(self.open) for p in self.open[k]]
+        self.open, self.gap, self.filling = {}, 0, []
         left = sum(p[2] for p in rest)
         target, held, size = 0, [], 0
-        for piece in rest:
-            if not size:
-                target = min(self.capacity, 1 << (left.bit_length() - 1))
-            held.append(piece)
-            size += piece[2]
-            if size == target:
-                self.close(held)
-                left -= size
-                held, size = [], 0
+        for doc, start, length, ids, total in rest:
+            while length:
+                if not size:
+                    target = min(self.capacity, 1 << (left.bit_length() - 1))
+                used = min(length, target - size)
+                held.append((doc, start, used, ids[:used], total))
+                start, length, ids, size = start + used, length - used, ids[used:], size + used
+                if size == target:
+                    self.close(held)
+                    left -= size
+                    held, size = [], 0
 
     def take(self) -> list[tuple]:
         taken, self.full = self.full, []
@@ -172,8 +190,7 @@ def pack_batches(batches: Iterable[pa.RecordBatch], capacity: int) -> Iterator[p
     bins = Bins(capacity, TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
     for batch in slices(batches):
         for doc, ids in zip(batch.column("doc_id").to_pylist(), list_arrays(batch.column("ids")), strict=True):
-            for start, length in cuts(len(ids), capacity):
-                bins.add((doc, start, length, ids[start:start + length].copy(), len(ids)))
+            bins.add(doc, ids)
         if bins.full:
             yield _rows(bins.take())
     bins.finish()

@@ -75,8 +75,16 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, outcomes, RULES)
 
 
+class Decimals(dict):
+    """The text of each number, made once."""
+
+    def __missing__(self, number: int) -> str:
+        self[number] = text = str(number)
+        return text
+
+
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    text_of = [str(i) for i in range(1 << 16)]
+    text_of = Decimals()
     for batch in batches:
         ids = [x.tolist() for x in list_arrays(batch.column("ids"))]
         joined = [hashlib.sha256(",".join(map(text_of.__getitem__, x)).encode()).hexdigest() for x in ids]

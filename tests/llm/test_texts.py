@@ -34,9 +34,7 @@ def byte_encoding() -> tiktoken.Encoding:
 
 
 def word_encoding() -> Tokenizer:
-    found = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_perfect_hash_has_a_place_for_each_key_and_none_for_others():
@@ -63,13 +61,53 @@ def test_word_tokens_equal_the_library():
         assert ids.tolist() == expected.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("size", [0, 1, 7, 4095, 4096, 4097, 12_345])
-def test_cuts_cover_a_document_once(size):
-    at = 0
-    for start, length in packing.cuts(size, 4096):
-        assert start == at and length & (length - 1) == 0 and length <= 4096
-        at += length
-    assert at == size
+def test_texts_with_paragraphs_are_cached_by_words():
+    pairs, expected = bpe.BytePairs(bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).ranks), byte_encoding()
+    rng = random.Random(4)
+    blanks = [" ", " ", "  ", "\n\n", "\n", " \n", "\n ", "\t", "\r\n", "\x1c ", "\u2003 ", "   "]
+    sample = ["".join(rng.choice(["the", "word", "12", "!", "é"]) + rng.choice(blanks) for _ in range(400)) for _ in range(50)]
+    sample += ["x" * 100_000, "end \n\n", "\n\nstart", " \n ", "\x85 a"]
+    for text, ids in zip(sample, pairs.encode(sample), strict=True):
+        assert ids.tolist() == expected.encode_ordinary(text)
+    pairs.encode(["after"])
+    for cache in (pairs.words, pairs.pieces):
+        assert sum(map(len, cache.now)) + sum(map(len, cache.old)) < 20_000
+
+
+def test_special_tokens_are_those_of_the_library():
+    tokens, expected = packing.word_tokens(public_tokenizers.path("word_bpe_49k.json")), word_encoding()
+    sample = ["hello <|endoftext|> world", "a<|endoftext|>b<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|>.", "x.<|endoftext|>"]
+    assert expected.encode(sample[0], add_special_tokens=False).ids[1] == 49407
+    for text, ids in zip(sample, tokens.encode(sample), strict=True):
+        assert ids.tolist() == expected.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("capacity", [1, 8, 64])
+def test_bins(seed, capacity):
+    """Whole sequences apart, a document is cut once at most until the task ends, and a class bin holds k of its class uncut."""
+    rng = random.Random(seed)
+    sizes = [rng.choice([rng.randrange(1, 4), rng.randrange(1, capacity + 1), rng.randrange(1, 5 * capacity)]) for _ in range(300)]
+    bins = packing.Bins(capacity, 1000)
+    for doc, size in enumerate(sizes):
+        bins.add(doc, np.arange(size))
+        assert sum(p[2] for pieces in bins.open.values() for p in pieces) <= 2 * capacity * len(bins.open)
+    early = bins.take()
+    cuts = {}
+    for doc, _, length, *_ in early + [(*p, 0, 0) for held in (*bins.open.values(), bins.filling if bins.gap else []) for p in held]:
+        cuts.setdefault(doc, []).append(length)
+    assert all(sum(n < capacity for n in lengths) <= 2 for lengths in cuts.values())
+    bins.finish()
+    placed = early + bins.take()
+    for doc, size in enumerate(sizes):
+        own = sorted(p[1:4:2] + (p[2],) for p in ((p[0], p[1], p[2], tuple(p[3].tolist())) for p in placed) if p[0] == doc)
+        assert [x for _, ids, _ in own for x in ids] == list(range(size))
+    used = {}
+    for *_, sequence, offset in ((*p[:3], *p[5:]) for p in placed):
+        used.setdefault(sequence, []).append(offset)
+    lengths = {s: sum(p[2] for p in placed if p[5] == s) for s in used}
+    assert all(n <= capacity and n & (n - 1) == 0 for n in lengths.values())
+    assert sum(n < capacity for n in lengths.values()) <= capacity.bit_length()
 
 
 def _documents(spark, rows):
@@ -119,7 +157,7 @@ def test_packing_query_gives_checksums(spark):
     expected = word_encoding()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     found = op2_packing(spark, SMALL).collect()
-    for p in random.Random(2).sample(found, 300):
+    for p in found:
         ids = [*expected.encode(docs[p.doc_id], add_special_tokens=False).ids, 2][p.start:p.start + p.length]
         assert p.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
 
