@@ -43,11 +43,12 @@ CLOSES = {
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_WHOLE = frozenset(("article", "main"))
 DROPPED = frozenset(
-    "nav header footer aside script style textarea title iframe noembed noframes xmp noscript template head button select menu "
-    "dialog svg math object canvas audio video".split()
+    "script style textarea title iframe noembed noframes xmp noscript template head select svg math object canvas audio video".split()
 )
-#: May be boilerplate by their tag alone, or stand around a whole page.
-CANDIDATES = frozenset(("form",))
+#: May be boilerplate by their tag alone, or stand around a whole page, as where their end tag is missing.
+CANDIDATES = frozenset("form nav header footer aside menu dialog button".split())
+#: What can stand in a head; any other element, and any text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 #: Words that tell what an element is, where a whole class, id or role is made of them and of ``QUALIFIERS``.
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal "
@@ -115,6 +116,9 @@ def parse(page: str) -> Node:
 
     def add(text: str) -> None:
         _, block, link, dropped = stack[-1]
+        if stack[-1][0] == "head" and not text.isspace():
+            pop_to(len(stack) - 1)
+            _, block, link, dropped = stack[-1]
         if dropped or not text:
             return
         text = unescape(text)
@@ -169,6 +173,8 @@ def parse(page: str) -> Node:
                 if tag in INLINE and stack[place][0] not in INLINE:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop_to(len(stack) - 1)
         if tag in CLOSES_P or tag in CLOSES:
             closed, until = CLOSES.get(tag, ({"p"}, NEVER_DROPPED | {"td", "th", "li", "button", "table"}))
             place = found = len(stack)

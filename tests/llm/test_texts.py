@@ -273,6 +273,26 @@ def test_article_is_found(page):
     assert html.extract(page) == MAIN
 
 
+WHOLE_ARTICLE = "<article><h1>Title</h1><p>" + "The first long paragraph of the text. " * 6 + "</p><p>And a second one, of some length too.</p></article>"
+WHOLE_TEXT = "Title " + " ".join(["The first long paragraph of the text."] * 6) + " And a second one, of some length too."
+
+
+@pytest.mark.parametrize("page", [
+    "<head><title>x</title><body>{}",  # the end of a head may be left out, and so may its body
+    "<html><head><meta charset=utf-8><style>p {{}}</style>{}",
+    "<head><title>x</title></head>{}",
+    "<header><h2>Site</h2><nav><li><a href=/>Home</a><main>{}</main>",
+    "<nav><ul><li><a href=/>Home</a></ul><main>{}</main>",
+    "<header><main>{}</main></header><footer>About us</footer>",
+    "<aside>Menu {}</aside>",
+    "<body><button>Open<div>{}</div>",
+    "<body><dialog><p>Note</p></dialog>{}<menu><li>One</menu>",
+])
+def test_article_in_or_after_unclosed_parts(page):
+    found = html.extract(page.format(WHOLE_ARTICLE))
+    assert found == WHOLE_TEXT
+
+
 @pytest.mark.parametrize("page", [
     f"<body><div class='layout has-sidebar'><main><article>{ARTICLE}</article></main><div class=sidebar>Side text</div></div>",
     f"<body><div class='no-menu'><div class='fixed-header'><article>{ARTICLE}</article></div></div>",
