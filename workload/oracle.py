@@ -812,6 +812,8 @@ ORACLE: dict[str, str] = {
     "select p_partkey, count(*) as n_orders, min(o_custkey) as first, max(o_custkey) as last, cast(sum(o_orderkey) as bigint) as keys "
     "from i join orders on (low is null or o_custkey > low) and (high is null or o_custkey <= high) group by p_partkey",
     "u2_gaps": GAPS,
+    "s2_ranges": "select shard_rank as rank, example_index, md5(completion) as question_md5, md5(completion) as md5, gold as ground_truth, "
+    f"'}}' as prompt_input, cast(8 as bigint) as world_size, '{{\"generations\":[{{\"x\":\"]}}\"}}]}}' as config from {G}",
     "l6_scan": scan_sums(SCAN_STEPS, 0.25),
     "l4_closed_segment": f"select seq_id, segment, pos, {r6('softmax')} as pos_logp from {position_pairs(SEGMENT_END, 0.5, CLOSED)}",
     "l4_closed_position": f"select seq_id, segment, pos, {r6('softmax')} as pos_logp from {position_pairs('unmask_step', 0.5, CLOSED)}",

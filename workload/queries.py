@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,10 @@ from rollscore.operators import prompts as prompt_ops
 from rollscore.operators.losses import Loss
 from rollscore.plans import jobs
 from rollscore.recipe import load_recipe
+from rollscore.session import checkpoint_dir
 from rollscore.sources import sinks
 from rollscore.sources.questions import with_dense_index
+from rollscore.sources.ranges import read_rank_ranges
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -811,6 +814,31 @@ def range_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ranged_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Worker files, one JSON object each, written from orders, and read back by ranges."""
+    items = generations(spark, sf).select(
+        C("shard_rank").alias("rank"), C("example_index").alias("place"),
+        F.concat(F.to_json(F.struct(
+            "example_index", C("completion").alias("question"), F.lit("}").alias("prompt_input"), C("completion").alias("generations"),
+            C("gold").alias("ground_truth"),
+        )), F.lit(",")).alias("value"),
+    )
+    ranks = items.select("rank").distinct()
+    head = ranks.select("rank", F.lit(-1).cast("bigint").alias("place"), F.lit('{"dataset": "gsm8k", "generations": [').alias("value"))
+    tail = ranks.select("rank", F.lit(2**62).alias("place"), F.concat(
+        F.lit('{"example_index": -1}], "config": {"generations": [{"x": "]}"}]}, "world_size": 8, "rank": '), C("rank").cast("string"), F.lit("}")
+    ).alias("value"))
+    folder = f"{checkpoint_dir(spark)}/worker-files-{uuid.uuid4()}"
+    lines = items.unionByName(head).unionByName(tail).repartition("rank").sortWithinPartitions("rank", "place")
+    lines.select("rank", "value").write.partitionBy("rank").text(folder)
+    ranks, found = read_rank_ranges(spark, folder, "gsm8k", name="*.txt")
+    met = found.where("example_index >= 0").join(ranks.select("run", "world_size", C("config")), "run")
+    return met.select(
+        "rank", "example_index", F.md5("question").alias("question_md5"), F.md5("generations").alias("md5"), "ground_truth", "prompt_input",
+        "world_size", "config",
+    )
+
+
 def gap_query(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals of missing, repeated and outside examples of every run; runs lose some rows first."""
     rows = run_rows(spark, sf).where("example_index % 37 <> 5 or run = 'run2'")
@@ -920,6 +948,7 @@ QUERIES: dict[str, Query] = {
     "j7_asof": latest_click,
     "j5_ranges": range_query,
     "u2_gaps": gap_query,
+    "s2_ranges": ranged_files,
     "l6_scan": scan_query,
     "l4_closed_segment": closed_query("softmax", "segment"),
     "l4_closed_position": closed_query("softmax", "position"),
