@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscore.functions.text import let
+from rollscore.operators.kernel import pair_sums
 from rollscore.operators.scan import later_log_sums, log_sums
 from rollscore.operators.segments import segment_of, segment_width
 from rollscore.plans.skew import ROW_COUNT, SPLIT_ROWS, attach
@@ -155,6 +156,7 @@ def _log_sigmoid(x: Column) -> Column:
 
 def bradley_terry_logps(
     scores: DataFrame, steps: int, segments: int, scope: str = "segment", tau: float = 1.0, chunk: int = CHUNK,
+    blocks: bool = False,
 ) -> DataFrame:
     """L3: sum over the competitors of log-sigmoid of the score difference; 0 without competitors.
 
@@ -163,7 +165,8 @@ def bradley_terry_logps(
     completion shorter than ``chunk`` is one such row. The pairs of a longer one are joined by
     competitor chunk, so that they spread over as many tasks as it has chunks. Competitors are
     grouped by step: a target passes over the steps up to its threshold, not over their tokens,
-    and chunks without a later step are not joined at all.
+    and chunks without a later step are not joined at all. ``blocks`` sums a row's pairs in dense blocks of doubles
+    (``kernel``) instead of an expression: for long completions, where pairs cost more than rows.
     """
     threshold = _threshold(scope, steps, segments)
     part = F.floor(F.col("pos") / F.lit(chunk)).cast("bigint")
@@ -199,21 +202,30 @@ def bradley_terry_logps(
     chunks = rivals.groupBy(*SEGMENT_KEYS).agg(F.collect_list(F.struct("_rival_part", "_latest")).alias("_chunks"))
     met = F.filter("_chunks", lambda c: c["_latest"] > F.col("_earliest"))
     each = targets.join(chunks, SEGMENT_KEYS, "inner").withColumn("_rival_part", F.explode(met["_rival_part"]))
-    summed = (
-        each.join(rivals.drop("_latest"), [*SEGMENT_KEYS, "_rival_part"], "inner")
-        .select(*SEGMENT_KEYS, F.explode(F.transform("_targets", against_all)).alias("_one"))
-        .groupBy(*SEGMENT_KEYS, F.col("_one.pos").alias("pos"))
-        .agg(F.sum("_one.part_sum").alias("_sum"))
-    )
+    met = each.join(rivals.drop("_latest"), [*SEGMENT_KEYS, "_rival_part"], "inner")
+    if blocks:
+        flat = F.flatten(F.transform("_rivals", lambda r: F.transform(
+            r["_confidences"], lambda c: F.struct(r["_step"].cast("double").alias("_step"), c.alias("confidence"))
+        )))
+        kinds = [f"{k} {scores.schema[k].dataType.simpleString()}" for k in SEGMENT_KEYS]
+        each = met.select(*SEGMENT_KEYS, "_targets", flat.alias("_rivals")).mapInArrow(
+            lambda batches: pair_sums(batches, SEGMENT_KEYS, float(tau)), ", ".join([*kinds, "pos bigint, part_sum double"])
+        )
+    else:
+        each = met.select(*SEGMENT_KEYS, F.explode(F.transform("_targets", against_all)).alias("_one")).select(*SEGMENT_KEYS, "_one.*")
+    summed = each.groupBy(*SEGMENT_KEYS, "pos").agg(F.sum("part_sum").alias("_sum"))
     joined = scores.join(summed, [*SEGMENT_KEYS, "pos"], "left")
     return joined.select(*scores.columns, F.coalesce("_sum", F.lit(0.0)).alias("pos_logp"))
 
 
 def position_logps(
     scores: DataFrame, steps: int, segments: int, method: str = "bradley_terry", scope: str = "position",
-    tau: float = 1.0, scan: bool = False,
+    tau: float = 1.0, scan: bool = False, blocks: bool = False,
 ) -> DataFrame:
-    """Position log-probability of every scored row; 0 for tokens not revealed in the segment."""
+    """Position log-probability of every scored row; 0 for tokens not revealed in the segment.
+
+    ``scan`` and ``blocks`` choose another plan for the same values: see ``softmax_logps`` and ``bradley_terry_logps``.
+    """
     if method not in METHODS:
         raise ValueError(f"Unknown position likelihood method: {method}")
     if scope not in SCOPES:
@@ -222,4 +234,4 @@ def position_logps(
         raise ValueError("Position scoring temperature must be positive")
     if method == "softmax":
         return softmax_logps(scores, steps, segments, scope, tau, scan=scan)
-    return bradley_terry_logps(scores, steps, segments, scope, tau)
+    return bradley_terry_logps(scores, steps, segments, scope, tau, blocks=blocks)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rollscore.functions import logits
-from rollscore.operators import likelihood, position, segments
+from rollscore.operators import kernel, likelihood, position, segments
 from rollscore.plans import jobs
 from rollscore.recipe import Recipe
 
@@ -76,8 +77,10 @@ def test_hot_sequences_and_small_chunks(spark, scope):
     frame = spark.createDataFrame(rows, SCHEMA)
     soft = {(r.seq_id, r.segment, r.pos): r.pos_logp for r in position.softmax_logps(frame, STEPS, SEGMENTS, scope, split_rows=2).collect()}
     assert soft == pytest.approx(by_pairs(rows, "softmax", scope, 1.0))
-    pairs = {(r.seq_id, r.segment, r.pos): r.pos_logp for r in position.bradley_terry_logps(frame, STEPS, SEGMENTS, scope, chunk=7).collect()}
-    assert pairs == pytest.approx(by_pairs(rows, "bradley_terry", scope, 1.0))
+    for blocks in (False, True):
+        found = position.bradley_terry_logps(frame, STEPS, SEGMENTS, scope, chunk=7, blocks=blocks).collect()
+        pairs = {(r.seq_id, r.segment, r.pos): r.pos_logp for r in found}
+        assert pairs == pytest.approx(by_pairs(rows, "bradley_terry", scope, 1.0))
 
 
 def test_nothing_revealed_gives_zero(spark):
@@ -209,3 +212,29 @@ def test_a_missing_confidence_is_not_taken_for_no_competitor(spark):
     rows = [(0, 0, 0, 1, 1.0, 0.0), (0, 0, 1, 3, 1.0, None), (0, 0, 2, 4, 1.0, 0.5)]
     got = {r.pos: r.pos_logp for r in position.softmax_logps(spark.createDataFrame(rows, SCHEMA), STEPS, SEGMENTS, "position").collect()}
     assert got[0] is None and got[1] == pytest.approx(1 - log_sum_exp([1.0, 0.5])) and got[2] == 0.0
+
+
+@pytest.mark.parametrize("spread", [1.0, 30.0, 500.0])
+@pytest.mark.parametrize("steps", [1, 5, 4000])
+def test_kernel(monkeypatch, spread, steps):
+    """Blocks with and without masks and tails against the sum over all pairs."""
+    monkeypatch.setattr(kernel, "TARGETS", 16)
+    monkeypatch.setattr(kernel, "RIVALS", 32)
+    rng = np.random.default_rng(steps)
+    threshold, step = rng.integers(0, steps, 300).astype(float), rng.integers(0, steps + 1, 500).astype(float)
+    own, confidence = rng.normal(size=300) * spread, rng.normal(size=500) * spread
+    confidence[::7] = -np.inf
+    d = own[:, None] - confidence[None, :]
+    expected = ((np.minimum(d, 0) - np.log1p(np.exp(-np.abs(d)))) * (step[None, :] > threshold[:, None])).sum(axis=1)
+    assert np.allclose(kernel.log_sigmoid_sums(threshold, own, step, confidence), expected, rtol=1e-12, atol=1e-11)
+    assert len(kernel.log_sigmoid_sums(threshold[:0], own[:0], step, confidence)) == 0
+    assert not kernel.log_sigmoid_sums(threshold, own, step[:0], confidence[:0]).any()
+
+
+def test_blocks_keep_nulls(spark):
+    rows = [(0, 0, 0, 1, 1.0, 0.0), (0, 0, 1, 3, None, 0.25), (0, 0, 2, 4, 1.0, 0.5), (1, 0, 0, 1, 1.0, 0.0), (1, 0, 1, 2, 1.0, None)]
+    for blocks in (False, True):
+        found = position.bradley_terry_logps(spark.createDataFrame(rows, SCHEMA), STEPS, SEGMENTS, "position", blocks=blocks)
+        got = {(r.seq_id, r.pos): r.pos_logp for r in found.collect()}
+        assert got[0, 0] == pytest.approx(-math.log1p(math.exp(-0.75)) - math.log1p(math.exp(-0.5)))
+        assert got[0, 2] == 0.0 and got[1, 1] == 0.0

@@ -653,6 +653,22 @@ select seq_id, cast(sum(cast(round(v * 1e6) as bigint)) as bigint) as pos_logp_m
 """
 
 
+def block_sums(threshold: str) -> str:
+    """Equal targets and equal competitors of a document are counted once, with their numbers."""
+    return f"""
+with s as (select * from {SCORES}),
+ rival as (select seq_id, segment, unmask_step as st, confidence as c, count(*) as m from s where unmask_step >= 0 group by all),
+ target as (select *, unmask_step > segment * {WIDTH} and unmask_step <= (segment + 1) * {WIDTH} as here, {threshold} as th from s),
+ sums as (select t.seq_id, t.segment, t.th, t.own_score, sum(-m * ln(1 + exp(-(own_score - c) / 0.5))) as v
+          from (select distinct seq_id, segment, th, own_score from target where here) t
+          join rival r on r.seq_id = t.seq_id and r.segment = t.segment and r.st > t.th group by all)
+select t.seq_id, t.segment, cast(sum(cast(round(case when here then coalesce(v, 0) else 0 end * 1e6) as bigint)) as bigint) as pos_logp_micros,
+  {r6('min(case when here then coalesce(v, 0) else 0 end)')} as lowest, count(*) as n
+from target t left join sums x on x.seq_id = t.seq_id and x.segment = t.segment and x.th = t.th and x.own_score = t.own_score
+group by t.seq_id, t.segment
+"""
+
+
 CLOSED = f"(select * replace (case when (pos + seq_id) % 3 = 0 then cast('-infinity' as double) else top end as top) from {SEGMENT_REDUCED})"
 
 
@@ -814,6 +830,8 @@ ORACLE: dict[str, str] = {
     "u2_gaps": GAPS,
     "s2_ranges": "select shard_rank as rank, example_index, md5(completion) as question_md5, md5(completion) as md5, gold as ground_truth, "
     f"'}}' as prompt_input, cast(8 as bigint) as world_size, '{{\"generations\":[{{\"x\":\"]}}\"}}]}}' as config from {G}",
+    "l3_block_segment": block_sums(SEGMENT_END),
+    "l3_block_position": block_sums("unmask_step"),
     "l6_scan": scan_sums(SCAN_STEPS, 0.25),
     "l4_closed_segment": f"select seq_id, segment, pos, {r6('softmax')} as pos_logp from {position_pairs(SEGMENT_END, 0.5, CLOSED)}",
     "l4_closed_position": f"select seq_id, segment, pos, {r6('softmax')} as pos_logp from {position_pairs('unmask_step', 0.5, CLOSED)}",

@@ -763,6 +763,17 @@ def long_position_query(scope: str) -> Query:
     return query
 
 
+def block_query(scope: str) -> Query:
+    """The Bradley-Terry form over every word of every document, summed per sequence and segment."""
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        table = position.position_logps(position_rows(spark, sf), fx.STEPS, fx.SEGMENTS, "bradley_terry", scope, 0.5, blocks=True)
+        return rounded(table.groupBy("seq_id", "segment").agg(
+            F.sum(micros(C("pos_logp"))).alias("pos_logp_micros"), F.min("pos_logp").alias("lowest"), F.count(F.lit(1)).alias("n")
+        ))
+
+    return query
+
+
 SCAN_STEPS = 4096
 
 
@@ -950,6 +961,8 @@ QUERIES: dict[str, Query] = {
     "u2_gaps": gap_query,
     "s2_ranges": ranged_files,
     "l6_scan": scan_query,
+    "l3_block_segment": block_query("segment"),
+    "l3_block_position": block_query("position"),
     "l4_closed_segment": closed_query("softmax", "segment"),
     "l4_closed_position": closed_query("softmax", "position"),
     "l3_closed_segment": closed_query("bradley_terry", "segment"),
