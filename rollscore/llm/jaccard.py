@@ -39,7 +39,7 @@ from rollscore.llm.words import lanes_of, runs
 from rollscore.session import cut_lineage
 
 #: Cells of the sketch, and of a row that carries a part of it.
-CELLS, CELLS_PER_ROW = 1 << 20, 1 << 12
+CELLS, CELLS_PER_ROW = 1 << 22, 1 << 14
 #: How many looked-up shingles cost as much as one verification.
 VERIFY_COST = 16
 #: Up to so many rows of a few numbers are sent to the texts or prefixes; beyond, those are shuffled to them.
@@ -77,7 +77,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+    return (hashes >> np.uint64(42)).astype(np.int64)
 
 
 def _sketch(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -89,19 +89,26 @@ def _sketch(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Record
     rows = [counts[i:i + CELLS_PER_ROW] for i in range(0, CELLS, CELLS_PER_ROW)]
     full = [i for i, r in enumerate(rows) if r.any()]
     yield pa.record_batch(
-        [pa.array(full, pa.int32()), pa.array([rows[i].astype("<i4").tobytes() for i in full], pa.binary())], ["part", "counts"]
+        [pa.array(full, pa.int32()), pa.array([_narrow(rows[i]) for i in full], pa.binary())], ["part", "counts"]
     )
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; the length tells how many."""
+    return counts.astype(np.min_scalar_type(counts.max()).newbyteorder("<")).tobytes()
+
+
 def _add(table: pa.Table) -> pa.Table:
-    counts = np.sum([np.frombuffer(x, "<i4") for x in table.column("counts").to_pylist()], axis=0, dtype=np.int64)
+    counts = np.zeros(CELLS_PER_ROW, np.int64)
+    for packed in table.column("counts").to_pylist():
+        counts += np.frombuffer(packed, f"<u{len(packed) // CELLS_PER_ROW}").astype(np.int64)
     return pa.table({"part": table.column("part")[:1], "total": pa.array([counts.tobytes()], pa.binary())})
 
 
 def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     """How many documents' shingles fall into each of ``CELLS`` cells: a fixed size, over all documents."""
     parts = docs.mapInArrow(lambda b: _sketch(b, words), "part int, counts binary")
-    counts = np.zeros(CELLS, np.int64)
+    counts = np.zeros(CELLS, np.float32)  # only their order counts, and about how large they are
     for row in parts.groupBy("part").applyInArrow(_add, "part int, total binary").collect():
         counts[row.part * CELLS_PER_ROW:(row.part + 1) * CELLS_PER_ROW] = np.frombuffer(row.total, "<i8")
     return counts

@@ -292,7 +292,7 @@ def test_no_documents(spark):
 def test_prefixes_grow_with_the_cost_of_candidates():
     rare, common = np.arange(100, dtype=np.uint64), np.arange(100, dtype=np.uint64) + np.uint64(1 << 45)
     counts = np.zeros(jaccard.CELLS, np.int64)
-    counts[2] = 100_000
+    counts[jaccard._cell(common)] = 100_000
     assert jaccard.prefix(rare, counts, counts.mean(), (90, 100))[1] == 1
     shingles_, matches = jaccard.prefix(common, counts, counts.mean(), (90, 100))
     assert matches == 11 and len(shingles_) == 11 + matches - 1
