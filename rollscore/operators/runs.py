@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollscore.functions.answers import extract_gsm_prediction, extract_math_prediction
-from rollscore.functions.mathnorm import is_equiv
+from rollscore.functions.mathnorm import is_close, is_equiv
 from rollscore.functions.ranges import each_below
 from rollscore.functions.text import to_float
 
@@ -36,7 +36,9 @@ def score_generations(generations: DataFrame, dataset: str) -> DataFrame:
     if dataset == "math":
         scored = generations.withColumn("extracted_answer", extract_math_prediction(text))
         answer = F.col("extracted_answer")
-        return scored.withColumn("is_correct", answer.isNotNull() & is_equiv(answer, gold))
+        # A gold column of numbers is compared as numbers, one of texts by their normal form.
+        same = is_equiv if dict(generations.dtypes)["ground_truth"] == "string" else is_close
+        return scored.withColumn("is_correct", answer.isNotNull() & same(answer, gold))
     raise ValueError(f"Unknown dataset: {dataset}")
 
 

@@ -237,3 +237,10 @@ def test_run_progress(spark, tmp_path):
     write(landing, files[1])
     row = progress()
     assert not row.is_complete and row.problem == "duplicate or invalid rank" and row.total == 9
+
+
+def test_numeric_gold_of_math(spark):
+    rows = [(0, "\\boxed{0.5}", 0.5), (1, "\\boxed{0.5000000001}", 0.5), (2, "\\boxed{0.6}", 0.5), (3, "\\boxed{x}", 0.5), (4, "\\boxed{1}", None)]
+    frame = spark.createDataFrame(rows, "example_index int, generations string, ground_truth double")
+    scored = runs.score_generations(frame, "math").orderBy("example_index").collect()
+    assert [r.is_correct for r in scored] == [True, True, False, False, False]
