@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollscore.session import cut_lineage
+from rollscore.session import checkpoint_dir
 
 MAX_ROUNDS = 100
 #: Mixed into join keys, so that neither side of a join reuses the partitions of an aggregate: both
@@ -24,6 +26,13 @@ def _lows(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("low"))
 
 
+def _written(edges: DataFrame) -> DataFrame:
+    """``edges`` as a table of its own: a checkpoint would hand estimated sizes on, whose digits double with each round."""
+    path = f"{checkpoint_dir(edges.sparkSession)}/links-{uuid.uuid4()}"
+    edges.write.parquet(path)
+    return edges.sparkSession.read.parquet(path)
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
@@ -38,7 +47,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     x, y = F.col(a).cast("bigint"), F.col(b).cast("bigint")
     now = edges.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"), (x != y).alias("_two"))
-    now = cut_lineage(now.where("_two").select("hi", "lo").distinct())
+    now = _written(now.where("_two").select("hi", "lo").distinct())
     state = _state(now)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
@@ -49,7 +58,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.when(F.col("lo") == F.col("low"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("low").alias("lo")
         )
         # A node with several neighbours keeps an edge to the smallest by the row of that neighbour.
-        now = cut_lineage(moved.where("hi <> lo").distinct())
+        now = _written(moved.where("hi <> lo").distinct())
         before, state = state, _state(now)
         if state == before:
             break
