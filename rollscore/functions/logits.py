@@ -58,12 +58,12 @@ def confidence(logits: Column, method: str) -> Column:
         )))
     if method == "margin":
         return let(as_doubles(logits), lambda l: let(log_sum_exp(l), lambda z: let(
-            _top_two(l), lambda two: F.exp(two["first"] - z) - F.exp(two["second"] - z)
+            top_two(l), lambda two: F.exp(two["first"] - z) - F.exp(two["second"] - z)
         )))
     raise ValueError(f"Unknown confidence method: {method}")
 
 
-def _top_two(logits: Column) -> Column:
+def top_two(logits: Column) -> Column:
     """The two highest values in one pass, without sorting the vocabulary."""
     low = F.lit(float("-inf"))
     start = F.struct(low.alias("first"), low.alias("second"))

@@ -17,6 +17,9 @@ from rollscore.functions.tokens import is_hidden, mask_state
 from rollscore.functions.text import let
 from rollscore.plans.skew import ROW_COUNT, SPLIT_ROWS, attach, attach_aggregates
 
+#: Positions of a packed row: bounds its size, never changes a result.
+PACKED = 4096
+
 
 def segment_width(steps: int, segments: int) -> int:
     if segments < 1 or steps < segments:
@@ -82,6 +85,51 @@ def segment_inputs(
     )
 
 
+def pack_tokens(traj: DataFrame, by: Sequence[str] = ("batch_id",), block: int = PACKED) -> DataFrame:
+    """T3, stored: one row per ``block`` positions of a sequence, its tokens in the order of their reveal.
+
+    Prompt tokens (NULL step) come first, then those never revealed (-1). The state at any step
+    follows from this row, so a sequence is stored and shuffled once, not once per segment.
+    """
+    part = F.floor(F.col("pos") / F.lit(block)).cast("bigint")
+    entries = F.array_sort(F.collect_list(F.struct("unmask_step", "pos", "token_id")))
+    packed = traj.groupBy(*by, "seq_id", part.alias("part")).agg(entries.alias("_entries"))
+    return packed.select(*by, "seq_id", "part", *[
+        F.col("_entries")[c].alias(name)
+        for c, name in (("unmask_step", "unmask_steps"), ("pos", "positions"), ("token_id", "token_ids"))
+    ])
+
+
+def packed_inputs(
+    packed: DataFrame, steps: int, segments: int, mask_id: int, by: Sequence[str] = ("batch_id",),
+    split_rows: int = SPLIT_ROWS,
+) -> DataFrame:
+    """T3 from packed rows: per active segment of a batch and packed row, arrays of the state.
+
+    One row per (segment, packed row) with ``positions, input_ids, is_hidden, is_target, token_ids``,
+    in one order. States are rebuilt after the last shuffle. ``unpack_inputs`` gives ``segment_inputs``' rows.
+    """
+    width = segment_width(steps, segments)
+    found = F.array_distinct(F.transform("unmask_steps", lambda s: segment_of(s, steps, segments)))
+    ones = packed.select(*by, F.explode_outer(found).alias("_own"))
+    each = attach(packed, _segments_found(ones, F.col("_own"), by), by, split_rows).withColumn("segment", F.explode("_found"))
+    start, own = F.col("segment") * width, F.col("unmask_steps")
+    return each.select(
+        *by, "segment", "seq_id", "part", "positions",
+        F.zip_with("token_ids", own, lambda t, s: mask_state(t, s, start, mask_id)).alias("input_ids"),
+        F.transform(own, lambda s: F.coalesce(is_hidden(s, start), F.lit(False))).alias("is_hidden"),
+        F.transform(own, lambda s: F.coalesce(segment_of(s, steps, segments) == F.col("segment"), F.lit(False))).alias("is_target"),
+        "token_ids",
+    )
+
+
+def unpack_inputs(inputs: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """``segment_inputs``' rows from ``packed_inputs``': one per (segment, token), nothing is shuffled."""
+    names = {"positions": "pos", "input_ids": "input_id", "is_hidden": "is_hidden", "is_target": "is_target", "token_ids": "token_id"}
+    tokens = inputs.select(*by, "segment", "seq_id", F.explode(F.arrays_zip(*names)).alias("_token"))
+    return tokens.select(*by, "segment", "seq_id", *[F.col("_token")[c].alias(name) for c, name in names.items()])
+
+
 def sample_segments(
     segmented: DataFrame, k: int, segments: int, iterations: int, step: Column | None = None,
     by: Sequence[str] = ("batch_id",),

@@ -28,10 +28,22 @@ def completion_log(rows: DataFrame, every: int) -> DataFrame:
     return rows.where(F.col("step") % every == 0).select("step", "prompt", "completion", "reward")
 
 
-def write_completion_log(rows: DataFrame, path: str, every: int) -> None:
+def _batch_folder(path: str, batch: int) -> str:
+    return f"{path}/batch={int(batch)}"
+
+
+def write_completion_log(rows: DataFrame, path: str, every: int, batch: int | None = None) -> None:
+    """With ``batch`` the rows replace what that batch has written before, and nothing else.
+
+    Without it they are appended. A log is written one way or the other: with batches it has the
+    further column ``batch``.
+    """
     # A step's rows come together before they are written, in as many files as their size asks for.
-    log = completion_log(rows, every).hint("rebalance", "step")
-    log.write.mode("append").partitionBy("step").parquet(path)
+    writer = completion_log(rows, every).hint("rebalance", "step").write.partitionBy("step")
+    if batch is None:
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").parquet(_batch_folder(path, batch))
 
 
 def metric_log(metrics: DataFrame, by: Sequence[str] = ("step",), prefix: str = "") -> DataFrame:
@@ -54,5 +66,12 @@ def write_token_table(
     df.write.mode("errorifexists").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
 
 
-def write_metrics(metrics: DataFrame, path: str, by: Sequence[str] = ("step",), prefix: str = "") -> None:
-    metric_log(metrics, by, prefix).write.mode("append").parquet(path)
+def write_metrics(
+    metrics: DataFrame, path: str, by: Sequence[str] = ("step",), prefix: str = "", batch: int | None = None
+) -> None:
+    """With ``batch`` the rows replace what that batch has written before, else they are appended."""
+    log = metric_log(metrics, by, prefix)
+    if batch is None:
+        log.write.mode("append").parquet(path)
+    else:
+        log.write.mode("overwrite").parquet(_batch_folder(path, batch))

@@ -177,6 +177,13 @@ def test_token_and_position_likelihood_jobs(spark):
         rivals = [max(r[5]) for r in rows if r[0] == seq and r[1] == segment and r[4] > segment * 2 + 2]
         assert pos[seq, p] == pytest.approx(values[target] - log_sum_exp([values[target], *rivals]))
     assert token[0, 0] == 0.0 and pos[1, 0] == 0.0
+    # Drawn segments keep their values; tokens of the others are unknown, those outside all stay 0.
+    batch, own = F.floor(F.col("seq_id") / 2).cast("bigint"), {(r[0], r[2]): r[1] for r in rows if r[1] * 2 < r[4] <= r[1] * 2 + 2}
+    drawn = spark.createDataFrame([(0, 0, 1), (0, 1, 1)], "batch_id bigint, iter int, segment bigint")
+    some = jobs.position_likelihood(frame.withColumn("batch_id", batch), traj, recipe, drawn).collect()
+    assert {(r.seq_id, r.pos): r.pos_logp for r in some} == {
+        k: 0.0 if k not in own else pos[k] if own[k] == 1 else None for k in pos
+    }
     bare = frame.drop("token_id", "unmask_step")
     joined = likelihood.with_targets(bare, traj)
     assert joined.count() == 16

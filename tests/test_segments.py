@@ -56,6 +56,26 @@ def test_segment_inputs_show_the_state_at_the_start(spark, split_rows):
     assert [seen[1, 1, p] for p in range(4)] == [(6, False), (5, False), (4, False), (0, True)]
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+@pytest.mark.parametrize("split_rows", [1_000_000, 2])
+def test_packed_inputs_equal_segment_inputs(spark, block, split_rows):
+    """Prompt tokens, tokens never revealed, repeated ones and a batch without segments."""
+    rows = [(b, s, p, 10 * s + p, (p * 5 + s) % 7 - 1) for b, s in ((0, 0), (0, 1), (1, 2)) for p in range(9)]
+    rows += [(0, 0, 9, 5, None), (0, 0, 3, 3, 2), (2, 3, 0, 1, 0), (2, 3, 1, 1, -1), (None, 4, 0, None, 3), (1, 2, 9, 7, 99)]
+    traj = spark.createDataFrame(rows, "batch_id long, seq_id long, pos long, token_id long, unmask_step long")
+    expected = segments.segment_inputs(segments.assign_segment(traj, 6, 3), 6, 3, 0)
+    packed = segments.pack_tokens(traj, block=block)
+    assert packed.selectExpr("max(size(positions))").first()[0] <= block + 1  # One position is there twice.
+    got = segments.unpack_inputs(segments.packed_inputs(packed, 6, 3, 0, split_rows=split_rows))
+    assert got.columns == expected.columns
+
+    def ordered(df):
+        return sorted(df.collect(), key=str)
+
+    assert ordered(got) == ordered(expected) and got.count() > 40
+    assert segments.packed_inputs(packed.limit(0), 6, 3, 0).collect() == []
+
+
 def batches(spark):
     """Batch 0 has candidates 0..3, batch 1 only segment 2, batch 2 none."""
     rows = [(0, s, p, 1, p * 4 + 1) for s in range(3) for p in range(4)]

@@ -746,6 +746,7 @@ ORACLE: dict[str, str] = {
     "r7_boxed": on_reward(boxed_format("completion")),
     "f1_reward_table": f"select step, group_id, sample_id, func, {r6('reward')} as reward from {LONG}",
     "f1_documents": f"select group_id, sample_id, func, {r6('reward')} as reward from {all_rewards(DOCUMENTS, 'group_id, sample_id', 'gold')}",
+    "f3_store": rf"select example_index, case when completion <> '' then cast(length(regexp_replace(completion, '[^0-9]', '', 'g')) as double) end as reward from {G}",
     "j2_gold": f"with g as (select * from {G}), k as (select group_id, max(gold) as answer from g group by group_id) "
     f"select example_index, g.group_id, answer, {correct('completion', 'answer')} as reward from g join k on g.group_id = k.group_id",
     "j2_lost": f"with g as (select * from {G}), k as (select group_id, max(gold) as answer from g where group_id % 5 <> 0 group by group_id) "
@@ -780,6 +781,9 @@ ORACLE: dict[str, str] = {
     "s6_metrics": f"select step, 'reward/' || name as name, {r9('value')} as value from (unpivot (select step, reward_mean, reward_std, "
     f"zero_std_ratio, cast(n_samples as double) as n_samples from {REWARD_STATS}) on reward_mean, reward_std, zero_std_ratio, n_samples "
     "into name name value value)",
+    "s1_quarantine": "select doc_id as example_index, case when doc_id % 6 = 0 then 'malformed line' when doc_id % 6 = 4 or text is null then 'no question' "
+    "when doc_id % 6 = 3 then 'no gold' when doc_id % 6 in (1, 2) then 'no readable box' else '' end as reason, "
+    "case when doc_id % 6 not in (0, 4) then cast(length(text) as bigint) end as n_chars from documents",
     "p13_shard": f"select example_index, example_index % 7 as rank, (example_index // 7) // 4 as batch from {G}",
     "p13_one_shard": f"select example_index from {G} where example_index % 8 = 3",
     "p14_shuffle": f"select example_index, row_number() over (order by md5('{SEED}|' || cast(example_index as varchar)), example_index) - 1 as position from {G}",
@@ -813,6 +817,7 @@ ORACLE: dict[str, str] = {
     "t1_segment": f"select seq_id, pos, coalesce(segment, -1) as segment from {SEGMENTED}",
     "t2_active": f"select distinct seq_id, segment from {SEGMENTED} where segment is not null",
     "t3_inputs": INPUTS,
+    "t3_packed": INPUTS,
     "k4_sample": f"select batch_id, iter, segment from {SAMPLES}",
     "t5_sample_mask": "select seq_id, iter, count(*) filter (where is_sampled) as n_sampled, "
     f"cast(coalesce(sum(case when is_sampled then pos end), 0) as bigint) as checksum from {MASKED} group by seq_id, iter",
@@ -864,6 +869,10 @@ ORACLE: dict[str, str] = {
     "r9_confidence": f"select vec_id, {r6('top')} as max_logit, {r6('exp(top - lse)')} as top_prob, {r6('neg_entropy')} as neg_entropy, "
     f"{r6('exp(top - lse) - exp(second - lse)')} as margin from {REDUCED}",
     "r10_cfg": f"select vec_id, tok as token, {r6('x * 0.5 + 2.5 * (x - x * 0.5)')} as value from {CELLS}",
+    "r8_chunks": f"select vec_id, {r6('tgt - lse')} as logp, {r6('top')} as max_logit, {r6('exp(top - lse)')} as top_prob, "
+    f"{r6('neg_entropy')} as neg_entropy, {r6('exp(top - lse) - exp(second - lse)')} as margin, best as token from {REDUCED}",
+    "r10_chunks": f"select vec_id, case when vec_id % 9 <> 0 then {r6('tgt - lse')} end as logp, case when vec_id % 9 <> 0 then {r6('top')} end as max_logit "
+    f"from {reduced(f'(select * replace (x * 0.5 + 2.5 * (x - x * 0.5) as x) from {CELLS})', VKEYS)}",
     "r11_gumbel": f"select vec_id, arg_max(tok, s) as token, {r6('max(s)')} as score from (select vec_id, tok, exp(x) / pow(-ln({CELL_U}), 0.9::double) as s from {CELLS}) group by vec_id",
     "r10_lost": f"select vec_id, {r6('case when vec_id % 3 <> 0 then max(x * 0.5 + 2.5 * (x - x * 0.5)) end')} as top from {CELLS} group by vec_id",
     "r12_infinite": f"select vec_id, vec_id % 7 = 0 as is_closed, case when vec_id % 7 <> 0 then {r6(f'exp(top - lse) + ({GUMBEL}) * 0.5')} end as noisy "

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from rollscore.functions import answers, logits, mathnorm, prompts, sampling, to
 from rollscore.functions.ranges import each_below
 from rollscore.functions.rewards import REWARDS, TASK_REWARDS
 from rollscore.operators import (
-    advantages, gaps, joins, likelihood, losses, position, rewards, runs, schedule, segments, trace,
+    advantages, gaps, joins, likelihood, losses, position, rewards, runs, schedule, segments, trace, vocabulary,
 )
 from rollscore.operators import prompts as prompt_ops
 from rollscore.operators.losses import Loss
@@ -20,8 +21,9 @@ from rollscore.plans import jobs
 from rollscore.recipe import load_recipe
 from rollscore.session import checkpoint_dir
 from rollscore.sources import sinks
-from rollscore.sources.questions import with_dense_index
+from rollscore.sources.questions import checked_questions, quarantine, with_dense_index
 from rollscore.sources.ranges import read_rank_ranges
+from rollscore.sources.store import score_once
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +479,23 @@ def inputs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def packed_states(spark: SparkSession, sf: str) -> DataFrame:
+    """T3 from stored packed rows: sums over the arrays, no row per token."""
+    folder = f"{checkpoint_dir(spark)}/packed-{uuid.uuid4()}"
+    segments.pack_tokens(traj(spark, sf)).write.parquet(folder)
+    rows = segments.packed_inputs(spark.read.parquet(folder), fx.STEPS, fx.SEGMENTS, fx.MASK_ID)
+
+    def number(flags: str) -> Column:
+        return F.sum(F.size(F.filter(flags, lambda x: x)).cast("bigint"))
+
+    sums = F.zip_with("input_ids", "positions", lambda t, p: t * (p + 1))
+    return rows.groupBy("seq_id", "segment").agg(
+        F.sum(F.size("positions").cast("bigint")).alias("n_tokens"), number("is_hidden").alias("n_hidden"),
+        number("is_target").alias("n_targets"),
+        F.sum(F.aggregate(sums, F.lit(0).cast("bigint"), lambda total, x: total + x)).alias("checksum"),
+    )
+
+
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     return segments.sample_segments(segmented(spark, sf), fx.SAMPLED, fx.SEGMENTS, fx.ITERATIONS, C("batch_id"))
 
@@ -639,6 +658,24 @@ def guided_lost(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("vec_id", r6(F.array_max("logits")).alias("top"))
 
 
+CHUNK_WIDTH = 10  # Does not divide an embedding's length, so the last chunk is a short one.
+
+
+def chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """R8, R9, K2 from rows of ten logits each."""
+    rows = vocabulary.split_logits(logit_rows(spark, sf).select("vec_id", "token_id", "logits"), CHUNK_WIDTH)
+    return rounded(vocabulary.chunk_scores(rows, ["vec_id"], CHUNK_WIDTH, "token_id"))
+
+
+def chunked_guided(spark: SparkSession, sf: str) -> DataFrame:
+    """R10 chunk by chunk, then R8: the second pass is scaled down, and every ninth row lost its first chunk."""
+    rows = vocabulary.split_logits(logit_rows(spark, sf).select("vec_id", "token_id", "logits"), CHUNK_WIDTH)
+    other = rows.where((C("vec_id") % 9 != 0) | (C("chunk") != 0)).withColumn("logits", F.transform("logits", lambda x: x * 0.5))
+    both = likelihood.combine_passes(rows, other, 1.5, ["vec_id", "chunk"])
+    scores = vocabulary.chunk_scores(both, ["vec_id"], CHUNK_WIDTH, "token_id")
+    return rounded(scores.select("vec_id", "logp", "max_logit"))
+
+
 def gumbel(spark: SparkSession, sf: str) -> DataFrame:
     noisy = logit_rows(spark, sf).withColumn("scores", logits.gumbel_scores(C("logits"), 0.9, SEED, [C("vec_id")]))
     return noisy.select(
@@ -825,6 +862,40 @@ def range_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def digit_reward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A model's stand-in: the number of digits of a completion; none applies to an empty one."""
+    for batch in batches:
+        digits = batch["completion"].str.count("[0-9]").astype("float64")
+        yield batch[["text_key"]].assign(reward=digits.where(batch["completion"] != ""))
+
+
+def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """a first batch of half the samples fills the store, then all samples are scored with it."""
+    folder = f"{checkpoint_dir(spark)}/rewards-{uuid.uuid4()}"
+    rows = generations(spark, sf).select("example_index", "sample_id", "completion")
+    score_once(rows.where(C("sample_id") < 2), "digits", ["completion"], digit_reward, folder)
+    return score_once(rows, "digits", ["completion"], digit_reward, folder).select("example_index", "reward")
+
+
+def quarantined(spark: SparkSession, sf: str) -> DataFrame:
+    """Question files written from documents, with one line in six of each defect."""
+    case = C("doc_id") % 6
+    solution = (
+        F.when(case == 1, "no box").when(case == 2, "\\boxed{1").when(case != 3, F.concat(F.lit("\\boxed{"), C("doc_id").cast("string"), F.lit("}")))
+    )
+    line = F.to_json(F.struct(
+        C("doc_id").alias("example_index"), F.when(case != 4, C("text")).alias("problem"), solution.alias("solution")
+    ))
+    cut = F.when(case == 0, F.expr("substring(line, 1, length(line) - 1)")).otherwise(C("line"))
+    folder = f"{checkpoint_dir(spark)}/questions-{uuid.uuid4()}"
+    fx.read(spark, sf, "documents").select("doc_id", line.alias("line")).select(cut.alias("value")).write.text(f"{folder}/lines")
+    accepted, rejected = quarantine(checked_questions(spark, f"{folder}/lines", "math"), f"{folder}/checked")
+    index = F.coalesce("example_index", F.regexp_extract("line", r'"example_index":(\d+)', 1).cast("bigint"))
+    return accepted.select("example_index", F.lit("").alias("reason"), F.length("problem").cast("bigint").alias("n_chars")).unionByName(
+        rejected.select(index.alias("example_index"), "reason", F.length("problem").cast("bigint").alias("n_chars"))
+    )
+
+
 def ranged_files(spark: SparkSession, sf: str) -> DataFrame:
     """Worker files, one JSON object each, written from orders, and read back by ranges."""
     items = generations(spark, sf).select(
@@ -905,6 +976,7 @@ QUERIES: dict[str, Query] = {
     "r7_boxed": reward_query("boxed_format"),
     "f1_reward_table": long_rewards,
     "f1_documents": documents_rewards,
+    "f3_store": stored_scores,
     "j2_gold": gold_join,
     "j2_lost": lost_gold,
     "j2_without_gold": prompts_without_gold,
@@ -940,6 +1012,7 @@ QUERIES: dict[str, Query] = {
     "p4_template": template,
     "p8_bootstrap": bootstrap,
     "s1_dense_index": dense_index,
+    "s1_quarantine": quarantined,
     "p5_truncate": truncated,
     "p6_pad": padded,
     "p7_split": split_ids,
@@ -951,6 +1024,7 @@ QUERIES: dict[str, Query] = {
     "t1_segment": segment_rows,
     "t2_active": active,
     "t3_inputs": inputs,
+    "t3_packed": packed_states,
     "k4_sample": sampled,
     "t5_sample_mask": mask_rows,
     "a8_coverage": coverage,
@@ -989,6 +1063,8 @@ QUERIES: dict[str, Query] = {
     "r8_token_logp": token_logps,
     "r9_confidence": confidences,
     "r10_cfg": guided,
+    "r8_chunks": chunked,
+    "r10_chunks": chunked_guided,
     "r11_gumbel": gumbel,
     "r10_lost": guided_lost,
     "r12_noise": noise,
