@@ -15,7 +15,7 @@ from rollscore.functions.ranges import below, each_below
 from rollscore.functions.sampling import digest
 from rollscore.functions.tokens import is_hidden, mask_state
 from rollscore.functions.text import let
-from rollscore.plans.skew import ROW_COUNT, SPLIT_ROWS, attach, attach_aggregates
+from rollscore.plans.skew import ROW_COUNT, SPLIT_ROWS, attach_aggregates, attach_few
 
 #: Positions of a packed row: bounds its size, never changes a result.
 PACKED = 4096
@@ -47,7 +47,7 @@ def eos_mask(
 ) -> DataFrame:
     """``is_valid`` up to and including a sequence's first end token; all valid without one."""
     first_eos = F.min(F.when(F.col("token_id") == eos_id, F.col("pos")))
-    marked = attach_aggregates(traj, keys, split_rows, _eos=first_eos)
+    marked = attach_aggregates(traj, keys, split_rows, many=True, _eos=first_eos)
     return marked.withColumn("is_valid", F.coalesce(F.col("pos") <= F.col("_eos"), F.lit(True))).drop("_eos")
 
 
@@ -73,7 +73,7 @@ def segment_inputs(
     tokens as one array.
     """
     width = segment_width(steps, segments)
-    marked = attach(segmented, _segments_found(segmented, F.col("segment"), by), by, split_rows)
+    marked = attach_few(segmented, _segments_found(segmented, F.col("segment"), by), by, split_rows)
     each = marked.withColumnRenamed("segment", "_own").withColumn("segment", F.explode("_found"))
     start = F.col("segment") * width
     return each.select(
@@ -92,7 +92,7 @@ def pack_tokens(traj: DataFrame, by: Sequence[str] = ("batch_id",), block: int =
     follows from this row, so a sequence is stored and shuffled once, not once per segment.
     """
     part = F.floor(F.col("pos") / F.lit(block)).cast("bigint")
-    entries = F.array_sort(F.collect_list(F.struct("unmask_step", "pos", "token_id")))
+    entries = F.sort_array(F.collect_list(F.struct("unmask_step", "pos", "token_id")))
     packed = traj.groupBy(*by, "seq_id", part.alias("part")).agg(entries.alias("_entries"))
     return packed.select(*by, "seq_id", "part", *[
         F.col("_entries")[c].alias(name)
@@ -112,7 +112,7 @@ def packed_inputs(
     width = segment_width(steps, segments)
     found = F.array_distinct(F.transform("unmask_steps", lambda s: segment_of(s, steps, segments)))
     ones = packed.select(*by, F.explode_outer(found).alias("_own"))
-    each = attach(packed, _segments_found(ones, F.col("_own"), by), by, split_rows).withColumn("segment", F.explode("_found"))
+    each = attach_few(packed, _segments_found(ones, F.col("_own"), by), by, split_rows).withColumn("segment", F.explode("_found"))
     start, own = F.col("segment") * width, F.col("unmask_steps")
     return each.select(
         *by, "segment", "seq_id", "part", "positions",
@@ -171,7 +171,7 @@ def sample_mask(
         F.first(ROW_COUNT).alias(ROW_COUNT),
         F.collect_list(F.struct("iter", "segments")).alias("_draws"),
     )
-    joined = attach(segmented, per_batch, by, split_rows).drop(ROW_COUNT)
+    joined = attach_few(segmented, per_batch, by, split_rows).drop(ROW_COUNT)
     each = joined.withColumn("_draw", F.explode("_draws"))
     hit = F.array_contains(F.col("_draw")["segments"], F.col("segment"))
     return each.select(

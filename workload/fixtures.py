@@ -225,10 +225,16 @@ USED_COLUMNS = {
 TABLES = tuple(USED_COLUMNS)
 
 
+#: Rows of a task at most: a document holds hundreds of words, and what a task sorts or keeps for its shuffle grows with them.
+TASK_ROWS = {"documents": 2_500}
+OTHER_ROWS = 250_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's columns, dealt over the cores: the given files are single splits."""
+    """A table's columns, dealt over the cores: the given files are single splits. A larger table has more tasks, not larger ones."""
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*USED_COLUMNS[table])
-    return rows.repartition(spark.sparkContext.defaultParallelism)
+    tasks = -(-rows.count() // TASK_ROWS.get(table, OTHER_ROWS))
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, tasks))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
