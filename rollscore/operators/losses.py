@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollscore.plans.packed import left_join
 from rollscore.plans.skew import SPLIT_ROWS, attach, with_counts
 
 LOSS_TYPES = ("reinforce", "grpo", "dapo", "gspo", "gspo_token")
@@ -55,16 +56,21 @@ class Loss:
 
 def align(
     new: DataFrame, old: DataFrame | None = None, ref: DataFrame | None = None,
-    keys: Sequence[str] = ("batch_id", "seq_id", "pos"),
+    keys: Sequence[str] = ("batch_id", "seq_id", "pos"), packed: bool = False,
 ) -> DataFrame:
     """New, old and reference log-probabilities side by side; old is new if not logged.
 
     Every token of ``new`` stays; a value that was not logged is NULL. ``unmatched`` counts those,
     ``require`` refuses them. Keys are unique per token, so the joins shuffle evenly; tables stored
     with ``write_token_table`` are joined without a shuffle. Attach advantages to ``new`` before
-    aligning: its rows are then counted and joined before the wider table exists.
+    aligning: its rows are then counted and joined before the wider table exists. Tables of any other storage
+    are joined with a fraction of the shuffle by ``packed``: as arrays per chunk of the last key, a number.
     """
     keys = list(keys)
+    if packed:
+        logged = [(table, keys[-1]) for table in (old, ref) if table is not None]
+        aligned = left_join(new, keys[:-1], keys[-1], logged) if logged else new
+        return aligned.withColumn("old_logp", F.col("new_logp")) if old is None else aligned
     aligned = new if old is None else new.join(old, keys, "left")
     if old is None:
         aligned = aligned.withColumn("old_logp", F.col("new_logp"))
@@ -92,7 +98,7 @@ def attach_advantages(
 ) -> DataFrame:
     """Repeat each sequence's advantage on its tokens."""
     stats = with_counts(advantages.select(*keys, "advantage"), logps, keys)
-    return attach(logps, stats, keys, split_rows).drop("n_rows")
+    return attach(logps, stats, keys, split_rows, many=True).drop("n_rows")
 
 
 def _counted(aligned: DataFrame) -> Column:
