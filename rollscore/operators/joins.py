@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollscore.plans.ordered import carry, inside, pieces
+from rollscore.plans.ordered import PIECE, carry, inside, pieces
+from rollscore.session import cut_lineage
 
 HOWS = ("left", "inner")
 
@@ -122,3 +123,79 @@ def interval_join(
         met.select(F.struct(*points.columns).alias("_met")).distinct(), F.col("_row").eqNullSafe(F.col("_met")), "left_anti"
     )
     return met.unionByName(alone.select("_row.*", *[F.lit(None).cast(intervals.schema[c].dataType).alias(c) for c in others]))
+
+
+def interval_sums(
+    points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, sums: dict[str, str],
+    low_open: bool = True, high_open: bool = False,
+) -> DataFrame:
+    """J5, summed: each row of ``intervals`` with its number of ``points``, the first and the last of them, and sums over them.
+
+    What grouping ``interval_join`` by interval gives, with ``n`` 0 for intervals without points. ``sums`` names sums of whole
+    numbers and their columns. An interval's sums are the difference of two running sums, so no pair of point and interval is
+    formed and the width of intervals costs nothing: equal points are summed first, then points and ends are one
+    range-partitioned table, each piece of which starts from the sums of the pieces before it.
+    """
+    values = [f"_sum{i}" for i in range(len(sums))]
+    taken = set(intervals.columns) & {"n", "first", "last", *sums}
+    if taken:
+        raise ValueError(f"Columns of both sides: {sorted(taken)}")
+    at = F.col(point).cast("bigint")
+    grouped = points.where(at.isNotNull()).groupBy(at.alias("_at")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(c).cast("bigint")).alias(v) for v, c in zip(values, sums.values(), strict=True)],
+    )
+    # The last whole number before the interval, and its own last one; NULL without limit.
+    numbered = intervals.withColumn("_row", F.monotonically_increasing_id())
+    numbered = cut_lineage(numbered.withColumns({
+        "_before": F.col(low).cast("bigint") - int(not low_open), "_until": F.col(high).cast("bigint") - int(high_open),
+    }))
+    ends = numbered.select(F.explode(F.array("_before", "_until")).alias("_at")).where("_at is not null").distinct()
+    # Points come before ends of the same number.
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("_n", *values)]
+    both = grouped.select("_at", "_n", *values, F.lit(0).alias("_end")).unionByName(ends.select("_at", *none, F.lit(1).alias("_end")))
+    order = [F.col("_at"), F.col("_end")]
+    placed = pieces(both, [], order)
+    own_point = F.when(F.col("_end") == 0, F.col("_at"))
+    totals = ["_n", *values]
+    of_piece = {f"_all{c}": F.sum(c) for c in totals} | {"_top": F.max(own_point), "_bottom": F.min(own_point)}
+    each = placed.groupBy(PIECE).agg(*[c.alias(name) for name, c in of_piece.items()])
+    # One row per piece.
+    earlier = Window.orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc(PIECE)).rowsBetween(Window.unboundedPreceding, -1)
+    told = each.select(
+        F.col(PIECE).alias("_of"), *[F.sum(f"_all{c}").over(earlier).alias(f"_all{c}") for c in totals],
+        F.max("_top").over(earlier).alias("_top"), F.min("_bottom").over(later).alias("_bottom"),
+    )
+    so_far = inside([], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_come = inside([], [c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    running = placed.join(F.broadcast(told), F.col(PIECE) == F.col("_of")).select(
+        "_at", "_end", *[(F.coalesce(F.sum(c).over(so_far), zero) + F.coalesce(f"_all{c}", zero)).alias(c) for c in totals],
+        F.coalesce(F.max(own_point).over(so_far), F.col("_top")).alias("_top"),
+        F.coalesce(F.min(own_point).over(to_come), F.col("_bottom")).alias("_bottom"),
+    ).where("_end = 1")
+    whole = grouped.agg(
+        F.coalesce(F.sum("_n"), zero).alias("_whole_n"), *[F.coalesce(F.sum(v), zero).alias(f"_whole{v}") for v in values],
+        F.min("_at").alias("_least"), F.max("_at").alias("_most"),
+    )
+
+    def side(letter: str) -> DataFrame:
+        return running.select(*[F.col(c).alias(f"{letter}{c}") for c in ("_at", *totals, "_top", "_bottom")])
+
+    met = (
+        numbered.join(side("a"), F.col("_before") == F.col("a_at"), "left").join(side("b"), F.col("_until") == F.col("b_at"), "left")
+        .crossJoin(F.broadcast(whole))
+    )
+
+    def between(c: str, total: str) -> Column:
+        return F.when(F.col("_until").isNull(), F.col(total)).otherwise(F.col(f"b{c}")) - F.coalesce(f"a{c}", zero)
+
+    # An interval that ends before it starts holds nothing.
+    number = F.greatest(between("_n", "_whole_n"), zero)
+    first = F.when(F.col("_before").isNull(), F.col("_least")).otherwise(F.col("a_bottom"))
+    last = F.when(F.col("_until").isNull(), F.col("_most")).otherwise(F.col("b_top"))
+    held = F.col("n") > 0
+    return met.withColumn("n", number).select(
+        *intervals.columns, "n", F.when(held, first).alias("first"), F.when(held, last).alias("last"),
+        *[F.when(held, between(v, f"_whole{v}")).alias(name) for v, name in zip(values, sums, strict=True)],
+    )
