@@ -245,3 +245,21 @@ def test_blocks_keep_nulls(spark):
         got = {(r.seq_id, r.pos): r.pos_logp for r in found.collect()}
         assert got[0, 0] == pytest.approx(-math.log1p(math.exp(-0.75)) - math.log1p(math.exp(-0.5)))
         assert got[0, 2] == 0.0 and got[1, 1] == 0.0
+
+
+def test_sums_do_not_depend_on_the_order_of_competitors_and_are_right_to_the_last_digits():
+    draw = np.random.default_rng(3)
+    step, confidence = draw.integers(0, 16, 4096).astype(float), draw.normal(size=4096)
+    own, threshold = draw.normal(size=300), draw.integers(0, 16, 300).astype(float)
+    found = kernel.log_sigmoid_sums(threshold, own, step, confidence)
+    turned = draw.permutation(len(step))
+    assert (found == kernel.log_sigmoid_sums(threshold, own, step[turned], confidence[turned])).all()
+    for limit, score, total in zip(threshold, own, found, strict=True):
+        d = score - confidence[step > limit]
+        assert abs(total - math.fsum(np.minimum(d, 0) - np.log1p(np.exp(-np.abs(d))))) <= math.ulp(total)
+
+
+def test_sums_over_other_chunks_do_not_depend_on_their_order():
+    pos, sums = np.arange(200.0), np.random.default_rng(4).normal(size=(6, 200))
+    one, other = (kernel._by_position(pos, sums[0], np.tile(pos, 5), far.ravel()) for far in (sums[1:], sums[:0:-1]))
+    assert (one == other).all()
