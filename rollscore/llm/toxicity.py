@@ -4,8 +4,9 @@ A document is a bag of sentences. A sentence has the probability sigmoid(bias +
 a document is toxic unless every sentence is clean (noisy-or). Only documents are labelled; the weights are
 fitted to those labels, and the sentence scores then tell where the offence is.
 
-Words are picked by how unevenly they fall on the two labels. Training takes a bounded sample of the
-labelled documents; the picking and the word counts run on Spark, the fit of at most ``WORDS`` weights on
+Beside whole words their beginnings have weights, as one stem takes many endings of which a sample shows few. Both, the
+units, are picked by how unevenly they fall on the two labels. Training takes a bounded sample of the
+labelled documents; the picking and the counts of units run on Spark, the fit of at most ``WORDS`` weights on
 the driver. Scoring is one scan.
 """
 
@@ -14,20 +15,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Collection, Iterable, Iterator
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollscore.llm.batches import slices
+from rollscore.llm.batches import LONGEST_KEY, slices
 
 #: Labelled documents used for the fit, on average.
 SAMPLE = 12_000
-WORDS = 4096
-#: A word is picked if it is in so many documents of the sample, and this uneven (chi-squared).
+#: Units that are picked at most; a unit is a word, or its first so many bytes.
+WORDS, BEGINNINGS = 8192, range(3, 8)
+#: A unit is picked if it is in so many documents of the sample, and this uneven (chi-squared).
 LEAST_DOCUMENTS, LEAST_CHI = 5, 15.0
 ROUNDS, RATE, DECAY = 400, 0.1, 1e-4
 
@@ -36,6 +39,7 @@ SCORED = "doc_id bigint, score double, sentence_number int, sentence string, sen
 _ENDS = b".!?\n\r\x0b\x0c"
 #: ASCII marks end a sentence or a word; other bytes stand for themselves.
 _MARKS = bytes(10 if b in _ENDS else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+CACHED_WORDS = 250_000
 _SENTENCE = re.compile(r"[.!?\n\r\x0b\x0c]")
 
 
@@ -49,26 +53,60 @@ def sentences(text: str | None) -> list[bytes]:
     return text.lower().encode().translate(_MARKS).split(b"\n") if text else []
 
 
+def units(word: bytes) -> list[bytes]:
+    """A word and its beginnings; their star is a mark, which no word contains."""
+    return [word, *(word[:k] + b"*" for k in BEGINNINGS if k < len(word))]
+
+
+class Known:
+    """Finds the units of a table in words. Words are looked at once, as far as a bounded cache holds them."""
+
+    def __init__(self, table: Collection[bytes]) -> None:
+        self.table, self.without, self.having = frozenset(table), set(), {}
+
+    def find(self, words: set[bytes]) -> dict[bytes, frozenset[bytes]]:
+        """Those of ``words`` that have units in the table, with these."""
+        if len(self.without) + len(self.having) > CACHED_WORDS:
+            self.without, self.having = set(), {}
+        found = {}
+        for word in words - self.without:
+            own = self.having.get(word)
+            if own is None:
+                own = self.table.intersection(units(word))
+                if len(word) <= LONGEST_KEY:
+                    if own:
+                        self.having[word] = own
+                    else:
+                        self.without.add(word)
+            if own:
+                found[word] = own
+        return found
+
+
 @dataclass(frozen=True)
 class Model:
     bias: float
     weights: dict[bytes, float]
+    known: Known = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "known", Known(self.weights))
 
     def bag(self, text: str | None) -> tuple[float, int, float]:
         """(document score, number of the worst sentence from 0 or -1, its score)."""
         parts = sentences(text)
         if not parts:
             return 0.0, -1, 0.0
-        weights, known = self.weights, self.weights.keys()
-        hit = known & set(b" ".join(parts).split())
+        weights = self.weights
+        hit = self.known.find(set(b" ".join(parts).split()))
         clean, total, worst, at = 0, 0.0, -math.inf, -1
         for number, part in enumerate(parts):
             words = part.split()
             if not words:
                 continue
             logit = self.bias
-            if hit and not hit.isdisjoint(words):
-                logit += sum(weights[w] for w in hit.intersection(words))
+            if hit and (own := hit.keys() & words):
+                logit += math.fsum(weights[u] for u in set().union(*(hit[w] for w in own)))
                 total += _softplus(logit)
             else:
                 clean += 1
@@ -92,7 +130,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         all_, bad = Counter(), Counter()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = set(b" ".join(sentences(text)).split())
+            words = set(chain.from_iterable(map(units, set(b" ".join(sentences(text)).split()))))
             all_.update(words)
             if toxic:
                 bad.update(words)
@@ -104,7 +142,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pick_words(sample: DataFrame, n: int, bad: int) -> list[bytes]:
-    """At most ``WORDS`` words of ``sample``, the most uneven first."""
+    """At most ``WORDS`` units of ``sample``, the most uneven first."""
     counts = sample.mapInArrow(_count_words, "word binary, n bigint, bad bigint")
     counts = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     off = F.col("bad") * F.lit(float(n)) - F.col("n") * F.lit(float(bad))
@@ -115,11 +153,13 @@ def pick_words(sample: DataFrame, n: int, bad: int) -> list[bytes]:
 
 
 def _bags(batches: Iterable[pa.RecordBatch], place: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Per document: label, number of sentences without a picked word, and the others' words."""
+    """Per document: label, number of sentences without a picked unit, and the others' units."""
+    known = Known(place)
     for batch in slices(batches):
         rows = []
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = [sorted(place[w] for w in place.keys() & s.split()) for s in sentences(text) if s.strip()]
+            own = [known.find(set(s.split())) for s in sentences(text) if s.strip()]
+            found = [sorted(place[u] for u in set().union(*hit.values())) for hit in own]
             rows.append((toxic, sum(not f for f in found), [f for f in found if f]))
         toxic, clean, found = zip(*rows, strict=True) if rows else ([], [], [])
         yield pa.record_batch(

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from rollscore.llm import bpe, counts, html, packing, toxicity, urls
@@ -408,6 +409,18 @@ def test_model_finds_the_sentence(spark):
     assert toxicity.keep_clean(odd, model).count() == 3
 
 
+def test_model_finds_stems_with_endings_it_has_not_seen(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    endings = ["".join(x) for x in zip(rng.choices("aeiou", k=900), rng.choices("bcdfg", k=900), rng.choices("lmnrs", k=900), strict=True)]
+    docs = [(i, " ".join([*rng.choices(words, k=30), *([rng.choice(["vilko", "rottu"]) + endings[i]] if i % 4 == 0 else [])])) for i in range(900)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    model = toxicity.train(frame, labels)
+    new = frame.where("doc_id >= 600").withColumn("text", F.regexp_replace("text", "(vilko|rottu)[a-z]+", "$1kjx"))
+    assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in toxicity.score(new, model).collect())
+
+
 @pytest.mark.parametrize(("label", "side"), [(0, False), (1, True)])
 def test_one_label_only(spark, label, side):
     docs = spark.createDataFrame([(i, f"some text {i}.") for i in range(40)], "doc_id bigint, text string")
