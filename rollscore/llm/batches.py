@@ -46,15 +46,15 @@ class Recent:
     def __init__(self, size: int) -> None:
         self.size, self.now, self.old, self.long = size, {}, {}, []
 
-    def keep(self, keys) -> dict:
+    def keep(self, keys: set) -> dict:
         """The cached values, after those of ``keys`` have been moved to the present generation."""
         for key in self.long:
             self.now.pop(key, None)
-        self.long = [key for key in keys if len(key) > LONGEST_KEY]
         if len(self.now) > self.size:
             self.old, self.now = self.now, {}
         now, old = self.now, self.old
-        for key in keys:
-            if key not in now and key in old:
-                now[key] = old[key]
+        new = keys.difference(now)  # with all long ones
+        self.long = [key for key in new if len(key) > LONGEST_KEY]
+        for key in new.intersection(old):
+            now[key] = old[key]
         return now

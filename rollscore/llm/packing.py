@@ -18,10 +18,12 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -31,6 +33,8 @@ from rollscore.llm.batches import Recent, int_lists, list_arrays, slices
 CACHED_WORDS = 250_000
 CLOSING = ".,!?;:"
 FAR_SCRIPTS = "\u0590"
+#: The tokenizer's own cut of a normalized word that holds no white space.
+PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 #: Sequence numbers of a task start at its partition number times this.
 SEQUENCES_PER_TASK = 1 << 40
 
@@ -56,41 +60,58 @@ class WordTokens:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.words, self.stems = Recent(CACHED_WORDS), Recent(CACHED_WORDS)
 
     def plain(self, word: str) -> bytes:
-        # Letters alone are one pre-token: the model can be asked at once. A capital sigma is left to
-        # the tokenizer, as its lower case depends on its place, and so are letters of other scripts.
-        if word.isalpha() and max(word) < FAR_SCRIPTS and "Σ" not in word:
+        # The model can be asked at once for the pre-tokens, of which letters alone are one. A capital sigma is left to
+        # the tokenizer, as its lower case depends on its place, and so are letters of other scripts and special tokens.
+        if word and max(word) < FAR_SCRIPTS and "Σ" not in word and "<|" not in word and word.isprintable():
             lower = unicodedata.normalize("NFC", word).lower()
-            if lower.isalpha():
-                letters = lower if lower.isascii() else "".join(self.letters[b] for b in lower.encode())
-                return packed([t.id for t in self.tokenizer.model.tokenize(letters)])
+            tokenize, ids = self.model.tokenize, []
+            for part in (lower,) if lower.isalpha() else PRE_TOKENS.findall(lower):
+                letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                ids += [t.id for t in tokenize(letters)]
+            return packed(ids)
         return packed(self.tokenizer.encode(word, add_special_tokens=False).ids) if word else b""
 
     def learn(self, words: set[str], known: dict[str, bytes]) -> None:
-        cut = {}
+        words = list(words)
+        starts, ends = [], []
         for word in words:
             stem = word.rstrip(CLOSING)
             lower = stem.lower()
             # A word of letters and a run of closing marks are two pre-tokens.
-            cut[word] = (lower, word[len(stem):]) if lower.isalpha() and "Σ" not in stem else (word, "")
-        parts = set(chain.from_iterable(cut.values()))
+            whole = not lower.isalpha() or "Σ" in stem
+            starts.append(word if whole else lower)
+            ends.append("" if whole else word[len(stem):])
+        parts = set(starts).union(ends)
         ids = self.stems.keep(parts)
-        for part in parts:
-            if part not in ids:
-                ids[part] = self.plain(part)
-        for word, (stem, end) in cut.items():
-            known[word] = ids[stem] + ids[end] if end else ids[stem]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        words = set(chain.from_iterable(split))
-        known = self.words.keep(words)
-        self.learn(words.difference(known), known)
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<i4") for words in split]
+        for part in parts.difference(ids):
+            ids[part] = self.plain(part)
+        for word, start, end in zip(words, starts, ends, strict=True):
+            known[word] = ids[start] + ids[end] if end else ids[start]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; Arrow splits and numbers the words, and each distinct one is looked up once."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pc.list_flatten(split).dictionary_encode()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        distinct = set(words)
+        known = self.words.keep(distinct)
+        self.learn(distinct.difference(known), known)
+        tokens = list(map(known.__getitem__, words))
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
+        each = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        # Where each id lies among those of the distinct words.
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], each) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(tokens), "<i4")[place]
+        n_words = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
+        cuts = ends[np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])].tolist()
+        return [ids[a:b] for a, b in pairwise(cuts)]
 
 
 @lru_cache(maxsize=2)
@@ -103,7 +124,7 @@ def tokenize_batches(batches: Iterable[pa.RecordBatch], path: str, end: int) ->
     tokens = word_tokens(path)
     last = np.array([end], np.int32)
     for batch in slices(batches):
-        ids = [np.concatenate([x, last]) for x in tokens.encode(batch.column("text").to_pylist())]
+        ids = [np.concatenate([x, last]) for x in tokens.encode(batch.column("text"))]
         yield pa.record_batch([batch.column("doc_id"), int_lists(ids)], ["doc_id", "ids"])
 
 

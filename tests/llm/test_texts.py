@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -55,6 +56,21 @@ def test_byte_pairs_equal_the_library_and_come_back():
         assert pairs.decode(ids.tolist()) == (text or "").encode()
 
 
+def test_words_with_marks_are_cut_without_the_tokenizer(monkeypatch):
+    tokens, expected = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json")), word_encoding()
+    words = ["größer***", "it's", "=='s", "a1²b", "x|y", "É'LL", "a\u0301b.c", "don't,!", "'S", "###"]
+    wanted = [expected.encode(w, add_special_tokens=False).ids for w in words]
+    monkeypatch.setattr(tokens, "tokenizer", None)
+    assert [np.frombuffer(tokens.plain(w), "<i4").tolist() for w in words] == wanted
+
+
+def test_word_tokens_of_arrow_texts():
+    tokens, expected = packing.word_tokens(public_tokenizers.path("word_bpe_49k.json")), word_encoding()
+    texts = ["one two\none", None, "", " ", "two, one."]
+    rows = pa.chunked_array([["before"], texts]).combine_chunks().slice(1)
+    assert [x.tolist() for x in tokens.encode(rows)] == [expected.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_word_tokens_equal_the_library():
     tokens, expected = packing.word_tokens(public_tokenizers.path("word_bpe_49k.json")), word_encoding()
     sample = texts(3000)
