@@ -59,6 +59,21 @@ def log_sigmoid_sums(threshold: np.ndarray, own: np.ndarray, step: np.ndarray, c
     return found
 
 
+def log_softmax(threshold: np.ndarray, own: np.ndarray, step: np.ndarray, confidence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Own score less the log-sum-exp of it and the competitors with a step above the threshold; 0 where they weigh nothing.
+
+    Also whether one of these competitors is NaN. The running sum over the steps, from the latest down, is kept in extended
+    precision, so scores may lie apart by any factor.
+    """
+    order = np.lexsort((confidence, -step))
+    with np.errstate(all="ignore"):
+        so_far = np.logaddexp.accumulate(confidence[order].astype(np.longdouble))
+        others = np.concatenate([[-np.inf], so_far])[np.searchsorted(-step[order], -threshold, "left")]
+        top = np.maximum(own, others)
+        together = top + np.log(np.exp(own - top) + np.exp(others - top))
+        return np.where(others == -np.inf, 0.0, own - together).astype(float), np.isnan(others)
+
+
 @dataclass(frozen=True)
 class Pairs:
     """Which rows of a chunk are targets, and from which step on others compete with them: see ``position``."""
@@ -68,13 +83,17 @@ class Pairs:
     by_segment: bool
     tau: float
 
-    def sums(self, segment: int, targets: dict[str, np.ndarray], rivals: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each row is a target, and the targets' sums."""
-        step = targets["unmask_step"]
+    def targets(self, segment: int, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each row is a target; the targets' thresholds and scores."""
+        step = rows["unmask_step"]
         own = (step >= 1) & (step <= self.width * self.segments) & (np.floor((step - 1) / self.width) == segment)
         threshold = np.full(int(own.sum()), float((segment + 1) * self.width)) if self.by_segment else step[own]
-        scores, others = targets["own_score"][own] / self.tau, rivals["confidence"] / self.tau
-        return own, log_sigmoid_sums(threshold, scores, rivals["unmask_step"], others)
+        return own, threshold, rows["own_score"][own] / self.tau
+
+    def sums(self, segment: int, targets: dict[str, np.ndarray], rivals: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each row is a target, and the targets' sums."""
+        own, threshold, scores = self.targets(segment, targets)
+        return own, log_sigmoid_sums(threshold, scores, rivals["unmask_step"], rivals["confidence"] / self.tau)
 
 
 def _chunks(column: pa.ListArray, *names: str) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
@@ -132,3 +151,26 @@ def far_sums(batches: Iterable[pa.RecordBatch], names: list[str], pairs: Pairs)
         values = pa.StructArray.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(found))], ["pos", "sum"])
         offsets = pa.array(np.cumsum([len(p) for p in places]), pa.int32())
         yield pa.record_batch([*(batch.column(n) for n in names), pa.ListArray.from_arrays(offsets, values)], [*names, "_far"])
+
+
+def chunk_softmax(batches: Iterable[pa.RecordBatch], names: list[str], keys: list[str], pairs: Pairs) -> Iterator[pa.RecordBatch]:
+    """Rows of (keys, _rows), a key's targets and competitors, to one row per target: ``names`` and ``pos_logp``.
+
+    NULL where a later competitor's score, or a target's own beside competitors, is NULL.
+    """
+    for batch in batches:
+        parent, values = flat(batch.column("_rows"))
+        chosen, found, lost = [np.empty(0, "int64")], [np.empty(0)], [np.empty(0, bool)]
+        chunks = zip(batch.column(keys[-1]).to_pylist(), _chunks(batch.column("_rows"), *NUMBERS[1:]), strict=True)
+        for segment, (first, rows) in chunks:
+            own, threshold, scores = pairs.targets(segment, rows)
+            logps, unknown = log_softmax(threshold, scores, rows["unmask_step"], rows["confidence"] / pairs.tau)
+            chosen.append(np.flatnonzero(own) + first)
+            found.append(logps)
+            lost.append(unknown)
+        at, total = pa.array(np.concatenate(chosen)), np.concatenate(found)
+        row = pa.array(parent).take(at)
+        columns = [batch.column(n).take(row) if n in keys else values[n].take(at) for n in names]
+        no_score = values["own_score"].take(at).is_null().to_numpy(zero_copy_only=False)
+        mask = np.concatenate(lost) | (np.isnan(total) & no_score)
+        yield pa.record_batch([*columns, pa.array(total, mask=mask)], [*names, "pos_logp"])

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rollscore.functions.text import let
-from rollscore.operators.kernel import Pairs, chunk_sums, far_sums
+from rollscore.operators.kernel import Pairs, chunk_softmax, chunk_sums, far_sums
 from rollscore.operators.scan import later_log_sums, log_sums
 from rollscore.operators.segments import segment_of, segment_width
 from rollscore.plans.skew import ROW_COUNT, SPLIT_ROWS, attach
+from rollscore.session import cut_lineage
 
 METHODS = ("bradley_terry", "softmax")
 SCOPES = ("segment", "position")
@@ -27,6 +28,8 @@ SEGMENT_KEYS = ["seq_id", "segment"]
 # Exponents are taken relative to multiples of this, so that no maximum has to be known first.
 EXP_RANGE = 512.0
 CHUNK = 4096
+#: Up to so many keys of two numbers are broadcast.
+BROADCAST_KEYS = 500_000
 
 
 def _threshold(scope: str, steps: int, segments: int) -> Column:
@@ -118,9 +121,9 @@ def scanned_logsumexp(scores: DataFrame, steps: int, segments: int, scope: str,
     rivals = scores.where(F.col("unmask_step") > F.col("segment") * width)
     here = F.col("unmask_step") <= last
     if scope == "segment":
-        later = log_sums(rivals.where(~here), SEGMENT_KEYS, value).withColumnRenamed("n", "_n")
+        later = log_sums(rivals.where(~here), SEGMENT_KEYS, value).withColumnsRenamed({"n": "_n", **{k: f"_{k}" for k in SEGMENT_KEYS}})
         users = rivals.where(here).groupBy(*SEGMENT_KEYS).agg(F.count(F.lit(1)).alias(ROW_COUNT))
-        met = users.join(later, SEGMENT_KEYS, "left")
+        met = users.join(later, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in SEGMENT_KEYS]), "left")
         others = F.when(F.col("_n").isNull(), F.lit(float("-inf"))).when(~F.isnan("log_sum"), F.col("log_sum"))
         return met.select(*SEGMENT_KEYS, last.cast("bigint").alias("_threshold"), ROW_COUNT, others.alias("_others"))
     _threshold(scope, steps, segments)
@@ -139,20 +142,58 @@ def softmax_logps(
     """L4: ``own/tau`` less the log-sum-exp of it and its competitors; 0 without competitors.
 
     Competitors of minus infinity, as closed positions have, weigh nothing. NULL scores give NULL. ``scan`` is for thousands
-    of steps or very small ``tau``: see ``scanned_logsumexp``.
+    of steps or very small ``tau``: see ``scan_logps``.
     """
+    if scan:
+        return scan_logps(scores, steps, segments, scope, tau, split_rows)
     here = _revealed_here(steps, segments)
-    others = (scanned_logsumexp if scan else future_logsumexp)(scores, steps, segments, scope, tau)
     # Tokens not revealed here have no competitors and stay where they are.
+    revealed = _less_others(scores, future_logsumexp(scores, steps, segments, scope, tau), steps, segments, scope, tau, split_rows)
+    return revealed.unionByName(scores.where(~here).withColumn("pos_logp", F.lit(0.0)))
+
+
+def _less_others(
+    scores: DataFrame, others: DataFrame, steps: int, segments: int, scope: str, tau: float, split_rows: int
+) -> DataFrame:
+    """The tokens of ``scores`` revealed here, with ``pos_logp`` from their competitors' log-sum-exp."""
     joined = attach(
-        scores.where(here).withColumn("_threshold", _threshold(scope, steps, segments)), others, [*SEGMENT_KEYS, "_threshold"],
-        split_rows, many=True,
+        scores.where(_revealed_here(steps, segments)).withColumn("_threshold", _threshold(scope, steps, segments)), others,
+        [*SEGMENT_KEYS, "_threshold"], split_rows, many=True,
     )
     own = F.col("own_score") / F.lit(float(tau))
     top = F.greatest(own, F.col("_others"))
     together = top + F.ln(F.exp(own - top) + F.exp(F.col("_others") - top))
     alone = F.col(ROW_COUNT).isNull() | (F.col("_others") == float("-inf"))
-    revealed = joined.select(*scores.columns, F.when(alone, F.lit(0.0)).otherwise(own - together).alias("pos_logp"))
+    return joined.select(*scores.columns, F.when(alone, F.lit(0.0)).otherwise(own - together).alias("pos_logp"))
+
+
+def scan_logps(
+    scores: DataFrame, steps: int, segments: int, scope: str = "segment", tau: float = 1.0, split_rows: int = SPLIT_ROWS,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """L4: what ``softmax_logps`` returns, in memory that grows neither with a key's steps nor with 1 / tau.
+
+    A key whose tokens lie in one chunk of positions is packed into one row and scanned there (``kernel``), with no other
+    shuffle. Only longer keys, and those that are NULL, go through ``scanned_logsumexp`` and a join.
+    """
+    part = F.coalesce(F.floor(F.col("pos") / F.lit(chunk)).cast("bigint"), F.lit(-1).cast("bigint"))
+    names = [*SEGMENT_KEYS, "_part"]
+    width, here = segment_width(steps, segments), _revealed_here(steps, segments)
+    _threshold(scope, steps, segments)
+    known = reduce(and_, [F.col(k).isNotNull() for k in SEGMENT_KEYS])
+    rivals = scores.withColumn("_part", part).where(known & (F.col("unmask_step") > F.col("segment") * width))
+    spans = rivals.groupBy(*SEGMENT_KEYS).agg(F.min("_part").alias("_first"), F.max("_part").alias("_last"))
+    longer = cut_lineage(spans.where("_first < _last").select(*SEGMENT_KEYS))
+    if longer.count() <= BROADCAST_KEYS:
+        longer = F.broadcast(longer)
+    row = F.struct(*[c for c in scores.columns if c not in SEGMENT_KEYS])
+    packed = rivals.groupBy(*names).agg(F.collect_list(row).alias("_rows")).join(longer, SEGMENT_KEYS, "left_anti")
+    pairs, columns = Pairs(width, segments, scope == "segment", float(tau)), list(scores.columns)
+    found = StructType([*scores.schema.fields, StructField("pos_logp", DoubleType())])
+    short = packed.mapInArrow(lambda batches: chunk_softmax(batches, columns, SEGMENT_KEYS, pairs), found)
+    rest = scores.join(longer, SEGMENT_KEYS, "left_semi").unionByName(scores.where(~known))
+    others = scanned_logsumexp(rest, steps, segments, scope, tau)
+    revealed = short.unionByName(_less_others(rest, others, steps, segments, scope, tau, split_rows))
     return revealed.unionByName(scores.where(~here).withColumn("pos_logp", F.lit(0.0)))
 
 

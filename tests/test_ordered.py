@@ -237,3 +237,26 @@ def test_pieces_keep_their_order(spark):
     spans = placed.groupBy(ordered.PIECE).agg(F.min(F.struct("k", "v")).alias("a"), F.max(F.struct("k", "v")).alias("b")).orderBy(ordered.PIECE)
     ends = [(tuple(r.a), tuple(r.b)) for r in spans.collect()]
     assert all(x[1] < y[0] for x, y in zip(ends, ends[1:])) and len(ends) > 1
+
+
+@pytest.mark.parametrize("scope", ["segment", "position"])
+def test_only_longer_keys_are_scanned_over_pieces(spark, monkeypatch, scope):
+    draw, odd = random.Random(8), [None, float("nan"), float("-inf"), 0.5]
+    rows = [
+        (seq, segment, pos if pos % 9 else None, draw.randrange(-1, 16), draw.choice([*odd, draw.uniform(-2, 2)]),
+         draw.choice([*odd[-((seq or 0) % 3 + 1):], *(draw.uniform(-800, 800) for _ in range(30))]))
+        for seq in (None, 1, 2, 3, 4, 5) for segment in range(4) for pos in range(1, 40 if seq == 4 else 8)
+    ]
+    frame = spark.createDataFrame(rows, "seq_id int, segment int, pos int, unmask_step int, own_score double, confidence double")
+    seen = []
+    monkeypatch.setattr(position, "scanned_logsumexp", lambda scores, *rest, f=position.scanned_logsumexp: seen.append(scores) or f(scores, *rest))
+
+    def values(table):
+        return sorted(repr((*r[:6], r.pos_logp if r.pos_logp is None else round(r.pos_logp, 9) + 0.0)) for r in table.collect())
+
+    found = position.scan_logps(frame, 16, 4, scope, 0.01, chunk=64)
+    assert values(found) == values(position.softmax_logps(frame, 16, 4, scope, 0.01))
+    assert {r.seq_id for r in seen[0].select("seq_id").distinct().collect()} <= {None, *(r[0] for r in rows if r[2] is None)}
+    position.scan_logps(frame.where("pos is not null"), 16, 4, scope, 0.01, chunk=16)
+    assert {r.seq_id for r in seen[1].select("seq_id").distinct().collect()} == {None, 4}
+    assert values(position.scan_logps(frame, 16, 4, scope, 0.01, chunk=4)) == values(found)
