@@ -20,7 +20,9 @@ A result names groups, so copies are not paired with each other:
   They meet the others of that shingle directly, if sizes, components and distances from the hub allow a link (the Jaccard
   distance obeys the triangle inequality).
 
-Verification intersects the whole sets, built for the documents of sifted pairs only.
+Verification intersects the whole sets, built for the documents of sifted pairs only. Most pairs that share a prefix shingle share
+a passage and no more: what tells them apart, before prefixes or sets are moved, is a parity signature of about a bit a shingle. As
+many bits as two signatures differ in, their sets differ in at least so many shingles, so no link is lost by it.
 """
 
 from __future__ import annotations
@@ -76,6 +78,36 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return sets
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in as many cells as there are shingles, or up to twice as many: a power of two."""
+    cells = 1 << max(6, (len(shingles) - 1).bit_length())
+    held = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(one: bytes, other: bytes) -> tuple[int, int]:
+    """(shingles that the sets of two signatures differ in at least, cells that were compared)."""
+    x, y = sorted((np.frombuffer(s, "<u8") for s in (one, other)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum()), 64 * len(x)
+
+
+def _alike(batches: Iterable[pa.RecordBatch], ratio: Ratio, times: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sets can link, and those that seem to differ by up to ``times`` what linked sets can differ by.
+
+    d shingles at random are expected to change so many parities of c cells: c / 2 (1 - exp(-2 d / c)).
+    """
+    for batch in slices(batches):
+        columns = (batch.column(c).to_pylist() for c in ("s", "t", "a_n", "b_n"))
+        alike = []
+        for s, t, n, m in zip(*columns, strict=True):
+            differ, cells = least_difference(s, t)
+            most = (n + m) * (ratio[1] - ratio[0]) // (ratio[1] + ratio[0])
+            alike.append(differ <= max(most, -cells / 2 * np.expm1(-2 * times * most / cells)))
+        yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+
 def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(42)).astype(np.int64)
 
@@ -149,8 +181,9 @@ def _describe(batches: Iterable[pa.RecordBatch], words: int, ratio: Ratio, count
         prefixes = [prefix(s, counts, usual, ratio) for s in sets]
         yield pa.record_batch(
             [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-             int_lists([p.view(np.int64) for p, _ in prefixes], np.int64), pa.array([m for _, m in prefixes], pa.int32())],
-            ["doc_id", "n", "digest", "prefix", "matches"],
+             int_lists([p.view(np.int64) for p, _ in prefixes], np.int64), pa.array([m for _, m in prefixes], pa.int32()),
+             pa.array([signature(s) if len(p) else None for s, (p, _) in zip(sets, prefixes, strict=True)], pa.binary())],
+            ["doc_id", "n", "digest", "prefix", "matches", "signature"],
         )
 
 
@@ -200,16 +233,23 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _sifted(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """a, b, n of b: those of ``pairs`` that share as many prefix shingles as they must.
+def _sides(pairs: DataFrame, vertices: DataFrame, left: dict[str, str], right: dict[str, str]) -> DataFrame:
+    """``pairs`` (a, b) with columns of ``vertices`` for a and for b, named as the dictionaries say."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    involved = vertices.join(_small(ids), "id", "left_semi")
+    for end, names in (("a", left), ("b", right)):
+        pairs = pairs.join(involved.select(F.col("id").alias(end), *(F.col(c).alias(name) for c, name in names.items())), end)
+    return pairs
+
+
+def _sifted(pairs: DataFrame, vertices: DataFrame, ratio: Ratio, times: int = 1) -> DataFrame:
+    """a, b, n of b: those of ``pairs`` that are alike by their signatures (see ``_alike``) and share as many prefix shingles as they must.
 
     Both prefixes are cut to the number of matches that the shorter-reaching one asks for.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    involved = vertices.join(_small(ids), "id", "left_semi")
-    left = involved.select(F.col("id").alias("a"), F.col("prefix").alias("p"), F.col("matches").alias("k"))
-    right = involved.select(F.col("id").alias("b"), F.col("prefix").alias("q"), F.col("matches").alias("l"), "n")
-    both = pairs.join(left, "a").join(right, "b")
+    both = _sides(pairs, vertices, {"signature": "s", "n": "a_n"}, {"signature": "t", "n": "b_n"})
+    alike = cut_lineage(both.mapInArrow(lambda b: _alike(b, ratio, times), "a bigint, b bigint").distinct())
+    both = _sides(alike, vertices, {"prefix": "p", "matches": "k"}, {"prefix": "q", "matches": "l", "n": "n"})
     needed = F.least("k", "l")
     shared = F.array_intersect(
         F.slice("p", F.lit(1), F.size("p") - F.col("k") + needed), F.slice("q", F.lit(1), F.size("q") - F.col("l") + needed)
@@ -304,7 +344,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     counts = shingle_counts(rows.select("text"), words)
     described = cut_lineage(rows.mapInArrow(
-        lambda b: _describe(b, words, ratio, counts), "doc_id bigint, n bigint, digest binary, prefix array<bigint>, matches int"
+        lambda b: _describe(b, words, ratio, counts),
+        "doc_id bigint, n bigint, digest binary, prefix array<bigint>, matches int, signature binary",
     ))
     usable = described.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # Equal sets: one vertex, named by the smallest document.
@@ -318,14 +359,15 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     same = usable.select("digest", "doc_id").join(repeated, "doc_id").join(classes, "digest").where("doc_id <> id")
     same = cut_lineage(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct())
     vertices = usable.where(F.size("prefix") > 0).join(_small(other), ["doc_id", "digest"], "left_anti").select(
-        F.col("doc_id").alias("id"), "n", "prefix", "matches"
+        F.col("doc_id").alias("id"), "n", "prefix", "matches", "signature"
     )
     shortest = F.slice("prefix", F.lit(1), F.size("prefix") - F.col("matches") + 1)
     tokens = vertices.select("id", F.col("n").cast("int").alias("n"), F.explode(shortest).alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    mixed = F.col("token").bitwiseXOR(F.lit(MIX)).alias("_k")
+    # A shingle goes with its rows once, as it is or mixed.
+    mixed, plain = F.col("token").bitwiseXOR(F.lit(MIX)).alias("_k"), F.col("_k").bitwiseXOR(F.lit(MIX)).alias("token")
     shared = cut_lineage(
-        tokens.withColumn("_k", mixed).join(often.select(mixed, "members"), "_k").select("token", "members", "id", "n")
+        tokens.select(mixed, "id", "n").join(often.select(mixed, "members"), "_k").select(plain, "members", "id", "n")
     )
     # The hub of a shingle is the document that shares most: of a text and its edited copies, the text.
     weights = shared.groupBy("id").agg(F.sum("members").alias("weight"))
@@ -334,10 +376,10 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
     hubs = weighted.groupBy("token").agg(best).select(
         mixed, (-F.col("best.order")).alias("hub"), F.col("best.n").alias("hub_n")
     )
-    shared = cut_lineage(shared.withColumn("_k", mixed).join(hubs, "_k").drop("_k"))
+    shared = cut_lineage(shared.select(mixed, "members", "id", "n").join(hubs, "_k").select(plain, "members", "id", "n", "hub", "hub_n"))
     near = shared.where("hub <> id")
     pairs = near.where(_fit("n", "hub_n", ratio)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = cut_lineage(_sifted(cut_lineage(pairs), vertices))
+    pairs = cut_lineage(_sifted(cut_lineage(pairs), vertices, ratio, NEAR))
     reached = F.col("both") * ratio[1] >= F.col("either") * ratio[0]
     judged = cut_lineage(_verified(pairs, rows, words, ratio))
     links = judged.where(reached).select("a", "b").unionByName(same)
@@ -371,7 +413,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, ratio: Ratio = (80, 100)) ->
         once & ~apart & (F.col("x.group") != F.col("y.group")) & _fit("x.n", "y.n", ratio)
     )
     rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = cut_lineage(_sifted(cut_lineage(rest), vertices))
+    rest = cut_lineage(_sifted(cut_lineage(rest), vertices, ratio))
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, rows, words, ratio).where(reached).select("a", "b"))
     groups = cut_lineage(components(links))

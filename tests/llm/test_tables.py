@@ -298,6 +298,36 @@ def test_prefixes_grow_with_the_cost_of_candidates():
     assert matches == 11 and len(shingles_) == 11 + matches - 1
 
 
+def test_signatures_differ_in_no_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    for n, m, common in [(1, 1, 0), (3, 70, 2), (64, 65, 60), (200, 200, 200), (500, 1500, 490), (1000, 1030, 990)]:
+        every = np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64))
+        x, y = np.sort(every[:n]), np.sort(np.concatenate([every[:common], every[n:n + m - common]]))
+        differ, cells = jaccard.least_difference(jaccard.signature(x), jaccard.signature(y))
+        assert differ <= len(np.setxor1d(x, y)) and (len(np.setxor1d(x, y)) - differ) % 2 == 0
+        assert cells >= min(n, m) and cells & (cells - 1) == 0
+
+
+def test_documents_that_only_share_a_passage_are_not_verified(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    passages = [rng.choices(words, k=80) for _ in range(12)]
+    texts = [passages[i] + passages[j] for i in range(12) for j in range(i)]  # every shingle is in eleven of them
+    texts.append([*texts[5][:20], "new", *texts[5][21:]])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    asked = []
+
+    def verified(pairs, *others):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return before(pairs, *others)
+
+    before = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", verified)
+    found = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, (90, 100)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == by_all_pairs(rows, 3, (90, 100))
+    assert {tuple(sorted(p)) for p in asked} == {(5, 66)}
+
+
 # --- the pipeline -------------------------------------------------------------------------------
 
 
