@@ -113,11 +113,12 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
+    counts = np.zeros(CELLS, np.uint32)
     for batch in slices(batches):
         sets = shingle_sets(batch.column("text").to_pylist(), words)
         if sets:
-            counts += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
+            cells, times = np.unique(_cell(np.concatenate(sets)), return_counts=True)
+            counts[cells] += times.astype(np.uint32)
     rows = [counts[i:i + CELLS_PER_ROW] for i in range(0, CELLS, CELLS_PER_ROW)]
     full = [i for i, r in enumerate(rows) if r.any()]
     yield pa.record_batch(
