@@ -13,7 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from rollscore.plans.columnar import kinds_of, parts, whole_rows
 from rollscore.plans.packed import left_join
 from rollscore.plans.skew import SPLIT_ROWS, attach, with_counts
 
@@ -96,9 +98,13 @@ def attach_advantages(
     logps: DataFrame, advantages: DataFrame, keys: Sequence[str] = ("batch_id", "seq_id"),
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """Repeat each sequence's advantage on its tokens."""
+    """Repeat each sequence's advantage on its tokens. Tokens of fixed width are packed before they are shuffled."""
     stats = with_counts(advantages.select(*keys, "advantage"), logps, keys)
-    return attach(logps, stats, keys, split_rows, many=True).drop("n_rows")
+    kinds = kinds_of(logps, keys)
+    if kinds is None or "pos" not in kinds or "advantage" in kinds:
+        return attach(logps, stats, keys, split_rows, many=True).drop("n_rows")
+    schema = StructType([*logps.schema, StructField("advantage", stats.schema["advantage"].dataType)])
+    return whole_rows(attach(parts(logps, keys, "pos", kinds), stats, keys, split_rows, many=True), schema, kinds)
 
 
 def _counted(aligned: DataFrame) -> Column:

@@ -230,31 +230,43 @@ TASK_ROWS = {"documents": 2_500}
 OTHER_ROWS = 250_000
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's columns, dealt over the cores: the given files are single splits. A larger table has more tasks, not larger ones."""
+def is_spread(rows: DataFrame) -> bool:
+    """Whether the files' own splits keep all cores busy: none holds more than two cores' share of the rows."""
+    held = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    return bool(held) and max(held) * rows.sparkSession.sparkContext.defaultParallelism <= 2 * sum(held)
+
+
+def read(spark: SparkSession, sf_dir: str, table: str, dealt: bool = True) -> DataFrame:
+    """A table's columns, dealt over the cores: the given files are single splits. A larger table has more tasks, not larger ones.
+
+    Dealing writes the whole table to disk once. Where what follows holds a bounded number of a task's rows, however many it has,
+    ``dealt=False`` leaves a table as it is if its files are spread over the cores already.
+    """
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*USED_COLUMNS[table])
+    if not dealt and is_spread(rows):
+        return rows
     tasks = -(-rows.count() // TASK_ROWS.get(table, OTHER_ROWS))
     return rows.repartition(max(spark.sparkContext.defaultParallelism, tasks))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     """One row per word of each document, with its 0-based position."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).select(
+    return read(spark, sf_dir, "documents", dealt).select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).select(
         "doc_id", "word", F.col("p").cast("bigint").alias("pos")
     )
 
 
-def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).withColumn("s", each_below(SEGMENTS))
+def segment_words(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    return words(spark, sf_dir, dealt).withColumn("s", each_below(SEGMENTS))
 
 
-def derive(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run a fixture's SQL in Spark."""
-    used = {name: read(spark, sf_dir, name) for name in TABLES if "{" + name + "}" in text}
+def derive(spark: SparkSession, sf_dir: str, text: str, dealt: bool = True) -> DataFrame:
+    """Run a fixture's SQL in Spark; ``dealt`` as in ``read``."""
+    used = {name: read(spark, sf_dir, name, dealt) for name in TABLES if "{" + name + "}" in text}
     if "{words}" in text:
-        used["words"] = words(spark, sf_dir)
+        used["words"] = words(spark, sf_dir, dealt)
     if "{segment_words}" in text:
-        used["segment_words"] = segment_words(spark, sf_dir)
+        used["segment_words"] = segment_words(spark, sf_dir, dealt)
     return spark.sql(text, **used)
 
 
