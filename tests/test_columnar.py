@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rollscore.operators import losses
+from rollscore.operators import losses, position
 from rollscore.plans import columnar
 from workload import fixtures
 
@@ -92,6 +92,21 @@ def test_attached_advantages_match_null_and_repeated_keys(spark):
         assert equal(got, text) and got.columns == text.columns and got.count() == 7
 
 
+@pytest.mark.parametrize("scope", position.SCOPES)
+def test_blocks_write_little(spark, scope):
+    """L3: a token that only competes is moved with its confidence alone."""
+    each = tokens(spark).withColumn("segment", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
+    scores = each.select(
+        "seq_id", "segment", "pos", ((F.col("pos") * 5 + F.col("seq_id")) % 9 - 1).alias("unmask_step"),
+        F.col("new_logp").alias("own_score"), F.col("old_logp").alias("confidence"),
+    )
+    got = position.bradley_terry_logps(scores, 8, 2, scope, blocks=True)
+    assert shuffled_bytes(got) < 120_000 * 4
+    few = scores.where("seq_id < 3")
+    wanted = position.bradley_terry_logps(few, 8, 2, scope)
+    assert equal(got.where("seq_id < 3").withColumn("pos_logp", F.round("pos_logp", 8)), wanted.withColumn("pos_logp", F.round("pos_logp", 8)))
+
+
 def test_spread_files_are_read_as_they_are(spark, tmp_path):
     columns = spark.range(2000).selectExpr("id doc_id", "'a' text", "'s' source", "1 n_chars")
     columns.repartition(16).write.parquet(f"{tmp_path}/many/documents.parquet")
