@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rollscore.operators import losses, position
-from rollscore.plans import columnar
+from rollscore.operators import losses, position, trace
+from rollscore.plans import columnar, jobs
+from rollscore.recipe import Recipe
 from workload import fixtures
 
 KINDS = {"pos": "bigint", "step": "int", "x": "double", "y": "float", "ok": "boolean", "w": "smallint", "wide": "bigint"}
@@ -116,3 +117,44 @@ def test_spread_files_are_read_as_they_are(spark, tmp_path):
         for folder in ("many", "one") for dealt in (True, False)
     }
     assert {k for k, plan in plans.items() if "Exchange" not in plan} == {("many", False)}
+
+
+def test_schedule_audit_tells_nameless_blocks_apart(spark):
+    """What a sequence, block or step that is NULL expects meets nothing."""
+    rows = [(1, 0, 0), (1, 1, 1), (1, 2, 1), (1, 3, None), (1, 4, 5), (1, 5, -1), (None, 0, 0), (None, 1, 1), (2, None, 0), (2, 9000, 4500), (2, 9001, 4501)]
+    traj = spark.createDataFrame(rows, "seq_id bigint, pos bigint, unmask_step bigint")
+    found = sorted((tuple(r) for r in trace.audit_schedule(traj, 4, 2).collect()), key=repr)
+    assert found == sorted([
+        (1, 0, 0, 2, 1, "wrong_count"), (1, 0, None, 0, 1, "wrong_count"),
+        (1, 1, 2, 1, 0, "wrong_count"), (1, 1, 3, 1, 0, "wrong_count"), (1, 1, 5, 0, 1, "outside_block"), (1, 1, -1, 0, 1, "never_revealed"),
+        (None, 0, 0, 1, 0, "wrong_count"), (None, 0, 1, 1, 0, "wrong_count"), (None, 0, 0, 0, 1, "wrong_count"), (None, 0, 1, 0, 1, "wrong_count"),
+        (2, None, None, 1, 0, "wrong_count"), (2, None, 0, 0, 1, "wrong_count"),
+    ], key=repr)
+
+
+def test_selection_audit_orders_as_before(spark):
+    """Ties, NaN, NULL and infinite confidences, NULL keys, steps far apart, steps without an open row."""
+    values = [0.5, 0.5, float("nan"), None, float("inf"), -1.0, float("-inf"), 0.25]
+    rows = [(s, t, p, values[(p * 3 + (t or 0)) % 8], (p + (t or 0)) % 4 > 0, 40, 1 + (t or 0) % 3) for s in (1, 2, None) for t in (0, 1, 300, 5000, None) for p in range(20)]
+    rows += [(1, 9, p, 0.5, False, 40, 2) for p in range(3)] + [(1, 10, 50, 0.5, True, 40, 2), (1, 11, None, 0.5, True, 40, 2), (1, 12, 1, 0.5, None, None, None)]
+    scores = spark.createDataFrame(rows, "seq_id bigint, step bigint, pos bigint, confidence double, is_masked boolean, block_end bigint, k bigint")
+    traj = spark.createDataFrame(
+        [(s, p, (0, 1, 300, 9, 10, 11, 12, 5000, 77, -1)[p % 10]) for s in (1, 2, 3, None) for p in [*range(20), 4, 4]] + [(1, None, 0), (1, 3, None)],
+        "seq_id bigint, pos bigint, unmask_step bigint",
+    )
+    for max_k in (None, 2, 3):
+        wanted = trace._audited_by_step(scores, traj, ("seq_id",), max_k, F.col("pos"))
+        got = trace.audit_selection(scores, traj, max_k=max_k)
+        assert equal(got, wanted) and got.dtypes == wanted.dtypes and got.count() >= 40
+
+
+def test_trace_audit_writes_little(spark):
+    """Per token two logged scores and a revealed position; as rows and arrays they took more than 100 bytes."""
+    traj = spark.range(40_000).select(
+        F.floor(F.col("id") / 400).cast("bigint").alias("seq_id"), (F.col("id") % 400).alias("pos"),
+        (F.floor(F.col("id") % 400 / 32) * 4 + F.col("id") % 400 % 32 % 4).cast("bigint").alias("unmask_step"),
+    )
+    each = traj.withColumn("step", F.explode(F.array("unmask_step", F.col("unmask_step") - 1))).where("step >= 0")
+    scores = each.select("seq_id", "step", "pos", ((F.col("pos") * 37 + F.col("step") * 5) % 101 / 101).alias("confidence"))
+    recipe = Recipe(max_completion_length=64, block_length=32, diffusion_steps=8, stochastic_position_selection=True, position_sampling_temperature=0.5, seed=17)
+    assert shuffled_bytes(jobs.audit_trace(traj, recipe, scores)) < 40_000 * 30
