@@ -176,7 +176,7 @@ def interval_sums(
     ).where("_end = 1")
     whole = grouped.agg(
         F.coalesce(F.sum("_n"), zero).alias("_whole_n"), *[F.coalesce(F.sum(v), zero).alias(f"_whole{v}") for v in values],
-        F.min("_at").alias("_least"), F.max("_at").alias("_most"),
+        F.min("_at").alias("_least"), F.max("_at").alias("_most"), F.least(F.count(F.lit(1)), zero).alias("_none"),
     )
 
     def side(letter: str) -> DataFrame:
@@ -184,7 +184,7 @@ def interval_sums(
 
     met = (
         numbered.join(side("a"), F.col("_before") == F.col("a_at"), "left").join(side("b"), F.col("_until") == F.col("b_at"), "left")
-        .crossJoin(F.broadcast(whole))
+        .join(F.broadcast(whole), F.least(F.col("_row"), zero) == F.col("_none"))  # one row, met by a key that is always 0
     )
 
     def between(c: str, total: str) -> Column:
